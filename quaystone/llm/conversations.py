@@ -37,34 +37,19 @@ def resolve_roots(replies: DataFrame) -> DataFrame:
     and is unique in (channel, message_id). Replies below a missing post or in a
     circle have no root and no row.
     """
-    open_ways = cut_lineage(replies.select("channel", "message_id", F.col("parent").alias("up")))
-    ended = None
-    while True:
-        above = open_ways.select("channel", F.col("message_id").alias("up"), F.col("up").alias("next"), F.lit(True).alias("is_reply"))
-        # A broken way ends at once: its last reply has no parent.
-        stepped = open_ways.where(F.col("up").isNotNull()).join(above, ["channel", "up"], "left")
-        if ended is not None:
-            known = ended.select("channel", F.col("message_id").alias("up"), F.col("root").alias("known"))
-            stepped = stepped.join(known, ["channel", "up"], "left")
-        else:
-            stepped = stepped.withColumn("known", F.lit(None).cast("bigint"))
-        stepped = cut_lineage(
-            stepped.select(
-                "channel",
-                "message_id",
-                F.col("up").alias("was"),
-                F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("is_reply").isNull(), F.col("up")).alias("root"),
-                "next",
-            )
-        )
-        now = stepped.where(F.col("root").isNotNull()).select("channel", "message_id", "root")
-        # Ways whose next post is broken are dropped here and, with them, all that lead to it.
-        open_ways = stepped.where(F.col("root").isNull() & F.col("next").isNotNull()).select("channel", "message_id", F.col("next").alias("up"))
-        if now.isEmpty():
-            return ended if ended is not None else now
-        ended = now if ended is None else ended.unionByName(now)
-        if open_ways.isEmpty():
-            return ended
+    known = replies.select("channel", F.col("message_id").alias("parent"), F.lit(True).alias("is_reply"))
+    first = cut_lineage(replies.where(F.col("parent").isNotNull()).join(known, ["channel", "parent"], "left").select("channel", "message_id", F.col("parent").alias("up"), F.col("is_reply").isNull().alias("ended")))
+    ended, open_ways = first.where("ended").drop("ended"), first.where(~F.col("ended")).drop("ended")
+    while not open_ways.isEmpty():
+        # The post that an open way has reached is a reply itself; without a row it is broken, and so is the way.
+        ways = ended.withColumn("ends", F.lit(True)).unionByName(open_ways.withColumn("ends", F.lit(False)))
+        above = ways.select("channel", F.col("message_id").alias("up"), F.col("up").alias("next"), "ends")
+        stepped = cut_lineage(open_ways.join(above, ["channel", "up"]).select("channel", "message_id", F.col("next").alias("up"), "ends"))
+        now = stepped.where("ends").drop("ends")
+        if now.isEmpty():  # some way ends in every round as long as there are any but circles
+            break
+        ended, open_ways = ended.unionByName(now), stepped.where(~F.col("ends")).drop("ends")
+    return ended.withColumnRenamed("up", "root")
 
 
 def conversations(posts: DataFrame) -> DataFrame:

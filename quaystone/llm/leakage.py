@@ -6,14 +6,13 @@ some pattern does the hash of its last words select the patterns that are compar
 word by word. Most windows move by ten words or so without any comparison.
 """
 
-from __future__ import annotations
-
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +81,15 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, block: int) -> Itera
         yield rows
 
 
+def _search(tables: Broadcast) -> Callable:
+    def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = tables.value.find
+        for batch in texts:
+            yield batch.map(find)
+
+    return search
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 12, block: int = 20_000) -> DataFrame:
     """``(doc_id, item_id)``: documents that hold ``words`` consecutive words of an item as consecutive words, once each.
 
@@ -96,12 +104,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     for rows in _blocks(items, item_id, item_text, block):
         tables = spark.sparkContext.broadcast(WordSearch(rows, words))
 
-        def search(texts: Iterator[pd.Series], tables=tables) -> Iterator[pd.Series]:
-            find = tables.value.find
-            for batch in texts:
-                yield batch.map(find)
-
-        found = F.pandas_udf(search, T.ArrayType(T.LongType()))
+        found = F.pandas_udf(_search(tables), T.ArrayType(T.LongType()))
         parts.append(kept.select("__doc", F.explode(found(F.col("__text"))).alias("__item")))
     if not parts:
         parts = [kept.limit(0).select("__doc", F.lit(None).cast("bigint").alias("__item"))]
