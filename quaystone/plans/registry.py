@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quaystone.plans import preparation
+from quaystone.plans import archive, preparation
 
-FLAGSHIP = "p1_found"
-_PARTS = [preparation]
+FLAGSHIP = "search_top_20"
+_PARTS = [archive, preparation]
 
 
 def queries() -> dict:
