@@ -79,7 +79,7 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name in batch["zone"]:
             try:
                 changes = _transitions(ZoneInfo(name))
-            except (ValueError, OSError, ModuleNotFoundError):  # no such zone
+            except (KeyError, ValueError, OSError):  # no such zone
                 continue
             ends = [at for at, _ in changes[1:]] + [(datetime(LAST_YEAR + 1, 1, 1) - datetime(1970, 1, 1)).total_seconds() + 86_400]
             for (at, off), end in zip(changes, ends):
