@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.llm.lookalikes import consistent_form
+from quaystone.llm.sampling import hashed_sample
 
 LANGUAGES = ("en", "ru", "de", "fr", "es", "uk", "pt", "ja")
 # What labels name, by code and by name (in English and in the language itself).
@@ -313,9 +314,10 @@ def _own_words(counts: dict[str, Counter], lang: str) -> Counter:
 
 
 def fit_detector(posts: DataFrame, key: str = "row_id", text: str = "text", label: str = "lang", sample: int = 12_000) -> Detector:
-    """A detector trained on the ``sample`` labelled rows with the smallest hashed keys."""
-    rows = posts.select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), label_language(F.col(label)).alias("l")).where(F.col("t").isNotNull() & F.col("l").isin(*LANGUAGES))
-    return Detector(train([(r["t"], r["l"]) for r in rows.orderBy("h", "t").limit(sample).collect()]))
+    """A detector trained on about ``sample`` labelled rows, chosen by their hashed keys."""
+    named = label_language(F.col(label))
+    rows = hashed_sample(posts, key, [F.col(text).alias("t"), named.alias("l")], sample, F.col(text).isNotNull() & named.isin(*LANGUAGES))
+    return Detector(train([(r["t"], r["l"]) for r in rows]))
 
 
 _SEGMENTS = T.ArrayType(
@@ -341,7 +343,8 @@ def _setter(detector: Detector) -> Callable:
 
 def with_languages(posts: DataFrame, detector: Detector, text: str = "text", out: str = "languages") -> DataFrame:
     """Add ``out``, the sorted languages of ``text``; an empty array for texts without words of a language."""
-    find = F.pandas_udf(_setter(detector), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR_ITER)
+    # Said to be nondeterministic, it is evaluated once a row and not again for each later use of its result.
+    find = F.pandas_udf(_setter(detector), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR_ITER).asNondeterministic()
     return posts.withColumn(out, find(F.col(text)))
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaystone.llm.sampling import hashed_sample
+
 # Words with a stop that introduce a name or number, whatever follows.
 INTRODUCING = frozenset(
     "mr mrs ms dr prof rev gen sen rep st hon capt lt col sgt fr no nos fig figs p pp vol ch sec art eq ref vs cf approx ca hr hrn frau nr abb s bd kap vgl bzw bspw z.b d.h u.a mme mlle m mgr me pr tél sr sra srta dña d núm pág págs cap г-н г-жа гр им ул просп пер пл д кв стр рис табл см ср гл п пп т тт ст тов проф акад доц др напр etc ص د م أ डॉ श्री प्रो".split()
@@ -279,9 +281,9 @@ class Boundaries:
 
 
 def fit_boundaries(documents: DataFrame, key: str, text: str, sample: int = 1500) -> Boundaries:
-    """A model fitted on the ``sample`` documents with the smallest hashed keys; the rest of the corpus is not needed for it."""
-    rows = documents.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    return Boundaries.fit([r["t"] for r in rows.orderBy("h", "t").limit(sample).collect()])
+    """A model fitted on about ``sample`` documents, chosen by their hashed keys; the rest of the corpus is not needed for it."""
+    rows = hashed_sample(documents, key, [F.col(text).alias("t")], sample, F.col(text).isNotNull() & (F.length(text) > 0))
+    return Boundaries.fit([r["t"] for r in rows])
 
 
 def _split_batches(model: Boundaries, schema: pa.Schema) -> Callable:
