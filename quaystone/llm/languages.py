@@ -37,7 +37,8 @@ _MARKS = re.compile(r"[(\[][^()\[\]\s]{0,14}[ -]?[^()\[\]\s]{0,6}\d[^()\[\]\s]{0
 _SEGMENT = re.compile(r"(?:[^.!?。！？\n]|[.!?](?=[^\s.!?]))+[.!?。！？]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _KANA = re.compile("[\u3040-\u30ff]")
-_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]+")
+#: Japanese is written without spaces: four characters make a word here.
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]{1,4}")
 _HAS_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
 
@@ -48,7 +49,7 @@ def label_language(label: Column) -> Column:
 
 
 def words_in(segment: str) -> list[str]:
-    """Lower-case words of a segment; runs of Japanese script are cut from Latin names inside them."""
+    """Lower-case words of a segment; Japanese script is cut from Latin names inside it and into pieces."""
     if _HAS_CJK.search(segment):
         runs = _CJK.findall(segment)
         return runs + _WORD.findall(_CJK.sub(" ", segment).lower())

@@ -95,6 +95,8 @@ _MARKS = re.compile("[\u0300-\u036f]")
 def _letter(base: str) -> frozenset[str]:
     if base in CLASSES:
         return frozenset(CLASSES[base])
+    if not base.isalpha():  # a superscript goes with any script
+        return frozenset((*SCRIPTS, "OTHER"))
     name = unicodedata.name(base, "").split(" ")[0]
     return frozenset((name if name in SCRIPTS else "OTHER",))
 
@@ -133,7 +135,7 @@ def _resolved(token: str) -> tuple[str | None, str | None, tuple]:
 @lru_cache(maxsize=1 << 16)
 def _in_context(runs: tuple, script: str | None, by_digits: bool) -> str:
     """Spelling of a token that could be of several scripts: the one with the fewest letters that hardly any language uses, then Latin beside digits (codes, hex), else the script of the last word that leaves no choice."""
-    want = "LATIN" if by_digits or script is None else script
+    want = "LATIN" if by_digits or script is None or any(c.isnumeric() for run, _ in runs for c in run) else script
     best = [min(scripts, key=lambda s: (sum(c in RARE for c in _spelled(run, s)), s != want, _rank(s))) for run, scripts in runs]
     return unicodedata.normalize("NFC", "".join(_spelled(run, s) for (run, _), s in zip(runs, best)))
 

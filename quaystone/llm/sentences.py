@@ -26,7 +26,7 @@ from quaystone.llm.sampling import hashed_sample
 
 # Words with a stop that introduce a name or number, whatever follows.
 INTRODUCING = frozenset(
-    "mr mrs ms dr prof rev gen sen rep st hon capt lt col sgt fr no nos fig figs p pp vol ch sec art eq ref vs cf approx ca hr hrn frau nr abb s bd kap vgl bzw bspw z.b d.h u.a mme mlle m mgr me pr tél sr sra srta dña d núm pág págs cap г-н г-жа гр им ул просп пер пл д кв стр рис табл см ср гл п пп т тт ст тов проф акад доц др напр etc ص د م أ डॉ श्री प्रो".split()
+    "mr mrs ms dr prof rev inkl exkl zzgl abzgl evtl ggf gen sen rep st hon capt lt col sgt fr no nos fig figs p pp vol ch sec art eq ref vs cf approx ca hr hrn frau nr abb s bd kap vgl bzw bspw z.b d.h u.a mme mlle m mgr me pr tél sr sra srta dña d núm pág págs cap г-н г-жа гр им ул просп пер пл д кв стр рис табл см ср гл п пп т тт ст тов проф акад доц др напр etc ص د م أ डॉ श्री प्रो".split()
 )
 # Months that follow a day written with a stop.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
@@ -97,7 +97,7 @@ PRIOR = {
     "stop": 0.5, "bang": 2.5, "dots": 0.5, "hard": 8.0,
     "next=upper": 2.0, "next=lower": -6.0, "next=digit": 0.0, "next=caseless": 1.5, "next=mark": -5.0, "next=picture": 1.0,
     "stop&introducing&next=upper": -6.0, "stop&introducing": -3.0, "stop&initial": -7.0, "stop&letter": -1.0, "stop&short_caseless": -5.0, "stop&inner_stop&next=digit": -6.0, "stop&short&next=digit": -4.0, "stop&letter&next=digit": -5.0,
-    "stop&number&month": -8.0, "stop&numbering": -9.0, "direct": -1.0, "stop&direct&initial": -4.0, "stop&direct&next=digit": -6.0, "stop&direct&next=caseless": 0.5, "direct&next=lower": -4.0,
+    "stop&number&month": -8.0, "stop&pair": -7.0, "stop&numbering": -9.0, "direct": -1.0, "stop&direct&initial": -4.0, "stop&direct&next=digit": -6.0, "stop&direct&next=caseless": 0.5, "direct&next=lower": -4.0,
     "quoted": -0.5, "quoted&before=caseless": -12.0, "hard&next=lower": 0.0, "hard&next=mark": -1.0, "dots&before=caseless": 4.0,
     "rate=never": -4.0, "rate=seldom": -2.0, "rate=usual": 0.5,
 }
@@ -129,7 +129,9 @@ class Boundaries:
         if kind == "stop":
             if numbering:
                 flags.append("numbering")
-            if next_word.lower() in MONTHS:
+            if next_word == ".":  # one of several letters with stops, as in z. B.
+                flags.append("pair")
+            elif next_word.lower() in MONTHS:
                 flags.append("month")
             flags.append(f"rate={self.rates.get(word.lower(), 'new')}")
         out = [kind, *flags]
@@ -200,7 +202,7 @@ class Boundaries:
                 continue  # the end of the block
             before = next((c for c in text[max(at, i - 2) : i][::-1] if c.isalnum()), "")
             numbering = term == "." and i - at < 14 and bool(_NUMBERING.match(text[at:i]))
-            yield at, stop, end, (term, word[-24:], numbering, quoted, _kind(before), not n[1], _kind(n[3]), (n[3] + n[4])[:12] if word.isdigit() else "")
+            yield at, stop, end, (term, word[-24:], numbering, quoted, _kind(before), not n[1], _kind(n[3]), (n[3] + n[4])[:12] if word.isdigit() else "." if len(word) == 1 and not n[4] and text[n.end() : n.end() + 1] == "." else "")
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each sentence, in code points, without outer white space."""
