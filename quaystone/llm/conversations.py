@@ -60,16 +60,18 @@ def conversations(posts: DataFrame) -> DataFrame:
     one message or one author only, or any message without author, with deleted_at or
     without a visible character. turn counts from 1: the opener, then by message_id.
     """
-    newest = cut_lineage(
-        newest_rows(posts.select("channel", "message_id", "row_id", "fetched_at", "media_count", "text", "author_name", "reply_to", "deleted_at"), ["media_count", "text", "author_name", "reply_to", "deleted_at"]).select(
-            "channel",
-            "message_id",
-            "media_count",
-            "reply_to",
-            same_author(F.col("author_name")).alias("author"),
-            (F.col("deleted_at").isNotNull() | ~has_visible(F.col("text"))).alias("broken"),
-        )
+    rows = posts.select(
+        "channel",
+        "message_id",
+        "row_id",
+        "fetched_at",
+        "media_count",
+        "reply_to",
+        same_author(F.col("author_name")).alias("author"),
+        (F.col("deleted_at").isNotNull() | ~has_visible(F.col("text"))).alias("broken"),
     )
+    # What a text says is judged before the shuffle; texts do not travel.
+    newest = cut_lineage(newest_rows(rows, ["media_count", "reply_to", "author", "broken"]))
     # An id that several posts take means the one that starts nearest before it.
     ids = newest.select("channel", F.explode(covered_ids()).alias("reply_to"), F.col("message_id").alias("parent")).groupBy("channel", "reply_to").agg(F.max("parent").alias("parent"))
     replies = newest.where(F.col("reply_to").isNotNull()).select("channel", "message_id", "reply_to").join(ids, ["channel", "reply_to"], "left")
