@@ -49,7 +49,9 @@ def with_tokens(df: DataFrame, text: str, out: str = "tokens", folder: str = TOK
         for batch in texts:
             yield pd.Series([len(encode(t)) if t else 0 for t in batch], dtype="int64")
 
-    return df.withColumn(out, F.pandas_udf(count, T.LongType(), F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    # Said to be nondeterministic, it is evaluated once a row and not again by a filter on its result.
+    counter = F.pandas_udf(count, T.LongType(), F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return df.withColumn(out, counter(F.col(text)))
 
 
 def flight(share: np.ndarray, tokens: np.ndarray, seed: int) -> np.ndarray:
