@@ -202,8 +202,9 @@ def _forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
-    """Add ``out``, the consistent form of ``text``; null stays null, and plain ASCII never leaves the JVM's columns changed."""
-    return df.withColumn(out, _forms(F.col(text)))
+    """Add ``out``, the consistent form of ``text``; null stays null."""
+    # Said to be nondeterministic, it is evaluated once a row and not again by a filter on its result.
+    return df.withColumn(out, _forms.asNondeterministic()(F.col(text)))
 
 
 def _hashes(value: Column, one: str, two: str) -> list[Column]:
