@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, fold_channel, iso_instant, permalink, similar_text, snippet, total_reactions
+from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, fold_channel, iso_instant, permalink, similar_text, snippet
 from quaystone.functions.urls import SPEC_VERSION, canonical_url_of
 from quaystone.operators import integrity, links, records, search
 from quaystone.operators.carry import carry_forward
@@ -137,8 +137,8 @@ QUERIES = {
     ),
     "snippet_projection": lambda s, d: current_posts(s, d).select("channel", "message_id", snippet(F.col("text"), F.col("poll.question")).alias("snippet")),
     "permalink_projection": lambda s, d: current_posts(s, d).select(permalink(F.col("channel"), F.col("message_id")).alias("link"), iso_instant(F.col("fetched_at")).alias("fetched")),
-    "reaction_totals": lambda s, d: records.hydrated(current_posts(s, d).select("channel", "message_id"), table(s, d, "link"), table(s, d, "reaction")).select("channel", "message_id", total_reactions(F.col("reactions")).alias("total")),
-    "most_reacted_posts": lambda s, d: table(s, d, "reaction").dropDuplicates(["reaction_id"]).groupBy("channel", "message_id").agg(F.sum("count").alias("total")).orderBy(F.desc("total"), "channel", "message_id").limit(50),
+    "reaction_totals": lambda s, d: records.reaction_totals(current_posts(s, d), table(s, d, "reaction")),
+    "most_reacted_posts": lambda s, d: records.single_reactions(table(s, d, "reaction")).groupBy("channel", "message_id").agg(F.sum("count").alias("total")).orderBy(F.desc("total"), "channel", "message_id").limit(50),
     "poll_options_explode": lambda s, d: current_posts(s, d).where(F.col("poll").isNotNull()).select("channel", "message_id", "poll.question", F.posexplode("poll.options").alias("ord", "option"), "poll.total_votes"),
     "hashtag_counts": lambda s, d: current_posts(s, d).select(F.explode("hashtags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("uses")),
     "event_props_json": lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")),
@@ -248,12 +248,12 @@ SQL = {
     "sender_carry_over": f"WITH {_NEWEST} SELECT channel, message_id, last_value(nullif(trim(author_name, ' '), '') IGNORE NULLS) OVER (PARTITION BY channel ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sender FROM newest",
     "post_detail_nested": f"""WITH {_NEWEST},
 l AS (SELECT channel, message_id, list({{'ord': ord, 'link_id': link_id, 'url_canonical': url_canonical}} ORDER BY ord, link_id) AS links FROM (SELECT DISTINCT ON (link_id) * FROM link) GROUP BY ALL),
-r AS (SELECT channel, message_id, list({{'reaction_id': reaction_id, 'emoji': emoji, 'count': count}} ORDER BY reaction_id) AS reactions FROM (SELECT DISTINCT ON (reaction_id) * FROM reaction) GROUP BY ALL)
+r AS (SELECT channel, message_id, list({{'reaction_id': reaction_id, 'emoji': emoji, 'count': count}} ORDER BY reaction_id) AS reactions FROM (SELECT DISTINCT ON (reaction_id) * FROM reaction ORDER BY reaction_id, count DESC) GROUP BY ALL)
 SELECT channel, message_id, text, hashtags, coalesce(links, []) AS links, coalesce(reactions, []) AS reactions FROM newest LEFT JOIN l USING (channel, message_id) LEFT JOIN r USING (channel, message_id)""",
     "snippet_projection": f"WITH {_NEWEST} SELECT channel, message_id, CASE WHEN length({_SNIPPET}) > 140 THEN substr({_SNIPPET}, 1, 140) || '…' ELSE {_SNIPPET} END AS snippet FROM newest",
     "permalink_projection": f"WITH {_NEWEST} SELECT 'https://t.me/' || channel || '/' || message_id AS link, strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(fetched_at) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z' AS fetched FROM newest",
-    "reaction_totals": f"WITH {_NEWEST} SELECT channel, message_id, CAST(coalesce(sum(count), 0) AS BIGINT) AS total FROM newest LEFT JOIN (SELECT DISTINCT ON (reaction_id) * FROM reaction) USING (channel, message_id) GROUP BY channel, message_id",
-    "most_reacted_posts": "SELECT channel, message_id, CAST(sum(count) AS BIGINT) AS total FROM (SELECT DISTINCT ON (reaction_id) * FROM reaction) GROUP BY channel, message_id ORDER BY total DESC, channel, message_id LIMIT 50",
+    "reaction_totals": f"WITH {_NEWEST} SELECT channel, message_id, CAST(coalesce(sum(count), 0) AS BIGINT) AS total FROM newest LEFT JOIN (SELECT DISTINCT ON (reaction_id) * FROM reaction ORDER BY reaction_id, count DESC) USING (channel, message_id) GROUP BY channel, message_id",
+    "most_reacted_posts": "SELECT channel, message_id, CAST(sum(count) AS BIGINT) AS total FROM (SELECT DISTINCT ON (reaction_id) * FROM reaction ORDER BY reaction_id, count DESC) GROUP BY channel, message_id ORDER BY total DESC, channel, message_id LIMIT 50",
     "poll_options_explode": f"WITH {_NEWEST} SELECT channel, message_id, poll.question AS question, CAST(i - 1 AS INTEGER) AS ord, poll.options[i] AS option, poll.total_votes AS total_votes FROM newest, unnest(range(1, len(poll.options) + 1)) AS t(i) WHERE poll IS NOT NULL",
     "hashtag_counts": f"WITH {_NEWEST} SELECT tag, count(*) AS uses FROM (SELECT unnest(hashtags) AS tag FROM newest) GROUP BY tag",
     "event_props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",

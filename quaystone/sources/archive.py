@@ -69,14 +69,12 @@ def confirm_history(stored: DataFrame, new: DataFrame, similar: Callable) -> Dat
 
 def verification_candidates(posts: DataFrame, zone: str, newest: int = 3) -> DataFrame:
     """Posts to look up on the live source before an import: the newest of text and of media, and one for each UTC offset that the zone had."""
-    from pyspark.sql import Window
-
-    media = (F.col("kind") != "text").alias("is_media")
-    recent = posts.withColumn("is_media", media).withColumn("n", F.row_number().over(Window.partitionBy("is_media").orderBy(F.desc("date"), F.desc("message_id")))).where(F.col("n") <= newest)
+    latest = lambda part, why: part.orderBy(F.desc("date"), F.desc("message_id")).limit(newest).select(F.lit(why).alias("why"), "message_id")
+    recent = latest(posts.where(F.col("kind") == "text"), "text").unionByName(latest(posts.where(F.col("kind") != "text"), "media"))
     offset = (F.unix_seconds(F.from_utc_timestamp("date", zone)) - F.unix_seconds("date")).alias("offset")
     first = posts.select(offset, F.struct("date", "message_id").alias("at")).groupBy("offset").agg(F.min("at").alias("at"))
     probes = first.select(F.lit("offset").alias("why"), F.col("at.message_id").alias("message_id"))
-    return recent.select(F.when(F.col("is_media"), "media").otherwise("text").alias("why"), "message_id").unionByName(probes)
+    return recent.unionByName(probes)
 
 
 class Archive:
