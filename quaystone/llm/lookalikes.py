@@ -217,16 +217,21 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
     All pairs of unequal texts come out, none of equal ones. Texts that are null or
     without a visible character are in no pair; an empty table gives no pairs. Only
-    hashes are shuffled; forms with one spelling are dropped by an aggregate before
-    rows are joined, and skewed forms are split by adaptive execution.
+    hashes are shuffled. Different spellings are paired first, one row each, and rows
+    are joined to the pairs of their spelling: a text that a third of all rows share
+    costs its rows once for each other spelling, never the square of its rows.
     """
     rows = with_form(df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where(F.col("__t").isNotNull()), "__t", "__f")
     rows = rows.where(has_visible(F.col("__f")))
     rows = cut_lineage(rows.select("__k", *_hashes(F.col("__f"), "f1", "f2"), *_hashes(F.col("__t"), "t1", "t2")))
     several = rows.groupBy("f1", "f2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("t2").alias("c"), F.max("t2").alias("d"))
     several = several.where((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).select("f1", "f2")
-    rows = rows.join(several, ["f1", "f2"], "left_semi")
-    left = rows.select("f1", "f2", F.col("__k").alias(f"{key}_a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
-    right = rows.select("f1", "f2", F.col("__k").alias(f"{key}_b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
-    differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    return left.join(right, ["f1", "f2"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & differ).select(f"{key}_a", f"{key}_b")
+    rows = cut_lineage(rows.join(several, ["f1", "f2"], "left_semi"))
+    spellings = rows.select("f1", "f2", "t1", "t2").distinct()
+    other = spellings.select("f1", "f2", F.col("t1").alias("u1"), F.col("t2").alias("u2"))
+    before = (F.col("t1") < F.col("u1")) | ((F.col("t1") == F.col("u1")) & (F.col("t2") < F.col("u2")))
+    pairs = spellings.join(other, ["f1", "f2"]).where(before).drop("f1", "f2")
+    left = rows.select("t1", "t2", F.col("__k").alias("__a")).join(pairs, ["t1", "t2"]).drop("t1", "t2")
+    right = rows.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("__k").alias("__b"))
+    both = left.join(right, ["u1", "u2"])
+    return both.select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
