@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.functions.text import words_of
+from quaystone.functions.text import BETWEEN, words_of
 
 # Inflectional endings.
 CYRILLIC_ENDINGS = """
@@ -57,11 +57,11 @@ def stems_of(text: str) -> list[str]:
     return [stem(w.replace("ё", "е")) for w in words_of(text)]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+@F.pandas_udf(T.StringType())
+def _stem_lines(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda line: BETWEEN.join(map(stem, line.split(BETWEEN))), na_action="ignore")
 
 
-def stems(words: Column) -> Column:
-    """Stems of an array of words, in order; null gives null."""
-    return _stems(words)
+def stem_line(line: Column) -> Column:
+    """A line of words (see ``word_line``) with the stem of each; null gives null."""
+    return _stem_lines.asNondeterministic()(line)

@@ -23,10 +23,41 @@ def fold_yo(text: Column) -> Column:
     return F.translate(text, "ёЁ", "еЕ")
 
 
+#: What stands between two words of a line.
+BETWEEN = "  "
+
+
+def word_line(text: Column) -> Column:
+    """The words of a text in one string, two spaces between them: runs of letters, digits and private-use characters, in lower case, Latin accents dropped.
+
+    No array is made, so everything stays in generated code; see ``count_in_line``.
+    """
+    low = F.lower(text)
+    low = F.when(low.rlike(r"[\x{300}-\x{36F}]"), F.regexp_replace(low, r"[\x{300}-\x{36F}]", "")).otherwise(low)
+    low = F.when(low.rlike(r"[\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]"), F.translate(low, FOLD_FROM, FOLD_TO)).otherwise(low)
+    return F.trim(F.regexp_replace(low, TOKEN_GAP, BETWEEN))
+
+
 def words(text: Column) -> Column:
-    """Array of the words of a text: runs of letters, digits and private-use characters, in lower case, Latin accents dropped. Null gives null."""
-    folded = F.translate(F.lower(F.regexp_replace(text, r"[\x{300}-\x{36F}]", "")), FOLD_FROM, FOLD_TO)
-    return F.filter(F.split(folded, TOKEN_GAP), lambda w: w != "")
+    """Array of the words of a text; null gives null, no words an empty array."""
+    return line_words(word_line(text))
+
+
+def line_words(line: Column) -> Column:
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, BETWEEN))
+
+
+def line_length(line: Column) -> Column:
+    """Number of words of a line."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(BETWEEN), F.lit(" "))) + 1)
+
+
+def count_in_line(line: Column, phrase: list[str]) -> Column:
+    """How often the words of ``phrase`` stand in a line one after another; overlapping places count."""
+    padded, wanted = F.concat(F.lit(" "), line, F.lit(" ")), f" {BETWEEN.join(phrase)} "
+    if len(phrase) == 1:
+        return ((F.length(padded) - F.length(F.replace(padded, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+    return F.when(F.contains(padded, F.lit(wanted)), F.regexp_count(padded, F.lit(f"(?={re.escape(wanted)})"))).otherwise(0)
 
 
 def words_of(text: str) -> list[str]:

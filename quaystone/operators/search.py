@@ -12,11 +12,12 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quaystone.functions.stems import stem, stems
-from quaystone.functions.text import fold_yo, words, words_of
+from quaystone.functions.stems import stem, stem_line
+from quaystone.functions.text import count_in_line, fold_yo, line_length, line_words, word_line, words_of
+from quaystone.session import cut_lineage
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_LIMIT = 100_000
@@ -118,21 +119,11 @@ class SearchFilter:
 
 
 def indexed(table: DataFrame, with_stems: bool = True) -> DataFrame:
-    """``table`` with folded content, its words, their stems (the second field, or empty) and the length of both."""
+    """``table`` with folded content, the line of its words, the line of their stems (the second field, or empty) and the length of both."""
     df = table.withColumn("folded", fold_yo(F.coalesce("content", F.lit(""))))
-    df = df.withColumn("words", words(F.col("folded")))
-    df = df.withColumn("stems", stems(F.col("words")) if with_stems else F.array().cast("array<string>"))
-    return df.withColumn("length", F.size("words") + F.size("stems"))
-
-
-def _occurrences(tokens: str, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of words; overlapping ones count."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda w: w == phrase[0]))
-    # Words hold no spaces: two between them let a lookahead find every place, also those that share a word.
-    line = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-    wanted = f" {'  '.join(phrase)} "
-    return F.when(F.contains(line, F.lit(wanted)), F.regexp_count(line, F.lit(f"(?={re.escape(wanted)})"))).otherwise(0)
+    df = df.withColumn("words", word_line(F.col("folded")))
+    df = df.withColumn("stems", stem_line(F.col("words")) if with_stems else F.lit(""))
+    return df.withColumn("length", line_length(F.col("words")) + line_length(F.col("stems")))
 
 
 def _terms(query: Query, with_stems: bool) -> list[list[tuple[str, list[str]]]]:
@@ -142,16 +133,20 @@ def _terms(query: Query, with_stems: bool) -> list[list[tuple[str, list[str]]]]:
 
 
 def _ranked(df: DataFrame, counts: list[Column], length: str, hit: Column) -> DataFrame:
-    """Hits of ``df`` with their BM25 rank; one pass takes the table's statistics, one ranks."""
-    df = df.select(*KEY, "date", "kind", F.col(length).alias("dl"), hit.alias("hit"), *[c.alias(f"f{i}") for i, c in enumerate(counts)])
-    seen = df.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(counts))]).first()
-    n, mean = seen["n"], seen["avg"] or 1.0
+    """Hits of ``df`` with their BM25 rank. One pass takes the statistics of the whole table and keeps the hits."""
+    df = df.select(*KEY, "date", "kind", F.col(length).alias("dl"), *[c.alias(f"f{i}") for i, c in enumerate(counts)])
+    seen = Observation()
+    n_of = [F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(counts))]
+    found = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("all"), *n_of).where(hit))
+    stats = seen.get
+    n, mean = stats.get("n") or 0, (stats.get("all") or 0) / max(stats.get("n") or 0, 1) or 1.0
     rank = F.lit(0.0)
     for i in range(len(counts)):
-        idf = max(math.log((n - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5)), LEAST_IDF)
+        n_i = stats.get(f"n{i}") or 0
+        idf = max(math.log((n - n_i + 0.5) / (n_i + 0.5)), LEAST_IDF)
         f = F.col(f"f{i}")
         rank = rank - F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-    return df.where("hit").select(*KEY, "date", "kind", rank.alias("rank"))
+    return found.select(*KEY, "date", "kind", rank.alias("rank"))
 
 
 def word_hits(index: DataFrame, query: Query, with_stems: bool = True) -> DataFrame:
@@ -159,10 +154,10 @@ def word_hits(index: DataFrame, query: Query, with_stems: bool = True) -> DataFr
     terms = _terms(query, with_stems)
     if not terms:
         return _none(index)
-    counts = [_occurrences(where, phrase) for term in terms for where, phrase in term]
+    counts = [count_in_line(F.col(where), phrase) for term in terms for where, phrase in term]
     hit, i = F.lit(True), 0
     for term in terms:
-        hit = hit & reduce(lambda a, b: a | b, [counts[i + k] > 0 for k in range(len(term))])
+        hit = hit & reduce(lambda a, b: a | b, [F.col(f"f{i + k}") > 0 for k in range(len(term))])
         i += len(term)
     return _ranked(index, counts, "length", hit)
 
@@ -174,7 +169,7 @@ def substring_hits(index: DataFrame, query: Query) -> DataFrame:
         return _none(index)
     low = F.lower("folded")
     count = F.when(F.contains(low, F.lit(literal)), F.regexp_count(low, F.lit(f"(?={re.escape(literal)})"))).otherwise(0)
-    return _ranked(index.withColumn("trigrams", F.greatest(F.length(low) - 2, F.lit(0))), [count], "trigrams", F.contains(low, F.lit(literal)))
+    return _ranked(index.withColumn("trigrams", F.greatest(F.length(low) - 2, F.lit(0))), [count], "trigrams", F.col("f0") > 0)
 
 
 def _none(index: DataFrame) -> DataFrame:
@@ -211,7 +206,7 @@ def match_count(index: DataFrame, text: str, mode: str = "both", where: SearchFi
 
 def document_frequencies(index: DataFrame) -> DataFrame:
     """``(word, documents, occurrences)`` of the whole index; every document's words are counted before the shuffle."""
-    by_doc = index.select(*KEY, F.explode("words").alias("word")).groupBy("word", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    by_doc = index.select(*KEY, F.explode(line_words(F.col("words"))).alias("word")).groupBy("word", *KEY).agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences"))
 
 
@@ -221,7 +216,7 @@ def write_postings(index: DataFrame, folder: str, buckets: int = 256) -> None:
     ``folder/postings`` has word, field, channel, message_id, date, kind, dl, positions.
     """
     lists = [
-        index.select(*KEY, "date", "kind", F.col("length").alias("dl"), F.lit(name).alias("field"), F.posexplode(name).alias("pos", "word"))
+        index.select(*KEY, "date", "kind", F.col("length").alias("dl"), F.lit(name).alias("field"), F.posexplode(line_words(F.col(name))).alias("pos", "word"))
         for name in ("words", "stems")
     ]
     rows = reduce(DataFrame.unionByName, lists).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))

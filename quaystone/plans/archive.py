@@ -10,7 +10,7 @@ from quaystone.functions.urls import SPEC_VERSION, canonical_url_of
 from quaystone.operators import integrity, links, records, search
 from quaystone.operators.carry import carry_forward
 from quaystone.operators.deliveries import newest_rows
-from quaystone.session import table
+from quaystone.session import spread, table
 from quaystone.sources import archive as store
 from quaystone.sources.markup import listing_posts
 
@@ -19,7 +19,7 @@ POST_COLUMNS = ["date", "kind", "media_count", "text", "author_name", "is_edited
 
 def document_index(spark: SparkSession, base: str, with_stems: bool = False) -> DataFrame:
     """Documents as a searchable table: source as channel, doc_id as id, language as kind."""
-    docs = table(spark, base, "documents").select(F.col("source").alias("channel"), F.col("doc_id").alias("message_id"), F.col("collected_at").alias("date"), F.col("lang").alias("kind"), F.col("text").alias("content"))
+    docs = spread(table(spark, base, "documents")).select(F.col("source").alias("channel"), F.col("doc_id").alias("message_id"), F.col("collected_at").alias("date"), F.col("lang").alias("kind"), F.col("text").alias("content"))
     return search.indexed(docs, with_stems)
 
 

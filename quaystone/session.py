@@ -30,6 +30,16 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over at least as many partitions as there are cores.
+
+    Small inputs come as one file and so as one task; work that is heavy for its bytes
+    (markup, language, tokens) then runs on one core. Tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share for checkpoints.
 
