@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from quaystone.llm import conversations, languages, leakage, lookalikes, mixing, personal, sentences
-from quaystone.session import table
+from quaystone.session import spread, table
 
 QUERIES = {
-    "p2_found": lambda s, d: lookalikes.look_alike_pairs(table(s, d, "post"), "row_id", "text"),
-    "p2_consistent": lambda s, d: lookalikes.with_form(table(s, d, "post").select("row_id", "text"), "text", "form"),
-    "p5_found": lambda s, d: personal.details(table(s, d, "post")),
-    "p5_redacted": lambda s, d: personal.redacted(table(s, d, "post").select("row_id", "text", "author_name"), secret="example"),
-    "p5_by_type": lambda s, d: personal.details_by_type(table(s, d, "post")),
+    "p2_found": lambda s, d: lookalikes.look_alike_pairs(spread(table(s, d, "post")), "row_id", "text"),
+    "p2_consistent": lambda s, d: lookalikes.with_form(spread(table(s, d, "post")).select("row_id", "text"), "text", "form"),
+    "p5_found": lambda s, d: personal.details(spread(table(s, d, "post"))),
+    "p5_redacted": lambda s, d: personal.redacted(spread(table(s, d, "post")).select("row_id", "text", "author_name"), secret="example"),
+    "p5_by_type": lambda s, d: personal.details_by_type(spread(table(s, d, "post"))),
     "p6_found": lambda s, d: conversations.conversations(table(s, d, "post")),
     "p6_sizes": lambda s, d: conversations.conversation_sizes(table(s, d, "post")),
-    "p7_found": lambda s, d: languages.mislabelled(table(s, d, "post")),
-    "p7_segments": lambda s, d: languages.segment_languages(table(s, d, "post")),
-    "p8_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_item")),
-    "p8_by_item": lambda s, d: leakage.leaks_by_item(table(s, d, "documents"), table(s, d, "eval_item")),
-    "p9_shares": lambda s, d: mixing.shares_reached(table(s, d, "documents"), table(s, d, "mix_target")),
-    "p9_copies": lambda s, d: mixing.copies_drawn(table(s, d, "documents"), table(s, d, "mix_target")),
-    "p10_found": lambda s, d: sentences.sentences(table(s, d, "documents")).drop("ordinal"),
-    "p10_texts": lambda s, d: sentences.sentence_texts(table(s, d, "documents")),
+    "p7_found": lambda s, d: languages.mislabelled(spread(table(s, d, "post"))),
+    "p7_segments": lambda s, d: languages.segment_languages(spread(table(s, d, "post"))),
+    "p8_found": lambda s, d: leakage.leaks(spread(table(s, d, "documents")), table(s, d, "eval_item")),
+    "p8_by_item": lambda s, d: leakage.leaks_by_item(spread(table(s, d, "documents")), table(s, d, "eval_item")),
+    "p9_shares": lambda s, d: mixing.shares_reached(spread(table(s, d, "documents")), table(s, d, "mix_target")),
+    "p9_copies": lambda s, d: mixing.copies_drawn(spread(table(s, d, "documents")), table(s, d, "mix_target")),
+    "p10_found": lambda s, d: sentences.sentences(spread(table(s, d, "documents"))).drop("ordinal"),
+    "p10_texts": lambda s, d: sentences.sentence_texts(spread(table(s, d, "documents"))),
 }
 
 _CONVERSATIONS = r"""
