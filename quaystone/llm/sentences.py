@@ -26,7 +26,7 @@ from quaystone.llm.sampling import hashed_sample
 
 # Words with a stop that introduce a name or number, whatever follows.
 INTRODUCING = frozenset(
-    "mr mrs ms dr prof rev inkl exkl zzgl abzgl evtl ggf gen sen rep st hon capt lt col sgt fr no nos fig figs p pp vol ch sec art eq ref vs cf approx ca hr hrn frau nr abb s bd kap vgl bzw bspw z.b d.h u.a mme mlle m mgr me pr tél sr sra srta dña d núm pág págs cap г-н г-жа гр им ул просп пер пл д кв стр рис табл см ср гл п пп т тт ст тов проф акад доц др напр etc ص د م أ डॉ श्री प्रो".split()
+    "mr mrs ms dr dra prof profa rev inkl exkl zzgl abzgl evtl ggf gen sen rep st hon capt lt col sgt fr no nos fig figs p pp vol ch sec art eq ref vs cf approx ca hr hrn frau nr abb s bd kap vgl bzw bspw z.b d.h u.a mme mlle m mgr me pr tél sr sra srta dña d núm pág págs cap г-н г-жа гр им ул просп пер пл д кв стр рис табл см ср гл п пп т тт ст тов проф акад доц др напр etc ص د م أ डॉ श्री प्रो".split()
 )
 # Months that follow a day written with a stop.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
@@ -202,7 +202,7 @@ class Boundaries:
                 continue  # the end of the block
             before = next((c for c in text[max(at, i - 2) : i][::-1] if c.isalnum()), "")
             numbering = term == "." and i - at < 14 and bool(_NUMBERING.match(text[at:i]))
-            yield at, stop, end, (term, word[-24:], numbering, quoted, _kind(before), not n[1], _kind(n[3]), (n[3] + n[4])[:12] if word.isdigit() else "." if len(word) == 1 and not n[4] and text[n.end() : n.end() + 1] == "." else "")
+            yield at, stop, end, (term, word[-24:], numbering, quoted, _kind(before), not n[1], _kind(n[3]), (n[3] + n[4])[:12] if word.isdigit() else "." if len(word) == 1 and word.isascii() and not n[4] and text[n.end() : n.end() + 1] == "." else "")
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each sentence, in code points, without outer white space."""
@@ -249,13 +249,13 @@ class Boundaries:
                     examples.append(((m[2], word if m[2] == "." else "", False, False, _kind(last), False, _kind(first[1]), ""), True))
         for word, n in seen.items():
             share = ends[word] / n
-            if n >= 20:
+            if n >= 40:  # a word that does end sentences would by then have ended a block
                 model.rates[word] = "never" if ends[word] == 0 else "seldom" if share < 0.01 else "usual"
         grouped: Counter = Counter()
         for context, label in examples:
             if label is None:
                 term, word, numbering, quoted, before, direct, after, _ = context
-                if after == "lower" or after == "mark" or (direct and after == "digit") or (term == "." and model.rates.get(word.lower()) == "never" and word.lower().strip(".") in INTRODUCING):
+                if after == "lower" or after == "mark" or (direct and after == "digit") or (term == "." and model.rates.get(word.lower()) == "never"):
                     label = False
                 elif term in "!?" and after == "upper" and not quoted:
                     label = True
