@@ -103,23 +103,22 @@ class ManifestLog:
         return Manifest(**json.loads(text))
 
     def commit(self, manifest: Manifest) -> None:
-        """Make ``manifest`` the latest; fails if another run took its number. The file appears whole, by a rename that never overwrites."""
+        """Make ``manifest`` the latest; fails if another run took its number. The file appears whole, by a rename that never overwrites (atomic on HDFS; object stores without such a rename need a file system layer that offers it)."""
         target = self._path(f"{self._folder}/{manifest.version:020d}.json")
-        if self._fs.exists(target):
-            raise FileExistsError(f"manifest {manifest.version} was committed by another run")
         draft = self._path(f"{self._folder}/.{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(manifest.__dict__).encode()))
         stream.close()
-        lock = self._path(f"{self._folder}/{manifest.version:020d}.lock")
-        if not self._fs.createNewFile(lock):  # exclusive on every Hadoop file system that offers it
-            self._fs.delete(draft, False)
-            raise FileExistsError(f"manifest {manifest.version} is being committed by another run")
+        hadoop = self._spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self._fs.getUri(), self._spark._jsc.hadoopConfiguration())
+        never_overwrite = self._spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
         try:
-            if not self._fs.rename(draft, target):
-                raise FileExistsError(f"manifest {manifest.version} could not be committed")
-        finally:
-            self._fs.delete(lock, False)
+            context.rename(draft, target, never_overwrite)
+        except Exception as error:
+            self._fs.delete(draft, False)
+            if self._fs.exists(target):
+                raise FileExistsError(f"manifest {manifest.version} was committed by another run") from error
+            raise
 
 
 class IncrementalRun:

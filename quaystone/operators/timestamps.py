@@ -173,5 +173,6 @@ def dirty_instants(posts: DataFrame, links: DataFrame, channels: DataFrame) -> D
 
 def instants_by_month(posts: DataFrame, links: DataFrame, channels: DataFrame) -> DataFrame:
     """``(src, month, values)``: how many non-canonical values denote an instant in each UTC month."""
-    month = F.date_format(F.timestamp_millis("utc_ms"), "yyyy-MM")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("utc_ms") / 86_400_000).cast("int"))
+    month = F.date_format(day, "yyyy-MM")
     return dirty_instants(posts, links, channels).groupBy("src", month.alias("month")).agg(F.count(F.lit(1)).alias("values"))

@@ -99,28 +99,39 @@ class Archive:
         self._check()
         return self._pinned.version
 
-    def tables(self) -> dict[str, str]:
-        return dict(entry.split("=", 1) for entry in self._pinned.outputs)
+    def tables(self) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for entry in self._pinned.outputs:
+            name, _, path = entry.partition("=")
+            out.setdefault(name, []).append(path)
+        return out
 
     def read(self, name: str) -> DataFrame:
-        try:
-            return self._spark.read.parquet(self.tables()[name])
-        except KeyError:
-            raise LookupError(f"archive has no table {name!r}") from None
+        if name not in self.tables():
+            raise LookupError(f"archive has no table {name!r}")
+        return self._spark.read.parquet(*self.tables()[name])
+
+    def commit(self, tables: dict[str, DataFrame] | None = None, before: Callable[[], None] | None = None, append: dict[str, DataFrame] | None = None) -> int:
+        """The next generation: ``tables`` are replaced, rows of ``append`` added as further files, all else carries over.
 
-    def commit(self, tables: dict[str, DataFrame], before: Callable[[], None] | None = None) -> int:
-        """Write ``tables`` as the next generation; others carry over. ``before`` runs right before the manifest, to assert a lease. A lost race raises and leaves nothing valid."""
+        ``before`` runs right before the manifest, to assert a lease. A lost race raises
+        and leaves nothing valid.
+        """
         state = self._log.latest()
-        paths = dict(entry.split("=", 1) for entry in state.outputs)
-        for name, df in tables.items():
+        entries = [e for e in state.outputs if e.partition("=")[0] not in (tables or {})]
+        for name, df in [*(tables or {}).items(), *(append or {}).items()]:
             path = f"{self._folder}/data/{name}-{state.version + 1:012d}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(path)
-            paths[name] = path
+            entries.append(f"{name}={path}")
         if before:
             before()
-        self._log.commit(Manifest(state.version + 1, str(SCHEMA_VERSION), [f"{k}={v}" for k, v in sorted(paths.items())]))
+        self._log.commit(Manifest(state.version + 1, str(SCHEMA_VERSION), entries))
         return self.refresh()
 
+    def compact(self, name: str) -> int:
+        """One folder for a table that many appends have made of small ones."""
+        return self.commit({name: self.read(name)})
+
     def health(self) -> dict[str, bool]:
         """Whether each table of the pinned generation answers."""
         out = {}

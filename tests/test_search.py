@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone import paging
+from quaystone import paging, render
 from quaystone.api import ArchiveReader, ToolError
 from quaystone.functions.stems import stem
 from quaystone.functions.text import parse_bound, parse_reference, words, words_of
@@ -177,6 +177,9 @@ def test_api(spark):
     assert [h["message_id"] for h in reader.find_links("tg:raw").hits] == [3]
     moved = ArchiveReader(posts, links, reactions, resolutions, generation=5)
     assert moved.find_links("https://sho.example/x", limit=1, cursor=reader.find_links("https://sho.example/x", limit=1).next_cursor).index_moved
+    assert render.page_text(first, "swift").splitlines()[0] == "https://t.me/a/1 [text] (5 reactions): swift news 1" and "3 of 7; next page" in render.page_text(first, "swift")
+    assert "Nothing matches" in render.page_text(reader.search_posts("nothinghere"), "nothinghere") and "last page" in render.page_text(third, "swift")
+    assert "Reactions: x 3, paid 2" in render.record_text(reader.get_post("a/1"))
     post = reader.get_post("@A/1")
     assert post["message_id"] == 1 and [r["count"] for r in post["reactions"]] == [3, 2] and reader.get_post("a/99") is None
     with pytest.raises(ToolError):

@@ -145,6 +145,10 @@ def test_archive(spark, tmp_path):
     one.commit({"post": store.keep_existing(one.read("post"), df(2, 3).withColumn("text", F.lit("new")))})
     assert rows_of(one.read("post")) == [("a", 1, "t1"), ("a", 2, "t2"), ("a", 3, "new")]
     assert reader.read("post").count() == 2 and reader.refresh() == 2
+    other = store.Archive(spark, str(tmp_path) + "-2")
+    other.commit({"post": df(1)})
+    other.commit(append={"post": df(2)})
+    assert other.read("post").count() == 2 and len(other.tables()["post"]) == 2 and other.compact("post") == 3 and len(other.tables()["post"]) == 1
     assert rows_of(store.replace_existing(one.read("post"), df(1).withColumn("text", F.lit("r"))))[0] == ("a", 1, "r")
     assert tuple(store.written_and_kept(one.read("post"), df(3, 4, 4)).first()) == (1, 1)
 
