@@ -32,7 +32,7 @@ LABELS = {name: code for code, names in NAMED.items() for name in names.split()}
 
 #: What makes no language: handles, tags and words with digits; links and mailboxes; version marks in brackets.
 _CODES = re.compile(r"[#@][^\s#@]+|(?<![A-Za-z])[A-Za-z]*\d[A-Za-z\d]*(?:[./\-][A-Za-z\d]+)*")
-_LINKS = re.compile(r"https?://\S+|[\w.-]+\.\w+/\S*|[\w.+-]+(?: ?@ ?|\s?[\[(]at[\])]\s?)[\w-]+(?:(?:\.| dot |\s?[\[(]dot[\])]\s?)[\w-]+)+")
+_LINKS = re.compile(r"https?://\S+|(?<![\w.-])[\w.-]+\.\w+/\S*|(?<![\w.+-])[\w.+-]+(?: ?@ ?|\s?[\[(]at[\])]\s?)[\w-]+(?:(?:\.| dot |\s?[\[(]dot[\])]\s?)[\w-]+)+")
 _MARKS = re.compile(r"[(\[][^()\[\]\s]{0,14}[ -]?[^()\[\]\s]{0,6}\d[^()\[\]\s]{0,8}[)\]]")
 _SEGMENT = re.compile(r"(?:[^.!?。！？\n]|[.!?](?=[^\s.!?]))+[.!?。！？]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -99,11 +99,12 @@ class LanguageModel:
             found = np.maximum(found - found.max(), -self.VOTE)
             if len(self._cache) > 200_000:
                 self._cache.clear()
-            self._cache[word] = found
+            if len(word) <= 64:  # what is longer hardly comes again
+                self._cache[word] = found
         return found
 
     def _score(self, word: str, lang: str) -> float:
-        grams, totals, s, out = self._grams[lang], self._totals[lang], f"\x02{word[:40]}\x03", 0.0
+        grams, totals, s, out = self._grams[lang], self._totals[lang], f"\x02{word}\x03", 0.0
         for i in range(1, len(s)):
             p = 1e-5
             for k in range(min(self.ORDER, i + 1)):

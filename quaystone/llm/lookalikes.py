@@ -122,8 +122,13 @@ def _spelled(run: str, script: str) -> str:
     return "".join(CLASSES[c].get(script, c) if c in CLASSES else c for c in run)
 
 
-@lru_cache(maxsize=1 << 16)
 def _resolved(token: str) -> tuple[str | None, str | None, tuple]:
+    """``_resolve``, kept for tokens of a usual length."""
+    return _resolve(token) if len(token) <= 64 else _resolve.__wrapped__(token)
+
+
+@lru_cache(maxsize=1 << 16)
+def _resolve(token: str) -> tuple[str | None, str | None, tuple]:
     """(spelling or None where the context decides, script of its last letters, runs)."""
     runs = _runs(token)
     if all(len(scripts) == 1 for _, scripts in runs):
@@ -132,7 +137,6 @@ def _resolved(token: str) -> tuple[str | None, str | None, tuple]:
     return None, None, tuple(runs)
 
 
-@lru_cache(maxsize=1 << 16)
 def _in_context(runs: tuple, script: str | None, by_digits: bool) -> str:
     """Spelling of a token that could be of several scripts: the one with the fewest letters that hardly any language uses, then Latin beside digits (codes, hex), else the script of the last word that leaves no choice."""
     want = "LATIN" if by_digits or script is None or any(c.isnumeric() for run, _ in runs for c in run) else script

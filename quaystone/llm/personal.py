@@ -91,8 +91,8 @@ _MANY_DIGITS = re.compile(r"\d(?:[ ().\-/]{0,3}\d){6}")
 _ID_WORDS = r"""паспорт\w{0,2}|серия|полис\w{0,2} ОМС|ОМС|ИНН|СНИЛС|ІПН|SSN|[Ss]ocial [Ss]ecurity(?: number)?|NI number|National Insurance(?: number)?|[Pp]assport|[Dd]river[’']?s licen[cs]e|ID no\.?|ID number|ID card|ID
 |RVNR|Rentenversicherungsnummer|Sozialversicherungsnummer|Personalausweis(?:nummer|nr\.?)?|Ausweis(?:nummer|nr\.?)?|Reisepass(?:nummer)?|Führerschein(?:nummer)?|Steuer-ID|Steuernummer
 |[Cc]arte d[’']identité|CNI|NIR|[Ss]écurité sociale|[Pp]asseport|[Pp]ermis de conduire|[Pp]asaporte|NIE|DNI|NIF|NUSS|[Pp]assaporte|CPF|RG|[Cc]artão de cidadão""".replace("\n", "")
-_ID_PART = r"(?:[A-ZÑ]{0,3}\d[A-ZÑ0-9]*|[A-ZÑ]{1,3})"
-_ID = re.compile(rf"(?<!\w)(?:{_ID_WORDS})(?:[ :#]|№|n\.º|nº|no\.|number|Nr\.|is|ist|est|es)*[ :]({_ID_PART}(?:(?:[ .\-/]| № )?{_ID_PART})*)(?![\w])")
+_ID = re.compile(rf"(?<!\w)(?:{_ID_WORDS})(?:[ :#]|№|n\.º|nº|no\.|number|Nr\.|is|ist|est|es)*[ :]([A-ZÑ0-9]+(?:(?:[ .\-/]| № )[A-ZÑ0-9]+)*)(?!\w)")
+_ID_TOKEN = re.compile(r"[A-ZÑ0-9]+")
 _ID_BARE = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 
 _TOWN = rf"{_CAP}(?: {_CAP}){{0,2}}"
@@ -193,6 +193,20 @@ def _names(text: str, taken: list[Found]) -> Iterator[Found]:
         yield (*span, "name")
 
 
+def _id_end(value: str) -> int:
+    """Where an identity number ends: before a word in capitals, which has no digit and is no single letter behind a number or a short mark before it."""
+    end, digits = 0, 0
+    tokens = list(_ID_TOKEN.finditer(value))
+    for i, m in enumerate(tokens):
+        here = sum(c.isdigit() for c in m[0])
+        ahead = any(c.isdigit() for t in tokens[i + 1 : i + 2] for c in t[0])
+        if not here and (len(m[0]) > 3 or (digits and len(m[0]) > 1 and not ahead)):
+            break
+        digits += here
+        end = m.end()
+    return end
+
+
 def _add(found: list[Found], lo: int, hi: int, kind: str) -> None:
     if all(hi <= a or b <= lo for a, b, _ in found):
         found.append((lo, hi, kind))
@@ -206,8 +220,9 @@ def find_in_text(text: str) -> list[Found]:
         for m in _EMAIL.finditer(plain):
             _add(found, m.start(), m.end(), "email")
     for m in _ID.finditer(plain) if any(x in plain for x in _ANNOUNCED) else ():
-        if sum(c.isdigit() for c in m[1]) >= 5:
-            _add(found, m.start(1), m.end(1), "id_number")
+        end = _id_end(m[1])
+        if sum(c.isdigit() for c in m[1][:end]) >= 5:
+            _add(found, m.start(1), m.start(1) + end, "id_number")
     if _MANY_DIGITS.search(plain):
         for m in _ID_BARE.finditer(plain):
             _add(found, m.start(), m.end(), "id_number")

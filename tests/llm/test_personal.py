@@ -40,6 +40,11 @@ def test_disguised_details_are_taken_as_they_stand():
     assert [(k, text[a:b]) for a, b, k in find_in_text(text)] == [("email", "оscar@mail​.example"), ("phone", "+７ 000 555-48-32")]
 
 
+def test_announced_numbers_end_before_words():
+    for text, value in {"ИНН 000011981198 UPD: x": "000011981198", "passport ZZ 0005492 NEXT": "ZZ 0005492", "RVNR 00 970190 Z 859.": "00 970190 Z 859", "ID " + "A" * 50_000 + "a": None, "SSN 000-54-3985 I": "000-54-3985 I"}.items():
+        assert [text[a:b] for a, b, k in find_in_text(text)] == ([value] if value else []), text[:60]
+
+
 def test_authors():
     for author, name in {
         "Dr. Rafael Zorvane": "Rafael Zorvane", "WINTERSOL Rafael": "WINTERSOL Rafael", "marta drovantes (moderator)": "marta drovantes", "Müllenfeld, Daniel 🚀": "Müllenfeld, Daniel", "Н. Орешкевина | KiteUI": "Н. Орешкевина", " Вера Ильмерина ": "Вера Ильмерина",
