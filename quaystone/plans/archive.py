@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, fold_channel, iso_instant, permalink, similar_text, snippet
+from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, count_in_line, fold_channel, iso_instant, permalink, similar_text, snippet
 from quaystone.functions.urls import SPEC_VERSION, canonical_url_of
 from quaystone.operators import integrity, links, records, search
 from quaystone.operators.carry import carry_forward
@@ -103,8 +103,9 @@ QUERIES = {
     "word_search_stems": lambda s, d: _shown(search.hits(document_index(s, d, True), "уведомления сервисы", "words")),
     "phrase_search": _search('"code generator"', "words"),
     "phrase_with_loose_word": _search('«build cache» slow', "words"),
-    "phrase_vs_and": lambda s, d: search.match_count(document_index(s, d), '"layout engine"', "words", with_stems=False).withColumnRenamed("total", "phrase").join(
-        search.match_count(document_index(s, d), "layout engine", "words", with_stems=False).withColumnRenamed("total", "loose")
+    "phrase_vs_and": lambda s, d: document_index(s, d).agg(
+        F.count_if(count_in_line(F.col("words"), ["layout", "engine"]) > 0).alias("phrase"),
+        F.count_if((count_in_line(F.col("words"), ["layout"]) > 0) & (count_in_line(F.col("words"), ["engine"]) > 0)).alias("loose"),
     ),
     "substring_search": _search("yout engi", "substring"),
     "search_both_merged": _search("push token", "both"),
