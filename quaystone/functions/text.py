@@ -6,8 +6,10 @@ import re
 import unicodedata
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaystone.operators.deliveries import fold_channel as fold_channel
 
@@ -156,3 +158,13 @@ def similar_text(a: str, b: str, least: float = 0.9) -> bool:
         for j, v in enumerate(y, 1):
             diagonal, row[j] = row[j], diagonal + 1 if w == v else max(row[j], row[j - 1])
     return row[-1] >= least * longest
+
+
+@F.pandas_udf(T.BooleanType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similar_text(x or "", y or "") for x, y in zip(a, b)], dtype=bool)
+
+
+def similar_texts(a: Column, b: Column) -> Column:
+    """``similar_text`` of two columns; null counts as empty."""
+    return _similar(a, b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, count_in_line, fold_channel, iso_instant, permalink, similar_text, snippet
+from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, count_in_line, fold_channel, iso_instant, permalink, similar_texts, snippet
 from quaystone.functions.urls import SPEC_VERSION, canonical_url_of
 from quaystone.operators import integrity, links, records, search
 from quaystone.operators.carry import carry_forward
@@ -83,18 +83,9 @@ def _same_text(s, d):
     """Edited deliveries whose text is the same but for a few words, by the longest common subsequence."""
     rows = table(s, d, "post").where(F.col("text").isNotNull()).select("channel", "message_id", "row_id", "fetched_at", "text")
     both = rows.groupBy("channel", "message_id").agg(F.min_by("text", F.struct("fetched_at", "row_id")).alias("first"), F.max_by("text", F.struct("fetched_at", "row_id")).alias("last"))
-    same = F.pandas_udf(_similar, "boolean")
-    return both.where(F.col("first") != F.col("last")).select("channel", "message_id", same("first", "last").alias("same"))
+    return both.where(F.col("first") != F.col("last")).select("channel", "message_id", similar_texts(F.col("first"), F.col("last")).alias("same"))
 
 
-def _similar(a: "pd.Series", b: "pd.Series") -> "pd.Series":  # noqa: F821
-    import pandas
-
-    return pandas.Series([similar_text(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
-_similar.__annotations__ = {"a": __import__("pandas").Series, "b": __import__("pandas").Series, "return": __import__("pandas").Series}
-
 QUERIES = {
     "word_search_single": _search("crashes", "words"),
     "word_search_and": _search("layout engine crashes", "words"),

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaystone.functions.text import similar_texts
 from quaystone.operators.incremental import Manifest, ManifestLog
 
 SCHEMA_VERSION = 1
@@ -58,12 +59,12 @@ def claim_identity(channels: DataFrame, username: str, raw_id: int | None, group
             raise ValueError(f"id {raw_id} is stored under {row['channel']}")
 
 
-def confirm_history(stored: DataFrame, new: DataFrame, similar: Callable) -> DataFrame:
+def confirm_history(stored: DataFrame, new: DataFrame) -> DataFrame:
     """``(agree, disagree)`` over ids that both have: dates within a second, and unedited texts with words that are the same."""
     pairs = stored.select(*KEY, F.col("date").alias("d1"), F.col("text").alias("t1"), F.col("is_edited").alias("e1")).join(new.select(*KEY, F.col("date").alias("d2"), F.col("text").alias("t2"), F.col("is_edited").alias("e2")), KEY)
     near = F.abs(F.unix_millis("d1") - F.unix_millis("d2")) <= 1000
     comparable = ~F.col("e1") & ~F.col("e2") & F.col("t1").rlike(r"[\p{L}\p{N}]") & F.col("t2").rlike(r"[\p{L}\p{N}]")
-    same = F.when(comparable, similar(F.col("t1"), F.col("t2"))).otherwise(True)
+    same = ~comparable | similar_texts(F.col("t1"), F.col("t2"))
     return pairs.agg(F.count_if(near & same & comparable).alias("agree"), F.count_if(~near | ~same).alias("disagree"))
 
 

@@ -17,7 +17,7 @@ from quaystone.sources import crawl, markup, resolutions
 from quaystone.streaming.crawlstate import CrawlState, Page, walk
 from quaystone.streaming.ingest import apply_batch, ingest_stream, page_counts
 from quaystone.streaming.lease import Lease, LeaseLost
-from tests.conftest import rows_of
+from tests.conftest import at, rows_of
 
 URLS = [
     ("http://Example.ORG/A/", "https://example.org/A"), ("https://www.example.org:443", "https://example.org"), ("https://example.org:8080/x", "https://example.org:8080/x"), ("https://example.org/?utm_x=1&b=2&a=1&A=0#f", "https://example.org?A=0&a=1&b=2"),
@@ -172,6 +172,15 @@ def test_identity(spark):
     store.claim_identity(channels, "g", 2, group=True)
 
 
+def test_history_and_candidates(spark):
+    rows = lambda *r: spark.createDataFrame([("a", i, d, t, e, k) for i, d, t, e, k in r], "channel string, message_id bigint, date timestamp, text string, is_edited boolean, kind string")
+    old = rows((1, at(1), "one two three", False, "text"), (2, at(2), "x", True, "text"), (3, at(3), None, False, "photo"), (4, at(4), "same", False, "text"), (5, at(100), "p", False, "photo"))
+    new = rows((1, at(1), "One, two three!", False, "text"), (2, at(2), "other", False, "text"), (3, at(3, 1), None, False, "photo"), (4, at(4), "different words here", False, "text"), (9, at(9), "n", False, "text"))
+    assert tuple(store.confirm_history(old, new).first()) == (1, 2)
+    found = rows_of(store.verification_candidates(old, "Europe/Berlin", newest=1))
+    assert found == [("media", 5), ("offset", 1), ("offset", 5), ("text", 4)]
+
+
 def test_lease(spark, tmp_path):
     now = [0.0]
     one, two = (Lease(spark, str(tmp_path), "a", 120, lambda: now[0]) for _ in range(2))
