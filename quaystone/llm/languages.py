@@ -66,7 +66,6 @@ class LanguageModel:
     def __init__(self, counts: dict[str, Counter]):
         """``counts``: for each language, its words with their frequencies."""
         self.languages = tuple(counts)
-        self._context: list[dict[str, Counter]] = []
         grams: dict[str, dict[str, float]] = {}
         totals: dict[str, dict[str, float]] = {}
         for lang, words in counts.items():

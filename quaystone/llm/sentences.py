@@ -226,14 +226,13 @@ class Boundaries:
         model = cls()
         ends, seen, examples = Counter(), Counter(), []
         for text in texts:
-            closing = None
-            for at, stop, end, context in model.candidates(text):
+            for at, stop, _, context in model.candidates(text):
                 if context is None:
-                    m = re.search(r"(\S*?)([.!?…]+)$", text[at:stop].rstrip()[-40:])
-                    closing = (m[1].split("(")[-1], m[2]) if m else None
-                    if closing:
-                        ends[closing[0].lower()] += 1
-                        seen[closing[0].lower()] += 1
+                    m = re.search(r"(\S*?)[.!?…]+$", text[at:stop].rstrip()[-40:])
+                    if m:
+                        last = _own(m[1].split("(")[-1]).lower()
+                        ends[last] += 1
+                        seen[last] += 1
                     continue
                 if context[0] == ".":
                     seen[context[1].lower()] += 1
@@ -249,7 +248,7 @@ class Boundaries:
                     examples.append(((m[2], word if m[2] == "." else "", False, False, _kind(last), False, _kind(first[1]), ""), True))
         for word, n in seen.items():
             share = ends[word] / n
-            if n >= 40:  # a word that does end sentences would by then have ended a block
+            if n >= 60:  # a word that does end sentences would by then have ended a block
                 model.rates[word] = "never" if ends[word] == 0 else "seldom" if share < 0.01 else "usual"
         grouped: Counter = Counter()
         for context, label in examples:
