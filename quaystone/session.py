@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return builder.config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once, so that none needs it installed or on its path."""
+    context = spark.sparkContext
+    if getattr(context, "_quaystone_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quaystone-code-")) / "quaystone.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._quaystone_shipped = True
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One table of a data folder: a parquet file or a folder of them."""
     return spark.read.parquet(f"{base}/{name}.parquet")
