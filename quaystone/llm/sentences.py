@@ -3,17 +3,17 @@
 Candidates are runs of sentence-final punctuation outside brackets and quotations.
 Each is judged by a maximum-entropy model over its neighbours: what stands before
 (length, case, digits, inner stops, how often this word ends a block), what comes
-after, and the script. The model is fitted on boundaries that leave no doubt, found
-in a bounded sample of the documents themselves: stops at the end of a block are
-boundaries, stops before a small letter, a comma or a digit of the same number are
-none. The fit starts from and is held to prior weights, so that little data do no
-harm.
+after, and the script. How often words end blocks is counted over all documents. The
+weights are fitted on boundaries that leave no doubt, found in a bounded sample of the
+documents: stops at the end of a block are boundaries, stops before a small letter, a
+comma or a digit of the same number are none. The fit starts from and is held to prior
+weights, so that little data do no harm.
 """
 
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,14 +33,16 @@ MONTHS = frozenset("januar februar märz april mai juni juli august september ok
 FINAL = ".!?…。！？｡．।॥؟۔"
 HARD = frozenset("。！？｡।॥؟۔")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "‹": "›", '"': '"'}
+_ENDINGS = ".!?…"
 #: Marks that close what a sentence stands in; those that also open are left to the pairing.
 CLOSERS = "')]”’」』）】》›»"
 
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*|\n(?=[^\S\n]*[•*\-·‣◦▪●][^\S\n])")
 _PAIRED = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
-_CANDIDATE = re.compile(rf"(?:(?<!\d)\.|\.(?!\d)|[{FINAL[1:]}])[{FINAL}]*")
+_CANDIDATE = re.compile(rf"[{FINAL}](?:(?<!\d\.)|(?!\d))[{FINAL}]*")
 _AFTER = re.compile(rf"[{re.escape(CLOSERS)}]*(?:[ \u00a0\u202f]»)?")
-_WORD = re.compile(r"[^\s“„«「『(（\[\"'¿¡—]*$")
+#: All up to the start of the last word.
+_UP_TO_WORD = re.compile(r".*[\s“„«「『(（\[\"'¿¡—]", re.DOTALL)
 _NEXT = re.compile(r"(\s*)([“„«「『(（\[\"'¿¡—–\s-]*)(\S?)([^\W_]*)")
 _NUMBERING = re.compile(r"^\s*(?:[•*\-·‣◦▪●]\s+)?(?:\d+(?:\.\d+)*|[A-Za-zА-Яа-я])$")
 
@@ -49,11 +51,19 @@ _NUMBERING = re.compile(r"^\s*(?:[•*\-·‣◦▪●]\s+)?(?:\d+(?:\.\d+)*|[A-
 _JOINED = re.compile(r".*(?:[^\W\d_]{3,}|[\d%)»”])[.!?]+(?=[A-ZÀ-ÖØ-ÞА-ЯЁЄІЇ])")
 
 
-def _own(word: str) -> str:
-    m = _JOINED.match(word)
+def _bare(text: str) -> str:
+    m = _UP_TO_WORD.match(text)
+    return text[m.end() :] if m else text
+
+
+def _last_word(text: str, at: int, stop: int) -> str:
+    """The word that stands before ``stop``, in at most 24 characters."""
+    word = _bare(text[max(at, stop - 24) : stop].removesuffix("\n"))
+    m = _JOINED.match(word) if "." in word or "!" in word or "?" in word else None
     return word[m.end() :] if m else word
 
 
+@lru_cache(maxsize=1 << 14)
 def _kind(c: str) -> str:
     if not c:
         return "none"
@@ -148,12 +158,17 @@ class Boundaries:
 
     def candidates(self, text: str) -> Iterator[tuple[int, int, int, tuple | None]]:
         """(block start, block end, candidate's end, context) in order; context is None at the end of a block."""
-        at = 0
-        for gap in [*_BLOCK.finditer(text), None]:
-            stop = gap.start() if gap else len(text)
+        for at, stop in self._blocks(text):
             yield from self._in_block(text, at, stop)
             yield at, stop, stop, None
-            at = gap.end() if gap else stop
+
+    @staticmethod
+    def _blocks(text: str) -> Iterator[tuple[int, int]]:
+        at = 0
+        for gap in _BLOCK.finditer(text):
+            yield at, gap.start()
+            at = gap.end()
+        yield at, len(text)
 
     @staticmethod
     def _spans(text: str, at: int, stop: int) -> list[tuple[int, int]]:
@@ -177,7 +192,9 @@ class Boundaries:
                 outer.append((lo, hi))
         return outer
 
-    def _in_block(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int, int, tuple]]:
+    def _stops(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int, str, bool]]:
+        """(start, end with closing marks, punctuation, at the end of a quoted part) of the candidates inside a block."""
+        solid = at + len(text[at:stop].rstrip())
         spans = self._spans(text, at, stop)
         k, last = 0, -1
         for m in _CANDIDATE.finditer(text, at, stop):
@@ -192,14 +209,17 @@ class Boundaries:
                 if text[end:close].strip():
                     continue
                 end, quoted = close + 1, True
-            end = _AFTER.match(text, end, stop).end() if not quoted else end
+            if not quoted and end < stop and (not text[end].isspace() or text[end + 1 : end + 2] == "»"):
+                end = _AFTER.match(text, end, stop).end()
             last = end
-            run = m[0]
-            term = next((c for c in run if c in HARD), None) or next((c for c in run if c in "!?"), None) or ("…" if len(run) > 1 or run == "…" else ".")
-            word = _own(_WORD.search(text, max(at, i - 24), i)[0]) if term in ".…" else ""
+            if end < solid:  # else it is the end of the block
+                yield i, end, m[0], quoted
+
+    def _in_block(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int, int, tuple]]:
+        for i, end, run, quoted in self._stops(text, at, stop):
+            term = "." if run == "." else next((c for c in run if c in HARD), None) or next((c for c in run if c in "!?"), None) or "…"
+            word = _last_word(text, at, i) if term in ".…" else ""
             n = _NEXT.match(text, end, stop)
-            if n[3] == "" and not n[2].strip():
-                continue  # the end of the block
             before = next((c for c in text[max(at, i - 2) : i][::-1] if c.isalnum()), "")
             numbering = term == "." and i - at < 14 and bool(_NUMBERING.match(text[at:i]))
             yield at, stop, end, (term, word[-24:], numbering, quoted, _kind(before), not n[1], _kind(n[3]), (n[3] + n[4])[:12] if word.isdigit() else "." if len(word) == 1 and word.isascii() and not n[4] and text[n.end() : n.end() + 1] == "." else "")
@@ -220,36 +240,42 @@ class Boundaries:
             start = end
         return units
 
+    def tally(self, text: str, seen: Counter, ends: Counter) -> None:
+        """Add how often each word of ``text`` stands before a stop, and how often before one that ends a block."""
+        for at, stop in self._blocks(text):
+            for i, _, run, _ in self._stops(text, at, stop):
+                if run == ".":
+                    seen[_last_word(text, at, i).lower()] += 1
+            tail = text[max(at, stop - 64) : stop].rstrip()
+            if tail[-1:] in _ENDINGS:
+                tail = tail.rstrip(_ENDINGS)
+                last = _last_word(tail, 0, len(tail)).lower()
+                seen[last] += 1
+                ends[last] += 1
+
     @classmethod
-    def fit(cls, texts: list[str], strength: float = 0.5, rounds: int = 60) -> "Boundaries":
-        """Weights for the reliable boundaries of ``texts``, held to the prior by ``strength``."""
-        model = cls()
+    def fit(cls, texts: list[str], strength: float = 0.5, rounds: int = 60, rates: dict[str, str] | None = None) -> "Boundaries":
+        """Weights for the reliable boundaries of ``texts``, held to the prior by ``strength``.
+
+        ``rates``: how words end blocks; without them they are counted in ``texts``.
+        """
+        model = cls(rates=rates)
         ends, seen, examples = Counter(), Counter(), []
         for text in texts:
-            for at, stop, _, context in model.candidates(text):
-                if context is None:
-                    m = re.search(r"(\S*?)[.!?…]+$", text[at:stop].rstrip()[-40:])
-                    if m:
-                        last = _own(m[1].split("(")[-1]).lower()
-                        ends[last] += 1
-                        seen[last] += 1
-                    continue
-                if context[0] == ".":
-                    seen[context[1].lower()] += 1
-                examples.append((context, None))
+            if rates is None:
+                model.tally(text, seen, ends)
+            examples += [(context, None) for _, _, _, context in model.candidates(text) if context is not None]
             # A block's last stop with the first word of the next block is a boundary between two sentences.
             blocks = [b.strip() for b in _BLOCK.split(text)]
             for a, b in zip(blocks, blocks[1:]):
                 m = re.search(r"(\S{0,24}?)([.!?])$", a)
                 first = re.match(r"[“„«「『(（\[\"'¿¡]*(\S)", b)
                 if m and first and first[1] not in "•*-":
-                    word = _WORD.search(m[1])[0]
+                    word = _bare(m[1])
                     last = next((c for c in reversed(m[1]) if c.isalnum()), "")
                     examples.append(((m[2], word if m[2] == "." else "", False, False, _kind(last), False, _kind(first[1]), ""), True))
-        for word, n in seen.items():
-            share = ends[word] / n
-            if n >= 60:  # a word that does end sentences would by then have ended a block
-                model.rates[word] = "never" if ends[word] == 0 else "seldom" if share < 0.01 else "usual"
+        if rates is None:
+            model.rates = judged(((word, n, ends[word]) for word, n in seen.items()), sum(seen.values()), sum(ends.values()))
         grouped: Counter = Counter()
         for context, label in examples:
             if label is None:
@@ -281,10 +307,67 @@ class Boundaries:
         return model
 
 
+#: Sightings below which nothing is said of a word.
+LEAST_SEEN = 60
+#: Words that a task counts before it hands its counts on.
+HELD = 200_000
+
+
+def judged(counts: Iterable[tuple[str, int, int]], seen: int, ends: int) -> dict[str, str]:
+    """How words end blocks, from ``(word, sightings, ends)`` and the sums of both over all words.
+
+    A word never or seldom ends one if the upper 95 % bound (Wilson) of its share lies
+    below 5 % and below 0.3 of the share of all words. A few ends among very many sightings
+    (texts cut off, slips) leave a word at never. Words without an end whose bound is
+    higher are not judged.
+    """
+    bar = min(0.05, 0.3 * ends / max(seen, 1))
+    zz = 1.645**2
+    rates = {}
+    for word, n, k in counts:
+        if n < LEAST_SEEN:
+            continue
+        share = k / n
+        upper = (share + zz / (2 * n) + (zz * (share * (1 - share) / n + zz / (4 * n * n))) ** 0.5) / (1 + zz / n)
+        if share >= 0.01:
+            rates[word] = "usual"
+        elif upper < bar:
+            rates[word] = "never" if share < 0.002 else "seldom"
+    return rates
+
+
+def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model, seen, ends = Boundaries(), Counter(), Counter()
+
+    def counted() -> pa.RecordBatch:
+        words = [None, *seen]  # the row without a word has the sums
+        all_seen, all_ends = [sum(seen.values()), *seen.values()], [sum(ends.values()), *(ends[w] for w in seen)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(all_seen, pa.int64()), pa.array(all_ends, pa.int64())], ["word", "seen", "ends"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            model.tally(text, seen, ends)
+            if len(seen) > HELD:
+                yield counted()
+                seen.clear()
+                ends.clear()
+    yield counted()
+
+
+def block_ends(documents: DataFrame, text: str) -> dict[str, str]:
+    """How words end blocks, counted over all documents; tasks hand on one row a word, the driver gets the words seen often."""
+    rows = documents.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(text).cast("string"))
+    words = rows.mapInArrow(_tally_batches, "word string, seen bigint, ends bigint").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    counts = words.where(F.col("word").isNull() | (F.col("seen") >= LEAST_SEEN)).toArrow().to_pydict()
+    found = dict(zip(counts["word"], zip(counts["seen"], counts["ends"])))
+    seen, ends = found.pop(None, (0, 0))
+    return judged(((word, *n) for word, n in found.items()), seen, ends)
+
+
 def fit_boundaries(documents: DataFrame, key: str, text: str, sample: int = 1500) -> Boundaries:
-    """A model fitted on about ``sample`` documents, chosen by their hashed keys; the rest of the corpus is not needed for it."""
+    """A model with the block ends of all documents and weights fitted on about ``sample`` of them, chosen by their hashed keys."""
     rows = hashed_sample(documents, key, [F.col(text).alias("t")], sample, F.col(text).isNotNull() & (F.length(text) > 0))
-    return Boundaries.fit([r["t"] for r in rows])
+    return Boundaries.fit([r["t"] for r in rows], rates=block_ends(documents, text))
 
 
 def _split_batches(model: Boundaries, schema: pa.Schema) -> Callable:

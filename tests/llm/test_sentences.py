@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quaystone.llm.sentences import Boundaries, sentence_texts, sentences
+from quaystone.llm.sentences import Boundaries, block_ends, fit_boundaries, judged, sentence_texts, sentences
 
 CASES = [
     ["One stop.", "Two stops!", "Is it three?"],
@@ -61,3 +61,25 @@ def test_table(spark):
     assert got == [(1, 1, 0, 4), (1, 1, 0, 4), (1, 2, 5, 9), (1, 2, 5, 9), (5, 1, 0, 200_001), (5, 2, 200_002, 200_003)]
     assert sentences(df.limit(0)).count() == 0
     assert {r["doc_id"]: r["sentences"] for r in sentence_texts(df).where("doc_id = 1").collect()} == {1: ["One.", "Two."]}
+
+
+def test_block_ends_are_counted_over_all_documents(spark):
+    rare = [(i, f"Yesterday Qvbr. Alden came to town {i % 7} and left.") for i in range(150)]
+    parts = ["The list is long.", "Nobody read it before.", "It stays here.", "The end of it is near."]
+    rest = [(i, " ".join(parts[i % 4 :] + parts[: i % 4])) for i in range(1000, 5000)]
+    df = spark.createDataFrame(rare + rest, "doc_id bigint, text string").repartition(7)
+    assert block_ends(df, "text") == {"qvbr": "never", "left": "usual", "long": "usual", "before": "usual", "here": "usual", "near": "usual"}
+    model = fit_boundaries(df, "doc_id", "text", sample=100)
+    text = "Yesterday Qvbr. Alden came to town 3 and left. He slept."
+    assert [text[a:b] for a, b in model.split(text)] == ["Yesterday Qvbr. Alden came to town 3 and left.", "He slept."]
+    # The sample may be any part of the table; the counts are those of all of it.
+    texts = [t for _, t in rare + rest]
+    assert block_ends(df, "text") == Boundaries.fit(texts, rounds=0).rates == block_ends(df.repartition(2), "text")
+    assert block_ends(df.limit(0), "text") == {}
+
+
+def test_words_are_judged_by_bounds():
+    assert judged([("a", 59, 0), ("b", 60, 0), ("c", 60, 6), ("d", 9000, 3), ("e", 9000, 80), ("f", 9000, 400)], 100_000, 20_000) == {"b": "never", "c": "usual", "d": "never", "e": "seldom", "f": "usual"}
+    # Where few stops end a block, few sightings say nothing.
+    assert judged([("b", 60, 0), ("g", 2000, 0)], 100_000, 1_000) == {"g": "never"}
+    assert judged([("b", 6000, 0)], 6000, 0) == {}
