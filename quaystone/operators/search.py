@@ -193,10 +193,10 @@ def hits(index: DataFrame, text: str, mode: str = "both", where: SearchFilter =
 
 
 def ranked_page(found: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
-    """Rows of ``hits`` in their one order; a negative limit gives nothing, none means MAX_LIMIT."""
-    limit = MAX_LIMIT if limit is None else min(max(limit, 0), MAX_LIMIT)
+    """Rows of ``hits`` in their one order; a negative limit gives nothing, none gives all."""
     ordered = found.orderBy("tier", F.round("rank", 12), *KEY)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    rest = ordered.offset(offset) if offset else ordered
+    return rest if limit is None else rest.limit(min(max(limit, 0), MAX_LIMIT))
 
 
 def match_count(index: DataFrame, text: str, mode: str = "both", where: SearchFilter = SearchFilter(), with_stems: bool = True) -> DataFrame:

@@ -184,3 +184,9 @@ def test_api(spark):
     assert post["message_id"] == 1 and [r["count"] for r in post["reactions"]] == [3, 2] and reader.get_post("a/99") is None
     with pytest.raises(ToolError):
         reader.get_post("nonsense")
+
+
+def test_no_limit_gives_every_hit(spark):
+    n = search.MAX_LIMIT + 5
+    found = spark.range(n).select(F.lit("a").alias("channel"), F.col("id").alias("message_id"), F.lit(0).alias("tier"), F.lit(-1.0).alias("rank"))
+    assert search.ranked_page(found, None).count() == n and search.ranked_page(found, None, 3).count() == n - 3
