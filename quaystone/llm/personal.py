@@ -316,7 +316,7 @@ class Pseudonyms:
 
     def tag(self, value: str) -> str:
         bare = " ".join(value.split()).casefold()
-        return hashlib.blake2b(bare.encode(), key=self._key[:64], digest_size=5).hexdigest()
+        return hashlib.blake2b(bare.encode(), key=self._key[:64], digest_size=16).hexdigest()
 
     def placeholder(self, value: str, kind: str) -> str:
         plain = _plain(value)[0]

@@ -84,3 +84,8 @@ def test_rest_of_the_text_is_untouched():
     text = "Спасибо, доклад был у Нины Снегоряевой.\nSSN 000-54-3985!"
     out = redact(text, find_in_text(text), Pseudonyms(b"k"))
     assert re.fullmatch(r"Спасибо, доклад был у \[NAME:\w+\]\.\nSSN \[ID_NUMBER:\d{3}-\d{2}-\d{4}\]!", out)
+
+
+def test_tags_are_too_long_to_meet():
+    names = Pseudonyms(b"example")
+    assert len(names.tag("Anna Schmidt")) == 32 and names.tag("Anna  Schmidt") == names.tag("anna schmidt") != names.tag("Anna Schmitt")
