@@ -405,5 +405,6 @@ def sentence_texts(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """``(key, sentences)``: the sentences of each document as an array of texts; documents without any have no row."""
     model = fit_boundaries(documents, key, text)
     split = F.pandas_udf(lambda s: s.map(lambda t: [t[a:b] for a, b in model.split(t)]), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR)
+    split = split.asNondeterministic()  # else the filter below splits every text a second time
     rows = documents.where(F.col(text).isNotNull()).select(key, split(F.col(text)).alias("sentences"))
     return rows.where(F.size("sentences") > 0)
