@@ -1,8 +1,9 @@
-"""Ranked word search, ordered phrases, substrings, and the words-first merge of both.
+"""Queries, filters and ranked search over a table that has no index.
 
 A searchable table has ``channel, message_id, date, kind, content`` (see
 ``searchable``). Ranks are BM25 with the statistics of the whole table, taken
-before any filter; lower is better, and ties are broken by channel and id.
+before any filter; lower is better, and ties are broken by channel and id. A query
+here reads the whole table; ``operators.index`` gives the same from files.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quaystone.functions.stems import stem, stem_line
-from quaystone.functions.text import count_in_line, fold_yo, line_length, line_words, word_line, words_of
+from quaystone.functions.text import count_in_line, fold_yo, line_length, word_line, words_of
 from quaystone.session import cut_lineage
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -204,50 +205,6 @@ def match_count(index: DataFrame, text: str, mode: str = "both", where: SearchFi
     return hits(index, text, mode, where, with_stems).agg(F.count(F.lit(1)).alias("total"))
 
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    """``(word, documents, occurrences)`` of the whole index; every document's words are counted before the shuffle."""
-    by_doc = index.select(*KEY, F.explode(line_words(F.col("words"))).alias("word")).groupBy("word", *KEY).agg(F.count(F.lit(1)).alias("n"))
-    return by_doc.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences"))
-
-
-def write_postings(index: DataFrame, folder: str, buckets: int = 256) -> None:
-    """The index as files: postings in buckets of hashed words, sorted by word, so that a query reads a few row groups; and lengths.
-
-    ``folder/postings`` has word, field, channel, message_id, date, kind, dl, positions.
-    """
-    lists = [
-        index.select(*KEY, "date", "kind", F.col("length").alias("dl"), F.lit(name).alias("field"), F.posexplode(line_words(F.col(name))).alias("pos", "word"))
-        for name in ("words", "stems")
-    ]
-    rows = reduce(DataFrame.unionByName, lists).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    # A word that a third of all documents have is spread over files by the document's hash.
-    spread = F.pmod(F.xxhash64(*KEY), F.lit(8))
-    rows.repartition("bucket", spread).sortWithinPartitions("bucket", "word", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).write.mode("overwrite").parquet(f"{folder}/stats")
-
-
-def search_postings(spark, folder: str, text: str, buckets: int = 256, with_stems: bool = True) -> DataFrame:
-    """``word_hits`` of loose words over ``write_postings`` files: only the buckets of the query's words are read."""
-    query = parse_query(text)
-    if query.phrases:
-        raise ValueError("phrases are searched in the table itself")
-    stats = spark.read.parquet(f"{folder}/stats").first()
-    rows = spark.read.parquet(f"{folder}/postings")
-    score, required = None, len(query.tokens)
-    wanted = [(i, name, p[0]) for i, term in enumerate(_terms(query, with_stems)) for name, p in term]
-    if not wanted:
-        return rows.limit(0).select(*KEY, F.lit(0.0).alias("rank"))
-    terms = spark.createDataFrame([(*w,) for w in wanted], "term int, field string, word string")
-    buckets_of = [r[0] for r in terms.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")).distinct().collect()]
-    rows = rows.where(F.col("bucket").isin(buckets_of) & F.col("word").isin([w for _, _, w in wanted])).join(F.broadcast(terms), ["field", "word"])
-    by_doc = rows.groupBy("term", "field", *KEY).agg(F.count(F.lit(1)).alias("f"), F.max("dl").alias("dl"))
-    known = {(r["term"], r["field"]): r["n"] for r in by_doc.groupBy("term", "field").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = F.create_map(*[x for (t, name), n in known.items() for x in (F.lit(f"{t}/{name}"), F.lit(max(math.log((stats["n"] - n + 0.5) / (n + 0.5)), LEAST_IDF)))]) if known else F.create_map(F.lit(""), F.lit(0.0))
-    score = -idf[F.concat_ws("/", "term", "field")] * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg"] or 1.0)))
-    ranked = by_doc.withColumn("s", score).groupBy(*KEY).agg(F.sum("s").alias("rank"), F.count_distinct("term").alias("terms"))
-    return ranked.where(F.col("terms") == required).select(*KEY, "rank")
-
-
 def stale_rows(index: DataFrame, posts: DataFrame) -> DataFrame:
     """Index rows whose post is gone."""
     return index.join(posts.select(*KEY), KEY, "left_anti")

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, count_in_line, fold_channel, iso_instant, permalink, similar_texts, snippet
+from quaystone.functions.stems import CYRILLIC_ENDINGS, LATIN_ENDINGS
+from quaystone.functions.text import FOLD_FROM, FOLD_TO, chat_id, day_after, fold_channel, iso_instant, parse_bound, permalink, similar_texts, snippet
 from quaystone.functions.urls import SPEC_VERSION, canonical_url_of
-from quaystone.operators import integrity, links, records, search
+from quaystone.operators import index, integrity, links, records, search
 from quaystone.operators.carry import carry_forward
 from quaystone.operators.deliveries import newest_rows
-from quaystone.session import spread, table
+from quaystone.session import shared_folder, state_of, table
 from quaystone.sources import archive as store
 from quaystone.sources.markup import listing_posts
 
 POST_COLUMNS = ["date", "kind", "media_count", "text", "author_name", "is_edited", "reply_to", "views_value", "views_is_approximate", "hashtags", "poll", "deleted_at", "fetched_at", "row_id"]
 
 
-def document_index(spark: SparkSession, base: str, with_stems: bool = False) -> DataFrame:
+#: Folders of the indexes that this process has written, by application, tables' state and name.
+_WRITTEN: dict[str, str] = {}
+
+
+def _stored_index(spark: SparkSession, base: str, tables: list[str], name: str, searchable) -> index.SearchIndex:
+    """The index of a table in the shared folder, written by the first query that needs it and again once the table's files change."""
+    key = "-".join([spark.sparkContext.applicationId, name, *[state_of(spark, base, t) for t in tables]])
+    if key not in _WRITTEN:
+        folder = shared_folder(spark, f"index-{name}-{uuid.uuid4().hex}")
+        index.write_index(searchable(), lambda part: f"{folder}/{part}")
+        _WRITTEN[key] = folder
+    return index.read_index(spark, lambda part: [f"{_WRITTEN[key]}/{part}"])
+
+
+def searchable_documents(spark: SparkSession, base: str) -> DataFrame:
     """Documents as a searchable table: source as channel, doc_id as id, language as kind."""
-    docs = spread(table(spark, base, "documents")).select(F.col("source").alias("channel"), F.col("doc_id").alias("message_id"), F.col("collected_at").alias("date"), F.col("lang").alias("kind"), F.col("text").alias("content"))
-    return search.indexed(docs, with_stems)
+    return table(spark, base, "documents").select(F.col("source").alias("channel"), F.col("doc_id").alias("message_id"), F.col("collected_at").alias("date"), F.col("lang").alias("kind"), F.col("text").alias("content"))
+
+
+def document_index(spark: SparkSession, base: str) -> index.SearchIndex:
+    return _stored_index(spark, base, ["documents"], "documents", lambda: searchable_documents(spark, base))
 
 
 def current_posts(spark: SparkSession, base: str) -> DataFrame:
@@ -28,22 +48,25 @@ def current_posts(spark: SparkSession, base: str) -> DataFrame:
     return newest_rows(table(spark, base, "post").select("channel", "message_id", *POST_COLUMNS), POST_COLUMNS)
 
 
-def post_index(spark: SparkSession, base: str) -> DataFrame:
+def searchable_posts(spark: SparkSession, base: str) -> DataFrame:
     previews = table(spark, base, "link").select("channel", "message_id", "preview.title", "preview.description")
-    posts = current_posts(spark, base).withColumn("date", F.col("fetched_at"))
-    return search.indexed(search.searchable(posts, previews), with_stems=False)
+    return search.searchable(current_posts(spark, base).withColumn("date", F.col("fetched_at")), previews)
+
+
+def post_index(spark: SparkSession, base: str) -> index.SearchIndex:
+    return _stored_index(spark, base, ["post", "link"], "posts", lambda: searchable_posts(spark, base))
 
 
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("channel", "message_id", "tier", F.round("rank", 9).alias("rank"))
 
 
-def _search(text: str, mode: str, where: search.SearchFilter = search.SearchFilter()):
-    return lambda s, d: _shown(search.hits(document_index(s, d), text, mode, where, with_stems=False))
+def _search(text: str, mode: str, where: search.SearchFilter = search.SearchFilter(), with_stems: bool = True):
+    return lambda s, d: _shown(index.hits(document_index(s, d), text, mode, where, with_stems))
 
 
-def _timestamp(text: str) -> object:
-    return F.to_timestamp(F.lit(text))
+def _page(text: str, mode: str, offset: int, limit: int):
+    return lambda s, d: _shown(index.page_of(document_index(s, d), text, mode, search.SearchFilter(), offset, limit)[0])
 
 
 IN_2024 = {"since": "2024-01-01T00:00:00Z", "until": "2024-06-30T00:00:00Z"}
@@ -89,29 +112,36 @@ def _same_text(s, d):
 QUERIES = {
     "word_search_single": _search("crashes", "words"),
     "word_search_and": _search("layout engine crashes", "words"),
+    "word_search_surface": _search("layout engine crashes", "words", with_stems=False),
     "word_search_diacritics": _search("Generateur déjà", "words"),
     "word_search_cyrillic_yo": _search("ещё работает", "words"),
-    "word_search_stems": lambda s, d: _shown(search.hits(document_index(s, d, True), "уведомления сервисы", "words")),
+    "word_search_stems": _search("уведомления сервисы", "words"),
     "phrase_search": _search('"code generator"', "words"),
+    "phrase_surface": _search('"code generator"', "words", with_stems=False),
     "phrase_with_loose_word": _search('«build cache» slow', "words"),
-    "phrase_vs_and": lambda s, d: document_index(s, d).agg(
-        F.count_if(count_in_line(F.col("words"), ["layout", "engine"]) > 0).alias("phrase"),
-        F.count_if((count_in_line(F.col("words"), ["layout"]) > 0) & (count_in_line(F.col("words"), ["engine"]) > 0)).alias("loose"),
-    ),
+    "phrase_vs_and": lambda s, d: index.hits(document_index(s, d), '"layout engine"', "words").agg(F.count(F.lit(1)).alias("phrase")).select("phrase", F.lit(index.hits(document_index(s, d), "layout engine", "words").count()).cast("bigint").alias("loose")),
     "substring_search": _search("yout engi", "substring"),
+    "substring_rare": _search("oomla", "substring"),
+    "substring_with_marks": _search("e-mail", "substring"),
     "search_both_merged": _search("push token", "both"),
-    "search_both_total": lambda s, d: search.match_count(document_index(s, d), "retry", "both", with_stems=False),
+    "search_both_total": lambda s, d: s.range(1).select(F.lit(index.page_of(document_index(s, d), "retry", "both", search.SearchFilter(), 0, 0)[1]).cast("bigint").alias("total")),
     "search_filtered_channel": _search("release", "words", search.SearchFilter(channel="@Export/Loomlab")),
     "search_filtered_kind": _search("release", "both", search.SearchFilter(kind="en")),
-    "search_date_from_to": lambda s, d: _shown(search.hits(document_index(s, d), "release", "words", search.SearchFilter(since=s.range(1).select(_timestamp(IN_2024["since"])).first()[0], until=s.range(1).select(_timestamp(IN_2024["until"])).first()[0]), False)),
-    "search_day_exclusive": lambda s, d: _shown(search.hits(document_index(s, d), "release", "words", search.SearchFilter(before=s.range(1).select(_timestamp("2024-07-01T00:00:00Z")).first()[0]), False)),
-    "search_top_20": lambda s, d: _shown(search.ranked_page(search.hits(document_index(s, d), "search index", "both", with_stems=False), 20)),
-    "search_page_2": lambda s, d: _shown(search.ranked_page(search.hits(document_index(s, d), "search index", "both", with_stems=False), 20, 20)),
-    "bm25_rank_ties": lambda s, d: search.hits(document_index(s, d), "the", "words", with_stems=False).groupBy(F.round("rank", 9).alias("rank")).agg(F.count(F.lit(1)).alias("documents")),
-    "post_search_widened": lambda s, d: _shown(search.hits(post_index(s, d), "crash reporter", "words", with_stems=False)),
-    "token_document_frequency": lambda s, d: search.document_frequencies(document_index(s, d)),
-    "doc_length_stats": lambda s, d: document_index(s, d).agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("length"), 6).alias("average"), F.max("length").alias("longest")),
-    "stale_index_rows": lambda s, d: search.stale_rows(table(s, d, "reaction").select("channel", "message_id").distinct(), current_posts(s, d)),
+    "search_filtered_phrase": _search('"code generator"', "both", search.SearchFilter(kind="en")),
+    "search_date_from_to": _search("release", "words", search.SearchFilter(since=parse_bound(IN_2024["since"])[0], until=parse_bound(IN_2024["until"])[0])),
+    "search_day_exclusive": _search("release", "words", search.SearchFilter(before=day_after(parse_bound("2024-06-30")[0]))),
+    "search_top_20": _page("search index", "both", 0, 20),
+    "search_page_2": _page("search index", "both", 20, 20),
+    "search_page_of_7": _page("search index", "words", 14, 7),
+    "search_page_past_words": _page("yout engine", "both", 0, 500),
+    "bm25_rank_ties": lambda s, d: index.hits(document_index(s, d), "the", "words").groupBy(F.round("rank", 9).alias("rank")).agg(F.count(F.lit(1)).alias("documents")),
+    "post_search_widened": lambda s, d: _shown(index.hits(post_index(s, d), "crash reporter", "words")),
+    "post_search_both": lambda s, d: _shown(index.hits(post_index(s, d), "signpost", "both")),
+    "search_without_index": lambda s, d: _shown(search.hits(search.indexed(searchable_documents(s, d)), "push token", "both")),
+    "token_document_frequency": lambda s, d: index.document_frequencies(document_index(s, d)),
+    "stem_document_frequency": lambda s, d: index.document_frequencies(document_index(s, d), index.STEM),
+    "doc_length_stats": lambda s, d: document_index(s, d).texts.agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("dl"), 6).alias("average"), F.max("dl").cast("bigint").alias("longest")),
+    "stale_index_rows": lambda s, d: index.stale_documents(document_index(s, d), searchable_documents(s, d).where(F.col("kind") != "en")),
     "url_canonical": lambda s, d: table(s, d, "link").select("link_id", canonical_url_of(F.col("url_raw")).alias("url_canonical"), F.lit(SPEC_VERSION).alias("spec_version")).distinct(),
     "effective_url": lambda s, d: links.resolved_links(table(s, d, "link"), table(s, d, "url_resolution")).select("link_id", "url_canonical", "resolved_canonical", "effective").distinct(),
     "links_to_url": lambda s, d: links.links_to(table(s, d, "link"), table(s, d, "url_resolution"), "http://www.sho.example/1017/?utm_source=feed").select("link_id", "channel", "message_id", "ord", "effective"),
@@ -147,48 +177,62 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all(translate(lower(regexp_replace(translate(coalesce({text}, ''), 'ёЁ', 'еЕ'), '[\x{{300}}-\x{{36F}}]', '', 'g')), '{FOLD_FROM}', '{FOLD_TO}'), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 
 
-_DOCS = f"docs AS (SELECT source AS channel, doc_id AS message_id, collected_at AS date, lang AS kind, translate(coalesce(text, ''), 'ёЁ', 'еЕ') AS folded, {_words('text')} AS w FROM documents)"
+_ENDINGS = "|".join(sorted({*CYRILLIC_ENDINGS, *LATIN_ENDINGS}, key=lambda e: (-len(e), e)))
+_STEMS = rf"list_transform(w, lambda x: regexp_replace(x, '^(.{{3,}}?)(?:{_ENDINGS})$', '\1'))"
+_DOCS = f"words_of AS (SELECT source AS channel, doc_id AS message_id, collected_at AS date, lang AS kind, translate(coalesce(text, ''), 'ёЁ', 'еЕ') AS folded, {_words('text')} AS w FROM documents), docs AS (SELECT *, {_STEMS} AS st FROM words_of)"
+
+
+def _stem_sql(word: str) -> str:
+    return f"regexp_replace('{word}', '^(.{{3,}}?)(?:{_ENDINGS})$', '\\1')"
 
 
 def _bm25(counts: list[str], length: str, hit: str, name: str, where: str = "true") -> str:
-    """CTEs that rank the hits of ``docs``; ``counts`` are SQL expressions over w and folded."""
+    """CTEs that rank the hits of ``docs``; ``counts`` are SQL expressions over its words, stems and folded text."""
     cols = ", ".join(f"{c} AS f{i}" for i, c in enumerate(counts))
     seen = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(counts)))
     rank = " ".join(f"- greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(counts)))
-    return f"""{name}_f AS (SELECT channel, message_id, date, kind, {length} AS dl, {hit} AS hit, {cols} FROM docs),
+    return f"""{name}_f AS (SELECT channel, message_id, date, kind, {length} AS dl, {cols} FROM docs),
 {name}_s AS (SELECT count(*) AS n, avg(dl) AS mean, {seen} FROM {name}_f),
-{name} AS (SELECT channel, message_id, date, kind, 0.0 {rank} AS rank FROM {name}_f, {name}_s WHERE hit AND {where})"""
-
-
-def _token_counts(tokens: list[str]) -> list[str]:
-    return [f"len(list_filter(w, lambda x: x = '{t}'))" for t in tokens]
+{name} AS (SELECT channel, message_id, date, kind, 0.0 {rank} AS rank FROM {name}_f, {name}_s WHERE {hit} AND {where})"""
 
 
-def _phrase_count(phrase: list[str]) -> str:
-    wanted = "[" + ", ".join(f"'{w}'" for w in phrase) + "]"
-    return f"len(list_filter(range(1, greatest(len(w) - {len(phrase)} + 2, 2)), lambda i: w[i : i + {len(phrase) - 1}] = {wanted}))"
+def _count_sql(words: list[str], line: str) -> str:
+    """How often ``words`` (SQL expressions) stand one after another in a list."""
+    if len(words) == 1:
+        return f"len(list_filter({line}, lambda x: x = {words[0]}))"
+    return f"len(list_filter(range(1, greatest(len({line}) - {len(words)} + 2, 2)), lambda i: {line}[i : i + {len(words) - 1}] = [{', '.join(words)}]))"
 
 
-def _word_sql(tokens: list[str], phrases: list[list[str]] = (), where: str = "true", docs: str = _DOCS) -> str:
-    counts = _token_counts(tokens) + [_phrase_count(p) for p in phrases]
-    return f"WITH {docs}, {_bm25(counts, 'len(w)', ' AND '.join(f'{c} > 0' for c in counts), 'words', where)}"
+def _word_sql(tokens: list[str], phrases: list[list[str]] = (), where: str = "true", docs: str = _DOCS, stems: bool = True) -> str:
+    counts, hit = [], []
+    for p in [[t] for t in tokens] + list(phrases):
+        mine = [_count_sql([f"'{w}'" for w in p], "w")] + ([_count_sql([_stem_sql(w) for w in p], "st")] if stems else [])
+        hit.append("(" + " OR ".join(f"f{len(counts) + k} > 0" for k in range(len(mine))) + ")")
+        counts += mine
+    return f"WITH {docs}, {_bm25(counts, 'len(w) + len(st)' if stems else 'len(w)', ' AND '.join(hit), 'words', where)}"
 
 
 def _substring_parts(literal: str, where: str = "true") -> str:
     count = f"CASE WHEN contains(lower(folded), '{literal}') THEN len(list_filter(range(1, length(folded) + 1), lambda i: substr(lower(folded), i, {len(literal)}) = '{literal}')) ELSE 0 END"
-    return _bm25([count], "greatest(length(lower(folded)) - 2, 0)", f"contains(lower(folded), '{literal}')", "subs", where)
+    return _bm25([count], "greatest(length(lower(folded)) - 2, 0)", "f0 > 0", "subs", where)
 
 
 _SHOWN = "SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM words"
 
 
-def _both(tokens: list[str], literal: str, where: str = "true") -> str:
-    return _word_sql(tokens, where=where) + f", {_substring_parts(literal, where)}, merged AS (SELECT *, 0 AS tier FROM words UNION ALL SELECT *, 1 AS tier FROM subs s WHERE NOT EXISTS (SELECT 1 FROM words x WHERE x.channel = s.channel AND x.message_id = s.message_id))"
+def _both(tokens: list[str], literal: str, where: str = "true", phrases: list[list[str]] = (), docs: str = _DOCS) -> str:
+    return _word_sql(tokens, phrases, where, docs) + f", {_substring_parts(literal, where)}, merged AS (SELECT *, 0 AS tier FROM words UNION ALL SELECT *, 1 AS tier FROM subs s WHERE NOT EXISTS (SELECT 1 FROM words x WHERE x.channel = s.channel AND x.message_id = s.message_id))"
 
 
 _MERGED = " SELECT channel, message_id, tier, round(rank, 9) AS rank FROM merged"
-_PAGE = _both(["search", "index"], "search index") + " SELECT channel, message_id, tier, round(rank, 9) AS rank FROM merged ORDER BY tier, round(rank, 12), channel, message_id LIMIT 20"
+_ORDER = " ORDER BY tier, round(rank, 12), channel, message_id"
+_PAGE = _both(["search", "index"], "search index") + _MERGED + _ORDER
 _NEWEST = "newest AS (SELECT DISTINCT ON (channel, message_id) * FROM post WHERE channel IS NOT NULL AND message_id IS NOT NULL ORDER BY channel, message_id, fetched_at DESC, row_id DESC)"
+_POST_DOCS = (
+    f"{_NEWEST}, previews AS (SELECT channel, message_id, array_to_string(list_sort(list(DISTINCT concat_ws(chr(10), preview.title, preview.description))), chr(10)) AS lines FROM link GROUP BY ALL), "
+    "contents AS (SELECT channel, message_id, fetched_at, kind, concat_ws(chr(10), text, array_to_string(list_transform(hashtags, lambda t: '#' || t), chr(10)), poll.question, array_to_string(poll.options, chr(10)), author_name, lines) AS content FROM newest LEFT JOIN previews USING (channel, message_id)), "
+    f"words_of AS (SELECT channel, message_id, fetched_at AS date, kind, translate(content, 'ёЁ', 'еЕ') AS folded, {_words('content')} AS w FROM contents), docs AS (SELECT *, {_STEMS} AS st FROM words_of)"
+)
 _LINKS = "resolved AS (SELECT l.*, r.resolved_canonical, coalesce(r.resolved_canonical, l.url_canonical) AS effective FROM link l LEFT JOIN url_resolution r USING (url_canonical))"
 _GAPS = """WITH spans AS (SELECT channel, message_id AS lo, message_id + greatest(max(coalesce(media_count, 1)), 1) - 1 AS hi FROM post GROUP BY channel, message_id),
 seen AS (SELECT *, max(hi) OVER (PARTITION BY channel ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM spans),
@@ -202,30 +246,36 @@ _SNIPPET = "trim(replace(coalesce(CASE WHEN coalesce(text, '') = '' THEN poll.qu
 SQL = {
     "word_search_single": _word_sql(["crashes"]) + _SHOWN,
     "word_search_and": _word_sql(["layout", "engine", "crashes"]) + _SHOWN,
+    "word_search_surface": _word_sql(["layout", "engine", "crashes"], stems=False).replace("len(w) AS dl", "2 * len(w) AS dl") + _SHOWN,
     "word_search_diacritics": _word_sql(["generateur", "deja"]) + _SHOWN,
     "word_search_cyrillic_yo": _word_sql(["еще", "работает"]) + _SHOWN,
+    "word_search_stems": _word_sql(["уведомления", "сервисы"]) + _SHOWN,
     "phrase_search": _word_sql([], [["code", "generator"]]) + _SHOWN,
+    "phrase_surface": _word_sql([], [["code", "generator"]], stems=False).replace("len(w) AS dl", "2 * len(w) AS dl") + _SHOWN,
     "phrase_with_loose_word": _word_sql(["slow"], [["build", "cache"]]) + _SHOWN,
-    "phrase_vs_and": f"WITH {_DOCS} SELECT count(*) FILTER ({_phrase_count(['layout', 'engine'])} > 0) AS phrase, count(*) FILTER (list_contains(w, 'layout') AND list_contains(w, 'engine')) AS loose FROM docs",
+    "phrase_vs_and": _word_sql([], [["layout", "engine"]]) + f", {_word_sql(['layout', 'engine']).partition('st FROM words_of), ')[2].replace('words', 'loose')} SELECT (SELECT count(*) FROM words) AS phrase, (SELECT count(*) FROM loose) AS loose",
     "substring_search": f"WITH {_DOCS}, {_substring_parts('yout engi')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
+    "substring_rare": f"WITH {_DOCS}, {_substring_parts('oomla')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
+    "substring_with_marks": f"WITH {_DOCS}, {_substring_parts('e-mail')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
     "search_both_merged": _both(["push", "token"], "push token") + _MERGED,
     "search_both_total": _both(["retry"], "retry") + " SELECT count(*) AS total FROM merged",
     "search_filtered_channel": _word_sql(["release"], where="channel = 'export/loomlab'") + _SHOWN,
     "search_filtered_kind": _both(["release"], "release", "kind = 'en'") + _MERGED,
+    "search_filtered_phrase": _both([], "code generator", "kind = 'en'", [["code", "generator"]]) + _MERGED,
     "search_date_from_to": _word_sql(["release"], where=f"date >= TIMESTAMPTZ '{IN_2024['since']}' AND date <= TIMESTAMPTZ '{IN_2024['until']}'") + _SHOWN,
     "search_day_exclusive": _word_sql(["release"], where="date < TIMESTAMPTZ '2024-07-01T00:00:00Z'") + _SHOWN,
-    "search_top_20": _PAGE,
-    "search_page_2": _PAGE + " OFFSET 20",
+    "search_top_20": _PAGE + " LIMIT 20",
+    "search_page_2": _PAGE + " LIMIT 20 OFFSET 20",
+    "search_page_of_7": _word_sql(["search", "index"]) + " SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM words" + _ORDER.replace("tier, ", "") + " LIMIT 7 OFFSET 14",
+    "search_page_past_words": _both(["yout", "engine"], "yout engine") + _MERGED + _ORDER + " LIMIT 500",
     "bm25_rank_ties": _word_sql(["the"]) + " SELECT round(rank, 9) AS rank, count(*) AS documents FROM words GROUP BY 1",
-    "post_search_widened": _word_sql(
-        ["crash", "reporter"],
-        docs=f"{_NEWEST}, previews AS (SELECT channel, message_id, array_to_string(list_sort(list(DISTINCT concat_ws(chr(10), preview.title, preview.description))), chr(10)) AS lines FROM link GROUP BY ALL), "
-        f"docs AS (SELECT channel, message_id, fetched_at AS date, kind, '' AS folded, {_words('content')} AS w FROM (SELECT channel, message_id, fetched_at, kind, concat_ws(chr(10), text, array_to_string(list_transform(hashtags, lambda t: '#' || t), chr(10)), poll.question, array_to_string(poll.options, chr(10)), author_name, lines) AS content FROM newest LEFT JOIN previews USING (channel, message_id)))",
-    )
-    + _SHOWN,
+    "post_search_widened": _word_sql(["crash", "reporter"], docs=_POST_DOCS) + _SHOWN,
+    "post_search_both": _both(["signpost"], "signpost", docs=_POST_DOCS) + _MERGED,
+    "search_without_index": _both(["push", "token"], "push token") + _MERGED,
     "token_document_frequency": f"WITH {_DOCS} SELECT word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT channel, message_id, word, count(*) AS n FROM (SELECT channel, message_id, unnest(w) AS word FROM docs) GROUP BY ALL) GROUP BY word",
-    "doc_length_stats": f"WITH {_DOCS} SELECT count(*) AS documents, round(avg(len(w)), 6) AS average, max(len(w)) AS longest FROM docs",
-    "stale_index_rows": "SELECT DISTINCT channel, message_id FROM reaction r WHERE NOT EXISTS (SELECT 1 FROM post p WHERE p.channel = r.channel AND p.message_id = r.message_id)",
+    "stem_document_frequency": f"WITH {_DOCS} SELECT word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT channel, message_id, word, count(*) AS n FROM (SELECT channel, message_id, unnest(st) AS word FROM docs) GROUP BY ALL) GROUP BY word",
+    "doc_length_stats": f"WITH {_DOCS} SELECT count(*) AS documents, round(avg(len(w) + len(st)), 6) AS average, CAST(max(len(w) + len(st)) AS BIGINT) AS longest FROM docs",
+    "stale_index_rows": "SELECT source AS channel, doc_id AS message_id FROM documents WHERE lang = 'en' OR lang IS NULL",
     "url_canonical": "SELECT DISTINCT link_id, url_canonical, 3 AS spec_version FROM link",
     "effective_url": f"WITH {_LINKS} SELECT DISTINCT link_id, url_canonical, resolved_canonical, effective FROM resolved",
     "links_to_url": f"WITH {_LINKS} SELECT link_id, channel, message_id, ord, effective FROM resolved WHERE effective = coalesce((SELECT resolved_canonical FROM url_resolution WHERE url_canonical = 'https://sho.example/1017'), 'https://sho.example/1017')",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -17,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.ui.enabled": "false",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -46,16 +49,6 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scanned table over at least as many partitions as there are cores.
-
-    Small inputs come as one file and so as one task; work that is heavy for its bytes
-    (markup, language, tokens) then runs on one core. Tables of many files stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share for checkpoints.
 
@@ -79,3 +72,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that later stages do not recompute it and a lost executor costs nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
+
+
+def state_of(spark: SparkSession, base: str, name: str) -> str:
+    """What the files of a table are now (names, sizes, times): the same as long as nobody writes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    told = sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in found)
+    return hashlib.sha256("\n".join([base, name, *told]).encode()).hexdigest()[:24]

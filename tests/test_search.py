@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaystone import paging, render
-from quaystone.api import ArchiveReader, ToolError
+from quaystone.api import ArchiveReader, ToolError, call_tool, instructions, tool_schemas
 from quaystone.functions.stems import stem
 from quaystone.functions.text import parse_bound, parse_reference, words, words_of
+from quaystone.operators import index as files
 from quaystone.operators import search
 from quaystone.operators.search import SearchFilter, parse_query
 from tests.conftest import at, post_rows, rows_of
@@ -116,12 +117,53 @@ def test_words_come_first_and_filters_keep_ranks(index):
         assert part and len(part) < len(ranks) and all(ranks[r["channel"], r["message_id"]] == r["rank"] for r in part)
 
 
-def test_postings_agree_with_the_scan(spark, index, tmp_path):
-    search.write_postings(index, str(tmp_path), 16)
-    for text in ("swift", "build cache", "навигация the", "nothinghere"):
-        scan = {(r["channel"], r["message_id"]): round(r["rank"], 9) for r in search.word_hits(index, parse_query(text)).collect()}
-        files = {(r["channel"], r["message_id"]): round(r["rank"], 9) for r in search.search_postings(spark, str(tmp_path), text, 16).collect()}
-        assert files == scan
+@pytest.fixture(scope="module")
+def stored(table, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("index")
+    return files.write_index(table, lambda part: f"{folder}/{part}")
+
+
+def found_by(df) -> dict:
+    return {(r["channel"], r["message_id"], r["tier"]): round(r["rank"], 9) for r in df.collect()}
+
+
+@pytest.mark.parametrize("text", ["swift", "build cache", "навигация the", "nothinghere", '"layout engine"', '"the the" swift', "cafe", "", "ut eng", "imation", "e", "!!!"])
+@pytest.mark.parametrize("mode", ["words", "substring", "both"])
+def test_files_give_what_the_scan_gives(index, stored, text, mode):
+    assert found_by(files.hits(stored, text, mode)) == found_by(search.hits(index, text, mode))
+
+
+def test_filters_and_stems_in_files(index, stored):
+    for where in (SearchFilter(channel="@@C1"), SearchFilter(kind="text", since=at(2), until=at(5)), SearchFilter(before=at(3))):
+        for text in ("swift", '"build cache"', "ache"):
+            assert found_by(files.hits(stored, text, "both", where)) == found_by(search.hits(index, text, "both", where))
+    assert found_by(files.hits(stored, "навигация", "words", with_stems=False)).keys() < found_by(files.hits(stored, "навигация", "words")).keys()
+
+
+@pytest.mark.parametrize("text", ["build", '"build cache"', "animation"])
+@pytest.mark.parametrize("mode", ["words", "substring", "both"])
+def test_bounded_pages_make_the_whole(stored, text, mode):
+    found = files.hits(stored, text, mode)
+    whole = [(r["channel"], r["message_id"]) for r in files.ordered(found).collect()]
+    for size in (1, 7, 500):
+        for offset in (0, size, 3 * size):
+            page, total = files.page_of(stored, text, mode, SearchFilter(), offset, size)
+            assert [(r["channel"], r["message_id"]) for r in page.collect()] == whole[offset : offset + size] and total == len(whole)
+
+
+def test_segments_count_as_one_index(spark, table, stored, tmp_path):
+    halves = [table.where(F.coalesce(F.col("message_id"), F.lit(0)) % 2 == i) for i in (0, 1)]
+    for i, half in enumerate(halves):
+        files.write_index(half, lambda part: f"{tmp_path}/{i}/{part}")  # noqa: B023
+    both = files.read_index(spark, lambda part: [f"{tmp_path}/0/{part}", f"{tmp_path}/1/{part}"])
+    for text in ("swift", '"build cache" the', "ache"):
+        assert found_by(files.hits(both, text, "both")) == found_by(files.hits(stored, text, "both"))
+    assert files.stale_documents(both, halves[0]).count() == halves[1].count()
+
+
+def test_index_of_nothing(table, tmp_path):
+    empty = files.write_index(table.limit(0), lambda part: f"{tmp_path}/{part}")
+    assert files.hits(empty, "swift", "both").count() == 0 and files.page_of(empty, "swift", "both", SearchFilter(), 0, 5)[1] == 0
 
 
 def test_searchable_widens_content(spark):
@@ -180,6 +222,13 @@ def test_api(spark):
     assert render.page_text(first, "swift").splitlines()[0] == "https://t.me/a/1 [text] (5 reactions): swift news 1" and "3 of 7; next page" in render.page_text(first, "swift")
     assert "Nothing matches" in render.page_text(reader.search_posts("nothinghere"), "nothinghere") and "last page" in render.page_text(third, "swift")
     assert "Reactions: x 3, paid 2" in render.record_text(reader.get_post("a/1"))
+    assert call_tool(reader, "find_links", {"url": "https://sho.example/x"}).hits[0]["snippet"] == "swift news 1" and instructions(reader) == "Channels: a (7)."
+    assert [t["name"] for t in tool_schemas()] == ["search_posts", "find_links", "get_post"]
+    for bad in ({"url": "x", "color": "red"}, {}, {"url": 5}, {"url": "x", "limit": "3"}, {"url": "x", "cursor": "zzz"}):
+        with pytest.raises(ToolError):
+            call_tool(reader, "find_links", bad)
+    with pytest.raises(LookupError):
+        call_tool(reader, "delete_post", {})
     post = reader.get_post("@A/1")
     assert post["message_id"] == 1 and [r["count"] for r in post["reactions"]] == [3, 2] and reader.get_post("a/99") is None
     with pytest.raises(ToolError):
