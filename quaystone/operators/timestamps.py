@@ -27,6 +27,11 @@ MONTHS = {
     "januar": 1, "februar": 2, "märz": 3, "mai": 5, "juni": 6, "juli": 7, "oktober": 10, "dezember": 12,
     "января": 1, "февраля": 2, "марта": 3, "апреля": 4, "мая": 5, "июня": 6,
     "июля": 7, "августа": 8, "сентября": 9, "октября": 10, "ноября": 11, "декабря": 12,
+    "січня": 1, "лютого": 2, "березня": 3, "квітня": 4, "травня": 5, "червня": 6,
+    "липня": 7, "серпня": 8, "вересня": 9, "жовтня": 10, "листопада": 11, "грудня": 12,
+    "janvier": 1, "février": 2, "mars": 3, "avril": 4, "juin": 6, "juillet": 7, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12,
+    "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12,
+    "janeiro": 1, "fevereiro": 2, "março": 3, "maio": 5, "junho": 6, "julho": 7, "setembro": 9, "outubro": 10, "novembro": 11, "dezembro": 12,
 }
 
 # Zone abbreviations, in minutes east of UTC.
@@ -37,20 +42,20 @@ ABBREVIATIONS = {
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-_ZONE = r"(?:UTC(?=[+-]))?(Z|[A-Z]{2,5}|[+-]\d{2}:?\d{2})?"
+_ZONE = r"(?:UTC(?=[+-]))?(Z|[A-Z]{2,5}|[+-]\d{2}(?::?\d{2})?)?"
 
 #: Pattern, and the order in which its groups give year|month|day|hour|minute|second|fraction|half of day|offset.
 SPELLINGS = [
     (rf"^(\d{{4}})[-/](\d{{2}})[-/](\d{{2}})[T ]{_CLOCK} ?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
     (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),? {_CLOCK} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
     (rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONE}$", "$1|$2|$3|$4|$5|$6|||$7"),
-    (rf"^(?:\p{{L}}{{2,4}}, )?(\d{{1,2}})\.? (\p{{L}}+)\.? (\d{{4}})(?: г\.)?,? {_CLOCK} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    (rf"^(?:\p{{L}}{{2,4}}, )?(\d{{1,2}})(?:\.|º|er)? (?:de )?(\p{{L}}+)\.? (?:de )?(\d{{4}})(?: [гр]\.)?,? {_CLOCK} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
     (rf"^(\p{{L}}+)\.? (\d{{1,2}}), (\d{{4}}),? {_CLOCK}[ \x{{202F}}]?([AP]M)$", "$3|$1|$2|$4|$5|$6|$7|$8|"),
 ]
 
 MICROS = 1_000_000
-#: Local years for which offsets are listed; times outside have no interval and so denote no instant.
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Local years for which offsets are listed. No zone changed before the first; long before the last each follows its standing rule, so a year has the offsets of a listed one with the same calendar.
+FIRST_YEAR, LAST_YEAR = 1800, 2139
 
 
 def _transitions(zone: ZoneInfo) -> list[tuple[int, int]]:
@@ -93,13 +98,23 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def zone_intervals(zones: DataFrame) -> DataFrame:
     """For each name in the column ``zone`` and each local year, the array of its constant-offset intervals in local micros.
 
-    Names that are no IANA zone give no row. The result has at most 201 rows a zone,
-    and there are about 600 zones: it stays under a few MB whatever the data.
+    Names that are no IANA zone give no row. The result has at most 340 rows a zone,
+    and there are about 600 zones: it stays under 20 MB whatever the data.
     """
     rows = zones.where(F.col("zone").isNotNull()).select("zone").distinct().mapInPandas(_intervals, "zone string, year int, lo bigint, hi bigint, off bigint")
     return rows.groupBy("zone", "year").agg(F.collect_list(F.struct("lo", "hi", "off")).alias("spans"))
 
 
+def _listed_year(year: Column) -> tuple[Column, Column]:
+    """(year of the list that has the same calendar and rules, days from its first day to that of ``year``)."""
+    first = lambda y: F.make_date(y, F.lit(1), F.lit(1))
+    # Of leap and common years there are seven kinds each, by the weekday that they begin with.
+    like = {f"{datetime(y, 1, 1).isoweekday()} {(datetime(y + 1, 1, 1) - datetime(y, 1, 1)).days}": y for y in range(LAST_YEAR - 28, LAST_YEAR)}
+    kind = F.concat_ws(" ", F.weekday(first(year)) + 1, F.datediff(first(year + 1), first(year)))
+    same = F.when(year > LAST_YEAR, _lookup(like, kind)).when(year < FIRST_YEAR, FIRST_YEAR).otherwise(year)
+    return same, F.datediff(first(year), first(same))
+
+
 def _lookup(values: dict[str, int], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
 
@@ -109,9 +124,13 @@ def parse_fields(value: Column) -> Column:
     return reduce(lambda rest, spelling: F.when(value.rlike(spelling[0]), F.regexp_replace(value, *spelling)).otherwise(rest), reversed(SPELLINGS), F.lit(None).cast("string"))
 
 
-def normalise_instants(df: DataFrame, value: str, zones: DataFrame, zone: str, out: str = "utc_ms") -> DataFrame:
+def normalise_instants(df: DataFrame, value: str, zones: DataFrame, zone: str, out: str = "utc_ms", finding: str | None = None) -> DataFrame:
     """Add ``out``, the epoch milliseconds (rounded down) that ``value`` denotes, or null.
 
+    With ``finding`` also a column of that name: ``instant``, ``ambiguous`` (a wall-clock
+    time that occurs twice; the first is meant), ``nonexistent`` (one that is skipped),
+    ``no_zone`` or ``unreadable``.
+
     ``df`` must have the string columns ``value`` and ``zone`` (the IANA zone of
     values that name none; null: such values denote no instant). ``zones`` has the
     zone names in its column ``zone``. All columns and rows of ``df`` are kept.
@@ -121,7 +140,7 @@ def normalise_instants(df: DataFrame, value: str, zones: DataFrame, zone: str, o
     are 0. Ten, 13 or 16 digits are epoch seconds, milli- or microseconds.
     """
     text = F.trim(F.regexp_replace(F.col(value), r"[\s\x{A0}]+", " "))
-    named = ["__text", "__f", "__local", "__off", "__year", "__zone"]
+    named = ["__text", "__f", "__local", "__off", "__year", "__zone", "__listed", "__then"]
     df = df.withColumn("__text", text).withColumn("__f", F.split(parse_fields(F.col("__text")), r"\|"))
 
     def part(i: int) -> Column:
@@ -140,19 +159,26 @@ def normalise_instants(df: DataFrame, value: str, zones: DataFrame, zone: str, o
     local = F.when(fine, (F.unix_date(date).cast("bigint") * 86_400 + hour * 3600 + number(4) * 60 + second) * MICROS + micros)
     given = part(8)
     digits = F.regexp_replace(given, ":", "")
-    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0))
     shift = F.when(given.rlike(r"^[+-]\d"), F.when(given.startswith("-"), -minutes).otherwise(minutes)).otherwise(_lookup(ABBREVIATIONS, given))
     df = df.withColumn("__local", local).withColumn("__off", F.when(given != "", shift.cast("bigint") * 60 * MICROS)).withColumn("__year", F.when((given == "") & F.col("__local").isNotNull(), number(0))).withColumn("__zone", F.col(zone))
+    listed, days = _listed_year(F.col("__year"))
+    df = df.withColumn("__listed", listed).withColumn("__then", F.col("__local") - days.cast("bigint") * 86_400 * MICROS)
 
     spans = F.broadcast(zone_intervals(zones).select(F.col("zone").alias("__z"), F.col("year").alias("__y"), F.col("spans").alias("__spans")))
-    df = df.join(spans, (F.col("__zone") == F.col("__z")) & (F.col("__year") == F.col("__y")), "left")
-    held = F.filter(F.col("__spans"), lambda s: (s["lo"] <= F.col("__local")) & (F.col("__local") < s["hi"]))
+    df = df.join(spans, (F.col("__zone") == F.col("__z")) & (F.col("__listed") == F.col("__y")), "left")
+    held = F.filter(F.col("__spans"), lambda s: (s["lo"] <= F.col("__then")) & (F.col("__then") < s["hi"]))
     # Of two intervals, the one with the larger offset gives the earlier instant.
     by_zone = F.col("__local") - F.array_max(F.transform(held, lambda s: s["off"]))
     length = F.length("__text")
     epoch = F.when(F.col("__text").rlike(r"^\d+$"), F.when(length == 10, F.col("__text").try_cast("bigint") * MICROS).when(length == 13, F.col("__text").try_cast("bigint") * 1000).when(length == 16, F.col("__text").try_cast("bigint")))
     instant = F.coalesce(epoch, F.col("__local") - F.col("__off"), F.when(F.col("__year").isNotNull(), by_zone))
-    return df.withColumn(out, F.floor(instant / F.lit(1000)).cast("bigint")).drop(*named, "__z", "__y", "__spans")
+    df = df.withColumn(out, F.floor(instant / F.lit(1000)).cast("bigint"))
+    if finding:
+        found = F.size(held)
+        kind = F.when(F.col("__year").isNotNull() & (found > 1), "ambiguous").when(F.col(out).isNotNull(), "instant").when(F.col("__year").isNull(), "unreadable")
+        df = df.withColumn(finding, kind.when(F.col("__spans").isNull(), "no_zone").otherwise("nonexistent"))
+    return df.drop(*named, "__z", "__y", "__spans")
 
 
 def dirty_instants(posts: DataFrame, links: DataFrame, channels: DataFrame) -> DataFrame:
@@ -161,14 +187,26 @@ def dirty_instants(posts: DataFrame, links: DataFrame, channels: DataFrame) -> D
     Exact duplicate rows give one result row. Rows whose channel is unknown have no
     zone. Empty tables give an empty result.
     """
+    values, zones = _dirty_values(posts, links, channels)
+    done = normalise_instants(values, "value", zones, "zone")
+    return done.where(F.col("utc_ms").isNotNull()).select("src", "src_id", "utc_ms").distinct()
+
+
+def _dirty_values(posts: DataFrame, links: DataFrame, channels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values not in canonical form with the zone of their channel, all zones)."""
     values = posts.select(F.lit("post").alias("src"), F.col("row_id").alias("src_id"), "channel", F.col("date").alias("value")).unionByName(
         links.select(F.lit("link").alias("src"), F.col("link_id").alias("src_id"), "channel", F.col("preview.observed_at").alias("value"))
     )
     values = values.where(F.col("value").isNotNull() & ~F.col("value").rlike(CANONICAL))
     zones = channels.where(F.col("channel").isNotNull()).groupBy("channel").agg(F.max("time_zone").alias("zone"))
-    values = values.join(zones, "channel", "left")
-    done = normalise_instants(values, "value", channels.select(F.col("time_zone").alias("zone")), "zone")
-    return done.where(F.col("utc_ms").isNotNull()).select("src", "src_id", "utc_ms").distinct()
+    return values.join(zones, "channel", "left"), channels.select(F.col("time_zone").alias("zone"))
+
+
+def findings(posts: DataFrame, links: DataFrame, channels: DataFrame) -> DataFrame:
+    """``(src, finding, values)``: how many distinct rows' values are plain instants, ambiguous, nonexistent, without zone or unreadable."""
+    values, zones = _dirty_values(posts, links, channels)
+    done = normalise_instants(values, "value", zones, "zone", finding="finding").select("src", "src_id", "finding").distinct()
+    return done.groupBy("src", "finding").agg(F.count(F.lit(1)).alias("values"))
 
 
 def instants_by_month(posts: DataFrame, links: DataFrame, channels: DataFrame) -> DataFrame:

@@ -2,16 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from quaystone.operators import incremental, references, timestamps
-from quaystone.session import table
+from quaystone.session import shared_folder, table
+
+#: The time up to which the first of two runs sees the archive.
+CUT = "2024-10-01T00:00:00Z"
+
+
+def _sync(spark: SparkSession, base: str) -> incremental.SyncRun:
+    return incremental.SyncRun(spark, shared_folder(spark, f"sync-{uuid.uuid4().hex}"), table(spark, base, "crawl_watermark"))
+
+
+def next_sync(spark: SparkSession, base: str) -> DataFrame:
+    """What one committed run puts out; its watermarks start from the crawl log."""
+    run = _sync(spark, base)
+    run.run(table(spark, base, "post"))
+    return run.output()
+
+
+class _Lost(RuntimeError):
+    pass
+
+
+def _lose(*_):
+    raise _Lost
+
+
+def two_syncs(spark: SparkSession, base: str) -> DataFrame:
+    """``(run, channel, message_id)`` of two runs, the first over what was fetched by CUT, with a run that is lost before its commit in between."""
+    run, posts = _sync(spark, base), table(spark, base, "post")
+    run.run(posts.where(F.col("fetched_at") <= F.lit(CUT).cast("timestamp")))
+    try:
+        run.run(posts, _lose)
+    except _Lost:
+        pass
+    run.run(posts)
+    run.run(posts)  # nothing is due any more
+    return run.output(1).select(F.lit(1).alias("run"), "*").unionByName(run.output(2).select(F.lit(2).alias("run"), "*"))
+
+
+def rows_once(spark: SparkSession, base: str) -> DataFrame:
+    """``(row_id, fetched)``: every row of post by two runs along (fetched_at, row_id) with a lost one in between."""
+    run = incremental.IncrementalRun(spark, shared_folder(spark, f"rows-{uuid.uuid4().hex}"), ["fetched_at", "row_id"])
+    posts, kept = table(spark, base, "post"), lambda df: df.select("row_id", F.unix_micros("fetched_at").alias("fetched"))
+    run.run(posts.where(F.col("fetched_at") <= F.lit(CUT).cast("timestamp")), kept)
+    try:
+        run.run(posts, _lose)
+    except _Lost:
+        pass
+    run.run(posts, kept)
+    found = run.output()
+    return found if found is not None else kept(posts)
+
 
 QUERIES = {
-    "p1_found": lambda s, d: incremental.pending_posts(table(s, d, "post"), table(s, d, "crawl_watermark")),
-    "p1_pending_by_channel": lambda s, d: incremental.pending_counts(table(s, d, "post"), table(s, d, "crawl_watermark")),
+    "p1_found": next_sync,
+    "p1_pending_by_channel": lambda s, d: incremental.pending_counts(next_sync(s, d)),
+    "p1_two_syncs": two_syncs,
+    "p1_rows_once": rows_once,
+    "p1_pending_uncommitted": lambda s, d: incremental.pending_posts(table(s, d, "post"), table(s, d, "crawl_watermark")),
     "p3_found": lambda s, d: references.orphan_rows(table(s, d, "post"), table(s, d, "channel")),
     "p3_orphans_by_month": lambda s, d: references.orphan_report(table(s, d, "post"), table(s, d, "channel")),
     "p4_found": lambda s, d: timestamps.dirty_instants(table(s, d, "post"), table(s, d, "link"), table(s, d, "channel")),
     "p4_by_month": lambda s, d: timestamps.instants_by_month(table(s, d, "post"), table(s, d, "link"), table(s, d, "channel")),
+    "p4_findings": lambda s, d: timestamps.findings(table(s, d, "post"), table(s, d, "link"), table(s, d, "channel")),
 }
 
 _PENDING = """
@@ -53,6 +112,11 @@ orphan AS (
 SQL = {
     "p1_found": _PENDING + "SELECT channel, message_id FROM pending",
     "p1_pending_by_channel": _PENDING + "SELECT channel, count(*) AS pending, min(message_id) AS lowest, max(message_id) AS highest FROM pending GROUP BY channel",
+    "p1_pending_uncommitted": _PENDING + "SELECT channel, message_id FROM pending",
+    "p1_two_syncs": f"""WITH first_run AS ({_PENDING.replace("FROM post p", f"FROM (SELECT * FROM post WHERE fetched_at <= TIMESTAMPTZ '{CUT}') p")} SELECT 1 AS run, channel, message_id FROM pending),
+second_run AS ({_PENDING.replace(" AS handled", f" OR coalesce(p.fetched_at <= TIMESTAMPTZ '{CUT}', false) AS handled")} SELECT 2 AS run, channel, message_id FROM pending)
+SELECT * FROM first_run UNION ALL SELECT * FROM second_run""",
+    "p1_rows_once": "SELECT row_id, epoch_us(fetched_at) AS fetched FROM post WHERE fetched_at IS NOT NULL AND row_id IS NOT NULL",
     "p3_found": _ORPHANS + "SELECT DISTINCT row_id, field FROM orphan",
     "p3_orphans_by_month": _ORPHANS + "SELECT field, parent_table, period, count(*) AS refs, count(DISTINCT (channel, coalesce(id, -1))) AS keys FROM orphan GROUP BY field, parent_table, period",
 }

@@ -57,7 +57,7 @@ def test_pending_posts(spark, posts_of):
         ],
     )
     assert rows_of(incremental.pending_posts(posts, log)) == [("a", 2), ("a", 4), ("a", 7), ("a", 99), ("b", 1), ("c", 5)]
-    assert rows_of(incremental.pending_counts(posts, log))[0] == ("a", 4, 2, 99)
+    assert rows_of(incremental.pending_counts(incremental.pending_posts(posts, log)))[0] == ("a", 4, 2, 99)
     assert incremental.pending_posts(posts, log.limit(0)).count() == 9
     assert incremental.pending_posts(posts.limit(0), log).count() == 0
 
@@ -68,6 +68,36 @@ def test_one_post_with_most_rows(spark, posts_of):
     assert rows_of(incremental.pending_posts(posts_of(rows), log)) == []  # ties in fetched_at: the largest row_id is both newest and handled
 
 
+def test_sync_runs_put_out_each_change_once(spark, posts_of, tmp_path):
+    rows = [{"row_id": i, "channel": "ab"[i % 2], "message_id": i % 5, "text": f"t{i % 3}", "fetched_at": at(i)} for i in range(12)] + [{"row_id": 50, "channel": "a", "message_id": 9, "fetched_at": None}]
+    log = walks(spark, [(1, "a", at(2), "succeeded", 0, 10, True), (2, "quiet", at(2), "succeeded", 1, 3, True)])
+    posts = posts_of(rows)
+    run = incremental.SyncRun(spark, str(tmp_path), log)
+    assert run.output().count() == 0
+    part = posts.where("row_id < 6 or row_id = 50")
+
+    def lose():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        run.run(part, lose)
+    assert run.output().count() == 0 and run.log.latest().version == 0
+    run.run(part)
+    assert rows_of(run.output()) == rows_of(incremental.pending_posts(part, log))
+    run.run(posts)
+    # Of the later rows, those whose content differs from what the post had before.
+    seen = {}
+    for r in rows[:6]:
+        seen[r["channel"], r["message_id"]] = r["text"]
+    last = seen | {(r["channel"], r["message_id"]): r["text"] for r in rows[6:12]}
+    assert rows_of(run.output()) == sorted(k for k, t in last.items() if seen.get(k) != t)
+    assert run.run(posts).version == 2  # nothing is due
+    assert rows_of(run.watermarks().select("channel", "lowest_message_id", "highest_message_id", "is_backfill_complete")) == [("a", 0, 10, True), ("b", 0, 4, False), ("quiet", 1, 3, True)]
+    later = posts_of([*rows, {"row_id": 60, "channel": "a", "message_id": 2, "text": "new", "fetched_at": at(20)}])
+    run.run(later)
+    assert rows_of(run.output()) == [("a", 2)]
+
+
 def test_incremental_run_survives_failures(spark, tmp_path):
     rows = [(i, at(i // 3), f"t{i}") for i in range(10)] + [(None, at(1), "no id"), (99, None, "no time")]
     source = spark.createDataFrame(rows, "row_id bigint, fetched_at timestamp, text string")
@@ -192,3 +222,26 @@ def test_zone_intervals_against_zoneinfo(spark):
         assert set(held) == offsets
 
     check()
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Asia/Tokyo", "Australia/Lord_Howe", "Africa/Casablanca"])
+def test_years_beyond_the_list(spark, zone):
+    stamps = [dt.datetime(y, m, d, 10, 30) for y in (1700, 1799, 1850, 2100, 2101, 2148, 2200, 2399, 2400, 2999, 9998) for m, d in ((1, 1), (3, 28), (7, 1), (12, 31))] + [dt.datetime(2104, 2, 29, 1, 2)]
+    df = spark.createDataFrame([(i, f"{t:%Y-%m-%d %H:%M:%S}".rjust(19, "0"), zone) for i, t in enumerate(stamps)], "i int, value string, zone string")
+    got = {r["i"]: r["utc_ms"] for r in timestamps.normalise_instants(df, "value", df.select("zone"), "zone").collect()}
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    assert got == {i: (t.replace(tzinfo=ZoneInfo(zone)) - epoch) // dt.timedelta(milliseconds=1) for i, t in enumerate(stamps)}
+
+
+def test_months_and_short_offsets(spark):
+    texts = {"5 mai 2024, 10:00 +02": 8, "5 de mayo de 2024 10:00 Z": 10, "5 de maio de 2024, 10:00 Z": 10, "5 травня 2024 р., 10:00 Z": 10, "5 мая 2024 г., 10:00 Z": 10, "2024-05-05 10:00-0330": 13.5}
+    df = spark.createDataFrame([(t, None) for t in texts], "value string, zone string")
+    got = {r["value"]: r["utc_ms"] for r in timestamps.normalise_instants(df, "value", df.select("zone"), "zone").collect()}
+    assert got == {t: int((dt.datetime(2024, 5, 5, tzinfo=dt.timezone.utc).timestamp() + h * 3600) * 1000) for t, h in texts.items()}
+
+
+def test_findings_name_what_the_clock_does(spark):
+    values = {"2024-03-31 02:30:00": "nonexistent", "2024-10-27 02:30:00": "ambiguous", "2024-06-01 02:30:00": "instant", "never": "unreadable", "2024-06-01 02:30:00 +02:00": "instant", "2024-02-31 02:30:00": "unreadable"}
+    df = spark.createDataFrame([(v, "Europe/Berlin") for v in values] + [("2024-06-01 02:30:01", None)], "value string, zone string")
+    got = {r["value"]: r["what"] for r in timestamps.normalise_instants(df, "value", df.select("zone"), "zone", finding="what").collect()}
+    assert got == values | {"2024-06-01 02:30:01": "no_zone"}
