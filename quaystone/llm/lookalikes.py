@@ -186,6 +186,47 @@ def consistent_form(text: str) -> str:
     return "".join(parts) if changed else text
 
 
+_ODD = re.compile("[" + "".join(map(re.escape, SPACES | UNSEEN | HYPHENS | WIDTHS)) + "\u200c\u200d\u0300-\u036f]")
+_LOOKS_MIXED = re.compile("[A-Za-z][\u0300-\u036f]*[\u0370-\u052f]|[\u0370-\u052f][\u0300-\u036f]*[A-Za-z]")
+
+
+def plain_with_places(text: str) -> tuple[str, list[int] | None]:
+    """The text as it looks, and for each of its characters (and its end) the place in ``text``; None: the same places."""
+    if text.isascii():
+        return text, None
+    places = None
+    if _ODD.search(text):
+        out: list[str] = []
+        places = []
+        for i, c in enumerate(text):
+            if c in UNSEEN or c in "\u200c\u200d":
+                continue
+            if unicodedata.combining(c) and out:
+                joined = unicodedata.normalize("NFC", out[-1] + c)
+                if len(joined) == 1:
+                    out[-1] = joined
+                    continue
+            for x in WIDTHS.get(c) or SPACES.get(c) or HYPHENS.get(c) or c:
+                out.append(x)
+                places.append(i)
+        places.append(len(text))
+        text = "".join(out)
+    if not _LOOKS_MIXED.search(text):
+        return text, places
+    same = consistent_form(text)
+    return (same if len(same) == len(text) else text), places
+
+
+def placed(lo: int, hi: int, text: str, places: list[int] | None) -> tuple[int, int]:
+    """A part of the plain text as a part of ``text``: with the marks and unseen characters inside it and the marks on its last letter, not with what follows."""
+    if places is None:
+        return lo, hi
+    end = places[hi - 1] + 1
+    while end < len(text) and unicodedata.combining(text[end]):
+        end += 1
+    return places[lo], end
+
+
 def _rank(script: str) -> int:
     return SCRIPTS.index(script) if script in SCRIPTS else len(SCRIPTS)
 

@@ -1,24 +1,22 @@
 """Personal details in free text: found, and replaced by typed placeholders.
 
 Details are found by the formats of numbers and addresses, by the words that
-announce identity numbers, and by given names in all their endings. Placeholders
-keep equal values linked: the digits and letters of a number are permuted within
-its format by a keyed Feistel network, names, addresses and mailboxes get a keyed
-tag of the same kind. Without the key neither leads back to the value.
+announce identity numbers and birth dates, by check digits, and by given names in all
+their endings. ``replacements`` is the operator: each detail with its place and its
+placeholder from ``pseudonyms``. What was found and the redacted text come from it.
 """
 
 import hashlib
-import hmac
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.llm.lookalikes import HYPHENS, SPACES, UNSEEN, WIDTHS, consistent_form
+from quaystone.llm.lookalikes import placed, plain_with_places
+from quaystone.llm.pseudonyms import Pseudonyms, is_card, is_iban
 
 # Given names, Latin script.
 GIVEN_LATIN = frozenset(
@@ -105,7 +103,7 @@ _ADDRESS_FORMS = [
     rf"(?:\d{{6}}, )?(?:(?:г\. |м\. )?{_TOWN}, )?{_RU_STREET},? (?:д\. ?|дом |буд\. ?)?\d+(?:/\d+|[а-еА-Е](?!\w))?(?:, (?:корп\.|корпус|стр\.|кв\.|квартира|оф\.) ?\d+)*(?:, \d{{6}})?(?:, г\. {_TOWN})?",
     rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, )?\d+[A-Za-z]? (?:{_CAP} ){{1,3}}(?:Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Court|Ct\.?|Way|Drive|Dr\.?|Row|Road|Rd\.?|Blvd\.?|Boulevard|Place|Square|Close|Terrace|Gardens|Crescent)(?!\w)(?:, (?:Apt\.?|Flat|Unit|Suite) \d+[A-Za-z]?)?(?:, {_TOWN})?(?:,? [A-Z]{{2}} \d{{5}}|,? [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}})?",
     rf"(?:{_CAP} (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring)|{_CAP}(?<=straße|trasse)|{_CAP}(?<=gasse)|{_CAP}(?<=weg)|{_CAP}(?<=platz)|{_CAP}(?<=allee)|{_CAP}(?<=ufer)|{_CAP}(?<=damm)|{_CAP}(?<=str)\.|(?:Am|An der|Im|Auf dem|Zum|Zur) {_CAP}) \d+(?: ?[a-h](?!\w))?(?:, (?:\d{{5}} )?{_TOWN})?",
-    rf"(?:\d+(?: bis| ter)?,? {_FR_KIND} {_OF}{_CAP}(?: {_CAP})*|{_FR_KIND} {_OF}{_CAP}(?: {_CAP})*,? \d+(?: bis| ter)?(?!\w))(?:, (?:\d{{5}} )?{_TOWN})?",
+    rf"(?:\d+(?: bis| ter)?,? (?:{_FR_KIND}|Rue|Avenue|Boulevard|Impasse|Chemin|Allée|Quai) {_OF}{_CAP}(?: {_CAP})*|{_FR_KIND} {_OF}{_CAP}(?: {_CAP})*,? \d+(?: bis| ter)?(?!\w))(?:, (?:\d{{5}} )?{_TOWN})?",
     rf"(?:[Cc]alle|C/|[Aa]venida|[Aa]v\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Rr]onda|[Tt]ravesía|[Rr]ua|[Pp]raça) ?{_OF}{_CAP}(?: {_CAP})*,? (?:n\.º |nº |núm\. )?\d+(?:, \d+\.?º(?: [A-Z](?!\w))?)?(?:, (?:\d{{4,5}}(?:-\d{{3}})? )?{_TOWN})?",
 ]
 #: A cheap look before each pattern: every address of a form has one of these in it.
@@ -113,13 +111,12 @@ _ADDRESS_HINTS = [
     "ул. |улица |просп|пр-т |наб. |набережная|пер. |переулок|ш. |шоссе|бул. |бульвар|пл. |площадь|проезд |тупик|вул. |вулиця |провулок|пр. ",
     " Street| St.| St,| St | Avenue| Ave| Lane| Ln| Court| Ct| Way| Drive| Dr.,| Row| Road| Rd| Blvd| Boulevard| Place| Square| Close| Terrace| Gardens| Crescent",
     "traße |trasse |tr. |asse |eg |latz |llee |fer |amm | Ring |Am |An der |Im |Auf dem |Zum |Zur ",
-    "rue |av. |avenue |impasse |boulevard |bd |place |chemin |allée |quai |cours |route |square ",
+    "ue |Boulevard |Impasse |Chemin |Allée |Quai |rue |av. |avenue |impasse |boulevard |bd |place |chemin |allée |quai |cours |route |square ",
     "alle |C/|venida |Av. |av. |laza |aseo |amino |onda |ravesía |rua |Rua |raça ",
 ]
 _ADDRESSES = [(hints.split("|"), re.compile(rf"(?<!\w)(?:{form})")) for hints, form in zip(_ADDRESS_HINTS, _ADDRESS_FORMS)]
 #: Every announced number has one of these before it.
 _ANNOUNCED = "паспорт серия ОМС ИНН СНИЛС ІПН SSN ecurity NI\u0020 National assport icen ID RVNR ummer weis Reisepass schein Steuer identité CNI NIR sociale asseport ermis asaporte NIE DNI NIF NUSS assaporte CPF RG artão".split(" ")
-_LOOKS_MIXED = re.compile("[A-Za-z][\u0300-\u036f]*[\u0370-\u052f]|[\u0370-\u052f][\u0300-\u036f]*[A-Za-z]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(rf"(?<!\w)[{_UP}]\. ?[{_UP}]")
 
@@ -129,38 +126,19 @@ _FAMILY_AFTER_INITIAL = re.compile(rf" ?({_CAP})")
 _BEFORE = re.compile(rf"({_CAP}),? $")
 _ANY_NAME = re.compile(rf"[{_ANY}'’]+(?:-[{_ANY}]+)*\.?")
 _TITLES = frozenset("dr prof mr mrs ms herr frau mme sr sra don doña г-н г-жа др".split())
-_ODD = re.compile("[" + "".join(map(re.escape, SPACES | UNSEEN | HYPHENS | WIDTHS)) + "‌‍̀-ͯ]")
+#: Accounts: bank account numbers with a country, and payment cards. Both must be valid.
+_ACCOUNT = re.compile(r"(?<![\w-])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\w-])")
+# Words that announce a date of birth.
+_BORN = re.compile(
+    r"(?:[Dd]ate of birth|[Bb]orn(?: on)?|DOB|[Bb]irthday|[Gg]eboren(?: am)?|[Gg]eb\.|[Nn]ée?(?: le)?|[Dd]ate de naissance|[Nn]acid[oa](?: el)?|[Ff]echa de nacimiento|[Dd]ata de nascimento|[Дд]ата рождения|[Рр]одил(?:ся|ась)|[Дд]ата народження|生年月日)[ :：]{1,2}"
+    r"(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}([./-])\d{1,2}\2\d{4})(?!\w)"
+)
+#: Types that have a name of their own besides those of the reported details.
+REPORTED = ("email", "phone", "id_number", "address", "name")
 
 Found = tuple[int, int, str]
 
 
-def _plain(text: str) -> tuple[str, list[int] | None]:
-    """The text as it looks, and for each of its characters the place in ``text`` (None: the same places)."""
-    if text.isascii():
-        return text, None
-    places = None
-    if _ODD.search(text):
-        out: list[str] = []
-        places = []
-        for i, c in enumerate(text):
-            if c in UNSEEN or c in "‌‍":
-                continue
-            if unicodedata.combining(c) and out:
-                joined = unicodedata.normalize("NFC", out[-1] + c)
-                if len(joined) == 1:
-                    out[-1] = joined
-                    continue
-            for x in WIDTHS.get(c) or SPACES.get(c) or HYPHENS.get(c) or c:
-                out.append(x)
-                places.append(i)
-        places.append(len(text))
-        text = "".join(out)
-    if not _LOOKS_MIXED.search(text):
-        return text, places
-    same = consistent_form(text)
-    return (same if len(same) == len(text) else text), places
-
-
 def _names(text: str, taken: list[Found]) -> Iterator[Found]:
     free = 0
     for m in _CAPITAL.finditer(text):
@@ -214,7 +192,7 @@ def _add(found: list[Found], lo: int, hi: int, kind: str) -> None:
 
 def find_in_text(text: str) -> list[Found]:
     """(start, end, type) of the personal details of a free text, in order, without overlap, in code points of ``text``."""
-    plain, places = _plain(text)
+    plain, places = plain_with_places(text)
     found: list[Found] = []
     if "@" in plain or "at]" in plain or "at)" in plain:
         for m in _EMAIL.finditer(plain):
@@ -229,6 +207,12 @@ def find_in_text(text: str) -> list[Found]:
         for m in _PHONE.finditer(plain):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and not _SUM.match(m[0]):
                 _add(found, m.start(), m.end(), "phone")
+        for m in _ACCOUNT.finditer(plain):
+            symbols = re.sub("[ -]", "", m[0])
+            if is_iban(symbols) or is_card(symbols):
+                _add(found, m.start(), m.end(), "account")
+        for m in _BORN.finditer(plain):
+            _add(found, m.start(1), m.end(1), "birth_date")
     for hints, form in _ADDRESSES if _DIGIT.search(plain) else ():
         for m in form.finditer(plain) if any(x in plain for x in hints) else ():
             hi = m.end() - (m[0].endswith(".") and not m[0].endswith(("St.", "Rd.", "Ave.", "Dr.")))
@@ -241,139 +225,131 @@ def find_in_text(text: str) -> list[Found]:
 
 def find_in_author(text: str) -> list[Found]:
     """The same for an author field: mailboxes and numbers, and a name in any order and case, without titles and decoration."""
-    plain, places = _plain(text)
+    plain, places = plain_with_places(text)
     found: list[Found] = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(plain)] if "@" in plain else []
     if _MANY_DIGITS.search(plain):
         for m in _PHONE.finditer(plain):
             _add(found, m.start(), m.end(), "phone")
-    if not found:
-        words = [(m.start(), m.end(), m[0]) for m in _ANY_NAME.finditer(re.split(r"[|(\[{/•·]", plain)[0])]
-        words = [w for w in words if w[2].lower().strip(".") not in _TITLES]
-        single = [len(w[2].strip(".")) == 1 for w in words]
-        known = [w[2].lower() in GIVEN for w in words]
-        full = [not s and len(w[2]) > 2 and not w[2].endswith(".") for s, w in zip(single, words)]
-        if 2 <= len(words) <= 4 and sum(full) == 2 - (not any(known)) and (any(known) or any(single)) and all(s or f for s, f in zip(single, full)):
-            between = [plain[a[1] : b[0]] for a, b in zip(words, words[1:])]
-            if all(x.strip() in ("", ",") for x in between):
-                found.append((words[0][0], words[-1][1], "name"))
+    # What was found parts the field as a bar does.
+    bare = plain
+    for lo, hi, _ in found:
+        bare = bare[:lo] + "|" * (hi - lo) + bare[hi:]
+    at = 0
+    for part in _DECORATION.split(bare):
+        name = _name_in_part(part)
+        if name:
+            _add(found, at + name[0], at + name[1], "name")
+            break
+        at += len(part) + 1
+    found.sort()
     return _placed(found, text, places)
 
 
+_DECORATION = re.compile(r"[|(\[{/•·<>]")
+
+
+def _name_in_part(part: str) -> tuple[int, int] | None:
+    words = [(m.start(), m.end(), m[0]) for m in _ANY_NAME.finditer(part)]
+    words = [w for w in words if w[2].lower().strip(".") not in _TITLES]
+    if not 2 <= len(words) <= 4:
+        return None
+    single = [len(w[2].strip(".")) == 1 for w in words]
+    known = [w[2].lower() in GIVEN for w in words]
+    full = [not s and len(w[2]) > 2 and not w[2].endswith(".") for s, w in zip(single, words)]
+    if sum(full) == 2 - (not any(known)) and (any(known) or any(single)) and all(s or f for s, f in zip(single, full)):
+        between = [part[a[1] : b[0]] for a, b in zip(words, words[1:])]
+        if all(x.strip() in ("", ",") for x in between):
+            return words[0][0], words[-1][1]
+    return None
+
+
 def _placed(found: list[Found], text: str, places: list[int] | None) -> list[Found]:
-    if places is None:
-        return found
-    # A detail ends after the marks and unseen characters inside it, not those behind it.
-    out = []
-    for lo, hi, kind in found:
-        end = places[hi - 1] + 1
-        while end < len(text) and unicodedata.combining(text[end]):
-            end += 1
-        out.append((places[lo], end, kind))
-    return out
-
-
-class Pseudonyms:
-    """Keyed placeholders; equal values of a type get equal ones."""
-
-    ROUNDS = 8
-
-    def __init__(self, key: bytes):
-        self._key = key
-
-    def _number(self, *parts: bytes) -> int:
-        return int.from_bytes(hmac.digest(self._key, b"\0".join(parts), "sha256")[:16], "big")
-
-    def permute(self, symbols: list[int], radixes: list[int], tweak: bytes) -> list[int]:
-        """A keyed bijection of mixed-radix strings: an unbalanced Feistel network over their two halves."""
-        half = len(symbols) // 2
-        parts = [list(symbols[:half]), list(symbols[half:])]
-        bases = [radixes[:half], radixes[half:]]
-        for i in range(self.ROUNDS):
-            other, own = parts[1 - i % 2], i % 2
-            size = 1
-            for r in bases[own]:
-                size *= r
-            value = 0
-            for s, r in zip(parts[own], bases[own]):
-                value = value * r + s
-            value = (value + self._number(tweak, bytes([i]), ",".join(map(str, other)).encode())) % size
-            for j in range(len(bases[own]) - 1, -1, -1):
-                value, parts[own][j] = divmod(value, bases[own][j])
-        return parts[0] + parts[1]
-
-    def number(self, value: str, kind: str) -> str:
-        """``value`` with its digits and capital letters permuted; everything else, and so the format, stays."""
-        at = [i for i, c in enumerate(value) if c.isascii() and (c.isdigit() or c.isupper())]
-        if len(at) < 2:
-            return self.tag(value)
-        radixes = [10 if value[i].isdigit() else 26 for i in at]
-        symbols = [int(value[i]) if r == 10 else ord(value[i]) - 65 for i, r in zip(at, radixes)]
-        shape = "".join("9" if r == 10 else "A" for r in radixes)
-        out = list(value)
-        for i, r, s in zip(at, radixes, self.permute(symbols, radixes, f"{kind}:{shape}".encode())):
-            out[i] = str(s) if r == 10 else chr(65 + s)
-        return "".join(out)
-
-    def tag(self, value: str) -> str:
-        bare = " ".join(value.split()).casefold()
-        return hashlib.blake2b(bare.encode(), key=self._key[:64], digest_size=16).hexdigest()
-
-    def placeholder(self, value: str, kind: str) -> str:
-        plain = _plain(value)[0]
-        return f"[{kind.upper()}:{self.number(plain, kind) if kind in ('phone', 'id_number') else self.tag(plain)}]"
+    return found if places is None else [(*placed(lo, hi, text, places), kind) for lo, hi, kind in found]
+
+
+def placeholder(value: str, kind: str, names: Pseudonyms) -> str:
+    return names.placeholder(plain_with_places(value)[0], kind)
 
 
 def redact(text: str, found: list[Found], names: Pseudonyms) -> str:
     """``text`` with each detail replaced by its placeholder and every other character untouched."""
     out, at = [], 0
     for lo, hi, kind in found:
-        out += [text[at:lo], names.placeholder(text[lo:hi], kind)]
+        out += [text[at:lo], placeholder(text[lo:hi], kind, names)]
         at = hi
     return "".join([*out, text[at:]])
 
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("pii_type", T.StringType()), T.StructField("pii_value", T.StringType())]))
+_REPLACEMENTS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("field", T.StringType()),
+            T.StructField("start_char", T.IntegerType()),
+            T.StructField("end_char", T.IntegerType()),
+            T.StructField("pii_type", T.StringType()),
+            T.StructField("pii_value", T.StringType()),
+            T.StructField("placeholder", T.StringType()),
+        ]
+    )
+)
+
+
+def _replacer(key: bytes) -> Callable:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names = Pseudonyms(key)
+        for texts, authors in batches:
+            out = []
+            for text, author in zip(texts, authors):
+                rows = []
+                for field, value, find in (("text", text, find_in_text), ("author_name", author, find_in_author)):
+                    rows += [{"field": field, "start_char": a, "end_char": b, "pii_type": k, "pii_value": value[a:b], "placeholder": placeholder(value[a:b], k, names)} for a, b, k in find(value)] if value else []
+                out.append(rows or None)
+            yield pd.Series(out, dtype=object)
+
+    return run
 
 
-def _find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, authors in batches:
-        out = []
-        for text, author in zip(texts, authors):
-            rows = [{"field": "text", "pii_type": k, "pii_value": text[a:b]} for a, b, k in find_in_text(text)] if text else []
-            if author:
-                rows += [{"field": "author_name", "pii_type": k, "pii_value": author[a:b]} for a, b, k in find_in_author(author)]
-            out.append(rows or None)
-        yield pd.Series(out, dtype=object)
+def _key(secret: str) -> bytes:
+    return hashlib.sha256(secret.encode()).digest()
 
 
-def details(posts: DataFrame, key: str = "row_id", text: str = "text", author: str = "author_name") -> DataFrame:
-    """``(key, field, pii_type, pii_value)``: each personal detail as it stands, once for each row, field, type and value.
+def with_replacements(posts: DataFrame, secret: str, text: str = "text", author: str = "author_name", out: str = "replacements") -> DataFrame:
+    """Add ``out``: each personal detail of the two fields in order, with its place, type, value and keyed placeholder; null for none.
 
-    Nothing is shuffled. Null and empty fields hold nothing; a value that stands twice
-    in a field comes out once; repeated rows come out repeatedly.
+    Nothing is shuffled and ``secret`` is not stored. Null and empty fields hold nothing.
     """
-    find = F.pandas_udf(_find, _FOUND, F.PandasUDFType.SCALAR_ITER)
-    rows = posts.where(F.col(text).isNotNull() | F.col(author).isNotNull()).select(F.col(key), F.explode(F.array_distinct(find(F.col(text), F.col(author)))).alias("__d"))
-    return rows.select(key, "__d.*")
+    # Said to be nondeterministic, it is evaluated once a row and not again for each use of its result.
+    find = F.pandas_udf(_replacer(_key(secret)), _REPLACEMENTS, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return posts.withColumn(out, find(F.col(text), F.col(author)))
 
 
-def _redactor(key: bytes, find: Callable[[str], list[Found]]) -> Callable:
-    def run(values: pd.Series) -> pd.Series:
-        names = Pseudonyms(key)
-        return values.map(lambda v: redact(v, found, names) if (found := find(v)) else v, na_action="ignore")
+def details(posts: DataFrame, secret: str = "example", key: str = "row_id", text: str = "text", author: str = "author_name", types: tuple[str, ...] = REPORTED) -> DataFrame:
+    """``(key, field, pii_type, pii_value)`` of ``with_replacements``: each detail as it stands, once for each row, field, type and value.
 
-    return run
+    A value that stands twice in a field comes out once; repeated rows come out repeatedly.
+    """
+    rows = posts.where(F.col(text).isNotNull() | F.col(author).isNotNull()).select(F.col(key), F.col(text).alias("__text"), F.col(author).alias("__author"))
+    rows = with_replacements(rows, secret, "__text", "__author", "__r").select(key, "__r")
+    wanted = F.filter(F.transform("__r", lambda r: F.struct(r["field"].alias("field"), r["pii_type"].alias("pii_type"), r["pii_value"].alias("pii_value"))), lambda r: r["pii_type"].isin(*types))
+    return rows.select(key, F.explode(F.array_distinct(wanted)).alias("__d")).select(key, "__d.*")
+
+
+def _spliced(text: Column, field: str, replacements: Column) -> Column:
+    """The text with the replacements of one field put in, in place."""
+    mine = F.filter(replacements, lambda r: r["field"] == field)
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    step = lambda a, r: F.struct(F.concat(a["done"], F.substring(text, a["at"] + 1, r["start_char"] - a["at"]), r["placeholder"]).alias("done"), r["end_char"].alias("at"))
+    whole = F.aggregate(mine, start, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(mine) > 0, whole).otherwise(text)
 
 
 def redacted(posts: DataFrame, secret: str, text: str = "text", author: str = "author_name") -> DataFrame:
     """``posts`` with typed placeholders for all details in the two fields; ``secret`` keys the pseudonyms and is not stored."""
-    key = hashlib.sha256(secret.encode()).digest()
-    kind = F.PandasUDFType.SCALAR
-    in_text, in_author = F.pandas_udf(_redactor(key, find_in_text), T.StringType(), kind), F.pandas_udf(_redactor(key, find_in_author), T.StringType(), kind)
-    return posts.withColumn(text, in_text(F.col(text))).withColumn(author, in_author(F.col(author)))
+    rows = with_replacements(posts, secret, text, author, "__r").withColumn("__r", F.coalesce("__r", F.array().cast(_REPLACEMENTS)))
+    return rows.withColumn(text, _spliced(F.col(text), "text", F.col("__r"))).withColumn(author, _spliced(F.col(author), "author_name", F.col("__r"))).drop("__r")
 
 
-def details_by_type(posts: DataFrame) -> DataFrame:
+def details_by_type(posts: DataFrame, secret: str = "example") -> DataFrame:
     """``(field, pii_type, details, rows)``: how many details and rows with any, by field and type."""
-    by_row = details(posts).groupBy("field", "pii_type", "row_id").agg(F.count(F.lit(1)).alias("n"))
+    by_row = details(posts, secret, types=(*REPORTED, "account", "birth_date")).groupBy("field", "pii_type", "row_id").agg(F.count(F.lit(1)).alias("n"))
     return by_row.groupBy("field", "pii_type").agg(F.sum("n").alias("details"), F.count(F.lit(1)).alias("rows"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quaystone.llm.personal import Pseudonyms, details, details_by_type, find_in_author, find_in_text, redact, redacted
+from quaystone.llm.personal import details, details_by_type, find_in_author, find_in_text, redact, redacted
+from quaystone.llm.pseudonyms import CHECKED, Pseudonyms, is_card, is_iban, scheme_of, telephone
 from tests.conftest import post_rows, rows_of
 
 FOUND = [
@@ -48,9 +50,10 @@ def test_announced_numbers_end_before_words():
 def test_authors():
     for author, name in {
         "Dr. Rafael Zorvane": "Rafael Zorvane", "WINTERSOL Rafael": "WINTERSOL Rafael", "marta drovantes (moderator)": "marta drovantes", "Müllenfeld, Daniel 🚀": "Müllenfeld, Daniel", "Н. Орешкевина | KiteUI": "Н. Орешкевина", " Вера Ильмерина ": "Вера Ильмерина",
+        "Anna Schmidt <a.b@mail.example>": "Anna Schmidt", "Team | Anna Schmidt": "Anna Schmidt",
         "Editorial Desk": None, "marlstone_73": None, "swiftyard_bot": None, "Die Redaktion": None, "L'équipe": None, "Oscar": None, "deleted account": None, "🤖 linter": None, "": None,
     }.items():
-        assert [author[a:b] for a, b, _ in find_in_author(author)] == ([name] if name else []), author
+        assert [author[a:b] for a, b, k in find_in_author(author) if k == "name"] == ([name] if name else []), author
 
 
 def test_details_table(spark):
@@ -89,3 +92,61 @@ def test_rest_of_the_text_is_untouched():
 def test_tags_are_too_long_to_meet():
     names = Pseudonyms(b"example")
     assert len(names.tag("Anna Schmidt")) == 32 and names.tag("Anna  Schmidt") == names.tag("anna schmidt") != names.tag("Anna Schmitt")
+
+
+def test_check_digits_survive():
+    names = Pseudonyms(b"k")
+    made = 0
+    for form, check in CHECKED:
+        for seed in range(60):
+            payload = names._symbols("X1234567" if form[0] == "A" else "1" * len(form), b"%d" % seed)
+            payload = "XYZ"[seed % 3] + payload[1:] if form[0] == "A" else payload
+            value = payload + check(payload)
+            out = names.number(value, "id_number")
+            assert scheme_of(value) is not None and scheme_of(out) == scheme_of(value)
+            made += out != value
+    assert made > 0.9 * 60 * len(CHECKED)
+    for wrong in ("529982247262", "000-54-3985", "QQ 00 86 00 Z"):
+        symbols = re.sub("[^0-9A-Z]", "", names.number(wrong, "id_number"))
+        assert scheme_of(symbols) == scheme_of(re.sub("[^0-9A-Z]", "", wrong))
+    small = {names.checked(f"{i:04d}", "id_number") for i in range(10_000)}
+    assert len(small) == 10_000
+
+
+def test_accounts_and_birth_dates():
+    text = "Card 4539 1488 0343 6467 or DE89 3704 0044 0532 0130 00; born 1985-03-12, дата рождения: 05.11.1990. Card 4539 1488 0343 6468."
+    found = [(k, text[a:b]) for a, b, k in find_in_text(text)]
+    assert [f for f in found if f[0] in ("account", "birth_date")] == [("account", "4539 1488 0343 6467"), ("account", "DE89 3704 0044 0532 0130 00"), ("birth_date", "1985-03-12"), ("birth_date", "05.11.1990")]
+    names = Pseudonyms(b"k")
+    card, iban = names.number("4539 1488 0343 6467", "account"), names.number("DE89 3704 0044 0532 0130 00", "account")
+    assert is_card(card.replace(" ", "")) and is_iban(iban.replace(" ", "")) and iban.startswith("DE") and card != "4539 1488 0343 6467"
+    same = {names.birth_date(v) for v in ("1985-03-12", "12.03.1985")}
+    assert len({dt.date.fromisoformat(v) if v[4] == "-" else dt.datetime.strptime(v, "%d.%m.%Y").date() for v in same}) == 1
+    days = [dt.date(1900, 1, 1) + dt.timedelta(days=i) for i in range(0, 73049, 7)]
+    assert len({names.day(d) for d in days}) == len(days) and names.day(dt.date(1800, 1, 1)) == dt.date(1800, 1, 1)
+
+
+def test_ways_to_write_a_number_get_one_placeholder():
+    names = Pseudonyms(b"k")
+    for ways in (
+        ("+7 999 123-45-67", "8 (999) 123-45-67", "0079991234567"),
+        ("+49 30 23125122", "030/23125122", "0049 30 23125122", "+49 (0)30 23125122"),
+        ("+33 1 99 00 31 14", "01.99.00.31.14"),
+        ("(202) 555-0155", "+1 202 555 0155", "1-202-555-0155"),
+        ("+34 600000175", "600 000 175"),
+        ("+44 1632 960 123", "01632 960123"),
+    ):
+        assert len({names.placeholder(w, "phone") for w in ways}) == 1, ways
+        code, national = telephone(ways[0])
+        assert re.fullmatch(rf"\[PHONE:\+{code}{national[0]}\d{{{len(national) - 1}}}\]", names.placeholder(ways[0], "phone"))
+    assert names.placeholder("+7 999 123-45-67", "phone") != names.placeholder("+7 999 123-45-68", "phone")
+
+
+def test_redaction_comes_from_the_replacements(spark):
+    texts = ["Thanks to Sofia Ash-Ney for +7 000 555‑48‑32!", "𝒳 😀 SSN 000-54-3985 а̀ конец", "", None, "nothing"]
+    df = post_rows(spark, [{"row_id": i, "text": t, "author_name": t} for i, t in enumerate(texts)], clash=True)
+    names = Pseudonyms(__import__("hashlib").sha256(b"s").digest())
+    got = {r["row_id"]: (r["text"], r["author_name"]) for r in redacted(df, "s").collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else redact(t, find_in_text(t), names)
+        assert got[i][0] == want and (got[i][1] is None) == (t is None)
