@@ -3,8 +3,10 @@
 A text is a mixture: each sentence comes from one of the text's languages. Sentences
 are scored by character n-gram models; expectation-maximisation estimates how much
 of the text each language has, and the set of languages is grown as long as the
-likelihood gains more than a penalty for one more language. The models are counted
-on a bounded sample of labelled texts whose wrong labels are sorted out in rounds.
+likelihood gains more than a penalty for one more language. A ninth model, of which
+nothing is known but the number of its letters, takes what is in none of the eight. The
+models are counted on a bounded sample of labelled texts whose wrong labels are sorted
+out in rounds.
 """
 
 import math
@@ -18,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.llm.lookalikes import consistent_form
+from quaystone.llm.lookalikes import placed, plain_with_places
 from quaystone.llm.sampling import hashed_sample
 
 LANGUAGES = ("en", "ru", "de", "fr", "es", "uk", "pt", "ja")
+#: The language of segments in none of these.
+UNKNOWN = "und"
 # What labels name, by code and by name (in English and in the language itself).
 NAMED = {
     "en": "en eng english", "ru": "ru rus russian русский", "de": "de deu ger german deutsch", "fr": "fr fra fre french français francais", "es": "es spa spanish español espanol castellano",
@@ -57,9 +61,11 @@ def words_in(segment: str) -> list[str]:
 
 
 class LanguageModel:
-    """Character n-gram models: log-likelihood of a word under each language against the best one, smoothed over shorter contexts."""
+    """Character n-gram models: log-likelihood of a word under each language, and under none, against the best one, smoothed over shorter contexts."""
 
     ORDER = 4
+    #: Of an unknown language: each of its letters is as likely as any other.
+    LETTERS = 36
     #: The most, in nats, by which one word can speak against a language: a name decides nothing.
     VOTE = 8.0
 
@@ -94,8 +100,9 @@ class LanguageModel:
     def word(self, word: str) -> np.ndarray:
         found = self._cache.get(word)
         if found is None:
-            found = np.array([self._score(word, lang) for lang in self.languages], dtype=np.float32)
-            found = np.maximum(found - found.max(), -self.VOTE)
+            known = np.array([self._score(word, lang) for lang in self.languages], dtype=np.float32)
+            unknown = -math.log(self.LETTERS) * (len(word) + 1) - known.max()
+            found = np.clip(np.append(known - known.max(), np.float32(unknown)), -self.VOTE, self.VOTE)
             if len(self._cache) > 200_000:
                 self._cache.clear()
             if len(word) <= 64:  # what is longer hardly comes again
@@ -139,8 +146,8 @@ def mixture(scores: np.ndarray, weights: np.ndarray, penalty: float, rounds: int
     """(languages, their proportions, responsibility of each for each segment) by EM and a penalised choice of the set.
 
     ``scores``: log-likelihood of each segment under each language; ``weights``: what
-    each segment counts for. Starts from the best single language and adds the one
-    that gains most, while that is more than ``penalty``.
+    each segment counts for; the last column is the unknown language. Starts from the best
+    single known language and adds the one that gains most, while that is more than ``penalty``.
     """
 
     def fit(chosen: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -156,7 +163,7 @@ def mixture(scores: np.ndarray, weights: np.ndarray, penalty: float, rounds: int
         top = joint.max(axis=1, keepdims=True)
         return float((top[:, 0] + np.log(np.exp(joint - top).sum(axis=1))).sum()), share, resp
 
-    chosen = [int(scores.sum(axis=0).argmax())]
+    chosen = [int(scores[:, :-1].sum(axis=0).argmax())]
     if np.maximum(scores - scores[:, chosen], 0).sum(axis=0).max() <= penalty:
         return chosen, np.ones(1), np.ones((len(scores), 1))
     value, share, resp = fit(chosen)
@@ -180,7 +187,7 @@ class Detector:
         self.model, self.penalty = model, penalty
 
     def detect(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, language, confidence) of each segment with words, in order."""
+        """(start, end, language, confidence) of each segment with words, in order, in code points of ``text``."""
         return self.detect_all([text])[0]
 
     def detect_all(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
@@ -188,10 +195,11 @@ class Detector:
         flat, lengths, places, per_text = [], [], [], []
         word = self.model.word
         for text in texts:
-            found = segments_of(_told_apart(text)) if text else []
+            plain, where = plain_with_places(text) if text else ("", None)
+            found = segments_of(plain)
             per_text.append(len(found))
             for lo, hi, words in found:
-                places.append((lo, hi))
+                places.append(placed(lo, hi, text, where))
                 lengths.append(len(words))
                 flat += words
         if not flat:
@@ -203,11 +211,11 @@ class Detector:
         best = scores.argmax(axis=1)
         top = scores[np.arange(len(best)), best]
         sure = 1 / np.exp(np.clip(scores - top[:, None], -60, 0)).sum(axis=1)
-        languages, out, at = self.model.languages, [], 0
+        languages, out, at = (*self.model.languages, UNKNOWN), [], 0
         for n in per_text:
             if not n:
                 out.append([])
-            elif (best[at : at + n] == best[at]).all():
+            elif best[at] < len(languages) - 1 and (best[at : at + n] == best[at]).all():  # no other could gain anything
                 out.append([(*places[i], languages[best[i]], float(sure[i])) for i in range(at, at + n)])
             else:
                 chosen, _, resp = mixture(scores[at : at + n].astype(np.float64), np.asarray(lengths[at : at + n], dtype=np.float64), self.penalty)
@@ -218,7 +226,7 @@ class Detector:
 
 
     def sets(self, texts: list[str | None]) -> list[list[str]]:
-        """The sorted languages of each text, as ``detect_all`` finds them.
+        """The sorted known languages of each text, as ``detect_all`` finds them.
 
         No segment can gain more for a further language than its words do one by one,
         so texts whose words together gain no more than the penalty are in one
@@ -226,7 +234,7 @@ class Detector:
         """
         flat, lengths, which = [], [], []
         for i, text in enumerate(texts):
-            words = words_in(_bare(_told_apart(text))) if text else ()
+            words = words_in(_bare(plain_with_places(text)[0])) if text else ()
             if words:
                 flat += words
                 lengths.append(len(words))
@@ -242,7 +250,7 @@ class Detector:
         index = np.array([known(w) for w in flat])
         scores = np.stack([self.model.word(w) for w in ids])[index]
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        best = np.add.reduceat(scores, starts, axis=0).argmax(axis=1)
+        best = np.add.reduceat(scores[:, :-1], starts, axis=0).argmax(axis=1)
         own = scores[np.arange(len(index)), np.repeat(best, lengths)]
         gain = np.add.reduceat(np.maximum(scores - own[:, None], 0), starts, axis=0).max(axis=1)
         rest = []
@@ -252,23 +260,13 @@ class Detector:
             else:
                 rest.append(i)
         for i, found in zip(rest, self.detect_all([texts[i] for i in rest])):
-            out[i] = sorted({lang for _, _, lang, _ in found})
+            out[i] = sorted({lang for _, _, lang, _ in found} - {UNKNOWN})
         return out
 
 
-_MIXED_SCRIPT = re.compile("[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]|[\u00ad\u200b-\u200f\u2060\ufeff\uff10-\uff5a\u0300-\u036f]")
-
-
-def _told_apart(text: str) -> str:
-    """The text in its consistent spelling where letters of several scripts meet in a word; lengths may then differ."""
-    if not _MIXED_SCRIPT.search(text):
-        return text
-    return consistent_form(text)
-
-
 def train(rows: list[tuple[str, str | None]], languages: tuple[str, ...] = LANGUAGES, rounds: int = 3) -> LanguageModel:
     """A model from (text, label) rows; after each round, segments go to the language they fit best, so wrong labels and mixed texts lose their weight."""
-    split: list[tuple[list[list[str]], str | None]] = [([w for _, _, w in segments_of(_told_apart(text))], label) for text, label in rows if text]
+    split: list[tuple[list[list[str]], str | None]] = [([w for _, _, w in segments_of(plain_with_places(text)[0])], label) for text, label in rows if text]
     counts = {lang: Counter() for lang in languages}
     for segments, label in split:
         if label in counts:
@@ -284,7 +282,7 @@ def train(rows: list[tuple[str, str | None]], languages: tuple[str, ...] = LANGU
             for words in segments:
                 key = tuple(words)
                 if key not in memo:
-                    memo[key] = int(np.sum([model.word(w) for w in words], axis=0).argmax())
+                    memo[key] = int(np.sum([model.word(w) for w in words], axis=0)[:-1].argmax())
                 lang = languages[memo[key]]
                 if len(words) >= 4 or lang == label:
                     counts[lang].update(words)
@@ -363,7 +361,7 @@ def mislabelled(posts: DataFrame, key: str = "row_id", text: str = "text", label
 
 
 def segment_languages(posts: DataFrame, key: str = "row_id", text: str = "text", label: str = "lang", detector: Detector | None = None) -> DataFrame:
-    """``(key, start_char, end_char, lang, confidence)`` of each segment with words, over the text in its consistent spelling."""
+    """``(key, start_char, end_char, lang, confidence)`` of each segment with words, in code points of the stored text; ``und`` is a language that is none of ours."""
     detector = detector or fit_detector(posts, key, text, label)
     find = F.pandas_udf(_segmenter(detector), _SEGMENTS, F.PandasUDFType.SCALAR_ITER)
     return posts.where(F.col(text).isNotNull()).select(F.col(key), F.explode(find(F.col(text))).alias("__s")).select(key, "__s.*")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from quaystone.llm.languages import LANGUAGES, Detector, fit_detector, mislabelled, mixture, segment_languages, segments_of, train
+from quaystone.llm.languages import LANGUAGES, UNKNOWN, Detector, fit_detector, mislabelled, mixture, segment_languages, segments_of, train
 from tests.conftest import post_rows
 
 PARTS = {
@@ -53,17 +53,30 @@ def test_held_out_accuracy(detector):
 def test_sets_agree_with_segments(detector):
     draw = random.Random(3)
     texts = [" ".join(sentence(draw.choice(LANGUAGES), draw) for _ in range(draw.randint(0, 4))) for _ in range(200)] + ["", None, "123 !", "#tag @a_b", "x" * 40_000]
-    assert detector.sets(texts) == [sorted({s[2] for s in found}) for found in detector.detect_all(texts)]
+    assert detector.sets(texts) == [sorted({s[2] for s in found} - {UNKNOWN}) for found in detector.detect_all(texts)]
     assert detector.sets(["", None, "2:0", "#tag @a_b 5.2"]) == [[], [], [], []]
     for a, b, _, sure in detector.detect("Nobody remembers who wrote the cache. Никто не помнит, кто написал кэш!"):
         assert 0 <= a < b and 0.9 < sure <= 1
 
 
 def test_mixture_chooses_by_penalty():
-    scores = np.array([[0.0, -30.0, -40.0], [-30.0, 0.0, -40.0], [0.0, -3.0, -40.0]])
+    scores = np.array([[0.0, -30.0, -40.0, -50.0], [-30.0, 0.0, -40.0, -50.0], [0.0, -3.0, -40.0, -50.0]])
     assert mixture(scores, np.ones(3), 10.0)[0] == [0, 1] and mixture(scores, np.ones(3), 100.0)[0] == [0]
 
 
+def test_other_languages_are_not_forced_into_ours(detector):
+    foreign = ["这是一个测试文章我们今天讨论新的编译器和缓存问题。", "هذا نص تجريبي باللغة العربية عن التخزين المؤقت.", "यह एक परीक्षण पाठ है जो हिंदी में लिखा गया है।", "이것은 컴파일러 캐시에 관한 테스트 문장입니다.", "Bu bir deneme metnidir ve derleyici önbelleği hakkındadır."]
+    for text in foreign:
+        assert detector.sets([text]) == [[]] and {s[2] for s in detector.detect(text)} == {UNKNOWN}
+    both = "Nobody remembers who wrote the cache. " + foreign[1]
+    assert [s[2] for s in detector.detect(both)] == ["en", UNKNOWN] and detector.sets([both]) == [["en"]]
+
+
+def test_segments_are_parts_of_the_stored_text(detector):
+    text = "No\u200bbody remembers who wrote the ca\u200bche. Никто не помнит, кто написал кэш! Niemand weiß noch, wer die Anzeige geschrieben hat."
+    assert [(text[a:b].strip(), lang) for a, b, lang, _ in detector.detect(text)] == [("No\u200bbody remembers who wrote the ca\u200bche.", "en"), ("Никто не помнит, кто написал кэш!", "ru"), ("Niemand weiß noch, wer die Anzeige geschrieben hat.", "de")]
+
+
 def test_segments_keep_places():
     text = "Build 16.7.6 is out. Mehr dazu\nКэш a@b.example!"
     assert [text[a:b].strip() for a, b, _ in segments_of(text)] == ["Build 16.7.6 is out.", "Mehr dazu", "Кэш a@b.example!"]
