@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,7 @@ w ԝ -
 RARE = set("ѕЅһԁԛԝѵјЈϲϹϳͿ")
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 
-#: Look-alike letter to its spellings by script.
+#: Look-alike letter to its spellings by script. ``public_classes`` adds the other scripts.
 CLASSES: dict[str, dict[str, str]] = {}
 for _line in ALIKE.split("\n"):
     _spelled = {s: c for s, c in zip(SCRIPTS, _line.split()) if c != "-"}
@@ -91,101 +91,157 @@ _CASED = re.compile("[A-Za-z\u00c0-\u052f\u1f00-\u1fff]")
 _MARKS = re.compile("[\u0300-\u036f]")
 
 
-@lru_cache(maxsize=1 << 14)
-def _letter(base: str) -> frozenset[str]:
-    if base in CLASSES:
-        return frozenset(CLASSES[base])
-    if not base.isalpha():  # a superscript goes with any script
-        return frozenset((*SCRIPTS, "OTHER"))
-    name = unicodedata.name(base, "").split(" ")[0]
-    return frozenset((name if name in SCRIPTS else "OTHER",))
-
-
-def _runs(token: str) -> list[tuple[str, frozenset[str]]]:
-    """The decomposed token as runs whose letters share a script, each with its resolved set."""
-    runs: list[tuple[str, frozenset[str]]] = []
-    text, scripts = "", frozenset()
-    for c in unicodedata.normalize("NFD", token):
-        if unicodedata.combining(c):
-            text += c
-            continue
-        own = _letter(c)
-        both = scripts & own if text else own
-        if text and not both:
-            runs.append((text, scripts))
-            text, both = "", own
-        text, scripts = text + c, both
-    return [*runs, (text, scripts)]
-
+class Spelling:
+    """The consistent spelling under one table of look-alike letters."""
+
+    def __init__(self, classes: dict[str, dict[str, str]] | None = None):
+        self.classes = CLASSES if classes is None else classes
+        self.scripts = (*SCRIPTS, *sorted({s for spelled in self.classes.values() for s in spelled} - set(SCRIPTS)))
+        further = "".join(sorted(c for c in self.classes if not _CASED.match(c)))
+        self._cased = re.compile(f"{_CASED.pattern[:-1]}{re.escape(further)}]") if further else _CASED
+        self._letter = lru_cache(maxsize=1 << 14)(self._letter_of)
+        self._resolve = lru_cache(maxsize=1 << 16)(self._resolve_token)
+
+    def __getstate__(self) -> dict:
+        return {"classes": self.classes}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["classes"])
+
+    def _letter_of(self, base: str) -> frozenset[str]:
+        if base in self.classes:
+            return frozenset(self.classes[base])
+        if not base.isalpha():  # a superscript goes with any script
+            return frozenset((*self.scripts, "OTHER"))
+        name = unicodedata.name(base, "").split(" ")[0]
+        return frozenset((name if name in self.scripts else "OTHER",))
+
+    def runs(self, token: str) -> list[tuple[str, frozenset[str]]]:
+        """The decomposed token as runs whose letters share a script, each with its resolved set."""
+        runs: list[tuple[str, frozenset[str]]] = []
+        text, scripts = "", frozenset()
+        for c in unicodedata.normalize("NFD", token):
+            if unicodedata.combining(c):
+                text += c
+                continue
+            own = self._letter(c)
+            both = scripts & own if text else own
+            if text and not both:
+                runs.append((text, scripts))
+                text, both = "", own
+            text, scripts = text + c, both
+        return [*runs, (text, scripts)]
+
+    def _spelled(self, run: str, script: str) -> str:
+        return "".join(self.classes[c].get(script, c) if c in self.classes else c for c in run)
+
+    def _resolved(self, token: str) -> tuple[str | None, str | None, tuple]:
+        """``_resolve_token``, kept for tokens of a usual length."""
+        return self._resolve(token) if len(token) <= 64 else self._resolve_token(token)
+
+    def _resolve_token(self, token: str) -> tuple[str | None, str | None, tuple]:
+        """(spelling or None where the context decides, script of its last letters, runs)."""
+        runs = self.runs(token)
+        if all(len(scripts) == 1 for _, scripts in runs):
+            spelled = unicodedata.normalize("NFC", "".join(self._spelled(run, min(scripts)) for run, scripts in runs))
+            return spelled, min(runs[-1][1]), ()
+        return None, None, tuple(runs)
+
+    def _rank(self, script: str) -> int:
+        return self.scripts.index(script) if script in self.scripts else len(self.scripts)
+
+    def _in_context(self, runs: tuple, script: str | None, by_digits: bool) -> str:
+        """Spelling of a token that could be of several scripts: the one with the fewest letters that hardly any language uses, then Latin beside digits (codes, hex), else the script of the last word that leaves no choice."""
+        want = "LATIN" if by_digits or script is None or any(c.isnumeric() for run, _ in runs for c in run) else script
+        best = [min(scripts, key=lambda s: (sum(_is_rare(c) for c in self._spelled(run, s)), s != want, self._rank(s))) for run, scripts in runs]
+        return unicodedata.normalize("NFC", "".join(self._spelled(run, s) for (run, _), s in zip(runs, best)))
+
+    def form(self, text: str) -> str:
+        """The one spelling of ``text``: what looks the same comes out the same. Line breaks, case, accents and punctuation stay."""
+        if text.isascii():
+            return text
+        if _SPECIAL.search(text):
+            text = text.translate(_FIRST)
+            if "\u200c" in text or "\u200d" in text:
+                text = _JOINERS.sub("", text)
+        text = unicodedata.normalize("NFC", text)
+        if text.isascii() or not self._cased.search(text):
+            return text
+        # Accents that do not compose with a look-alike belong to its token.
+        parts = (_MARKED if _MARKS.search(text) else _TOKENS).split(text)
+        script, changed, open_at = None, False, []
+
+        def decide(j: int, script: str | None, by_digits: bool) -> None:
+            nonlocal changed
+            spelled = self._in_context(self._resolved(parts[j])[2], script, by_digits)
+            if spelled != parts[j]:
+                parts[j], changed = spelled, True
+
+        beside_digits = lambda j: parts[j - 1][-1:].isdigit() or parts[j + 1][:1].isdigit()
+        for i in range(1, len(parts), 2):
+            spelled, now, _ = self._resolved(parts[i])
+            if spelled is None:
+                if script is None:
+                    open_at.append(i)
+                else:
+                    decide(i, script, beside_digits(i))
+                continue
+            if now != "OTHER":
+                script = now
+                for j in open_at:  # words before the first that leaves no choice
+                    decide(j, script, beside_digits(j))
+                open_at = []
+            if spelled != parts[i]:
+                parts[i], changed = spelled, True
+        for j in open_at:
+            decide(j, None, False)
+        return "".join(parts) if changed else text
 
-def _spelled(run: str, script: str) -> str:
-    return "".join(CLASSES[c].get(script, c) if c in CLASSES else c for c in run)
 
+def _is_rare(letter: str) -> bool:
+    """Letters that hardly any language of today uses: the listed ones, and Cyrillic beyond the letters of living alphabets."""
+    return letter in RARE or "\u0460" <= letter <= "\u0489" or "\u04c0" == letter or "\u04cf" == letter or "\u0500" <= letter <= "\u052f" or "\ua640" <= letter <= "\ua69f"
 
-def _resolved(token: str) -> tuple[str | None, str | None, tuple]:
-    """``_resolve``, kept for tokens of a usual length."""
-    return _resolve(token) if len(token) <= 64 else _resolve.__wrapped__(token)
 
+_BASE = Spelling()
 
-@lru_cache(maxsize=1 << 16)
-def _resolve(token: str) -> tuple[str | None, str | None, tuple]:
-    """(spelling or None where the context decides, script of its last letters, runs)."""
-    runs = _runs(token)
-    if all(len(scripts) == 1 for _, scripts in runs):
-        spelled = unicodedata.normalize("NFC", "".join(_spelled(run, min(scripts)) for run, scripts in runs))
-        return spelled, min(runs[-1][1]), ()
-    return None, None, tuple(runs)
 
+def consistent_form(text: str) -> str:
+    """``Spelling.form`` under the table of this module, which knows three scripts."""
+    return _BASE.form(text)
 
-def _in_context(runs: tuple, script: str | None, by_digits: bool) -> str:
-    """Spelling of a token that could be of several scripts: the one with the fewest letters that hardly any language uses, then Latin beside digits (codes, hex), else the script of the last word that leaves no choice."""
-    want = "LATIN" if by_digits or script is None or any(c.isnumeric() for run, _ in runs for c in run) else script
-    best = [min(scripts, key=lambda s: (sum(c in RARE for c in _spelled(run, s)), s != want, _rank(s))) for run, scripts in runs]
-    return unicodedata.normalize("NFC", "".join(_spelled(run, s) for (run, _), s in zip(runs, best)))
 
+def public_classes(spark: SparkSession) -> tuple[dict[str, dict[str, str]], str]:
+    """(CLASSES and the look-alikes of all other scripts with two cases, the data's version), from the public confusables data that the session's ICU library carries.
 
-def consistent_form(text: str) -> str:
-    """The one spelling of ``text``: what looks the same comes out the same. Line breaks, case, accents and punctuation stay."""
-    if text.isascii():
-        return text
-    if _SPECIAL.search(text):
-        text = text.translate(_FIRST)
-        if "\u200c" in text or "\u200d" in text:
-            text = _JOINERS.sub("", text)
-    text = unicodedata.normalize("NFC", text)
-    if text.isascii() or not _CASED.search(text):
-        return text
-    # Accents that do not compose with a look-alike belong to its token.
-    parts = (_MARKED if _MARKS.search(text) else _TOKENS).split(text)
-    script, changed, open_at = None, False, []
-    for i in range(1, len(parts), 2):
-        spelled, now, runs = _resolved(parts[i])
-        if spelled is None:
-            if script is None and not open_at:
-                open_at = [i]
-            elif script is None:
-                open_at.append(i)
-            else:
-                spelled = _in_context(runs, script, parts[i - 1][-1:].isdigit() or parts[i + 1][:1].isdigit())
-                if spelled != parts[i]:
-                    parts[i], changed = spelled, True
+    Added are letters that ICU holds for one ASCII letter of the same case. Letters of the
+    Russian and Greek alphabets keep their classes from above: that a Russian letter
+    resembles a small Latin one in some typeface makes no text ambiguous. Without the
+    library CLASSES stay as they are, and the version is empty.
+    """
+    classes = {c: dict(spelled) for c, spelled in CLASSES.items()}
+    letters = [c for c in map(chr, range(0x370, 0x1F000)) if unicodedata.category(c) in ("Lu", "Ll") and unicodedata.decomposition(c) == "" and c not in CLASSES and not _ALPHABETS.match(c)]
+    try:
+        icu = spark._jvm.com.ibm.icu
+        skeletons = icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+        version = icu.lang.UCharacter.getUnicodeVersion().toString()
+    except (TypeError, AttributeError):
+        return classes, ""
+    for letter, skeleton in zip(letters, skeletons):
+        if skeleton == "l" and letter.isupper():  # one skeleton stands for both
+            skeleton = "I"
+        script = unicodedata.name(letter).split(" ")[0]
+        if len(skeleton) != 1 or not skeleton.isascii() or not skeleton.isalpha() or skeleton.isupper() != letter.isupper() or script in ("LATIN", "MATHEMATICAL"):
             continue
-        if now != "OTHER":
-            script = now
-            for j in open_at:  # words before the first that leaves no choice
-                first = _in_context(_resolved(parts[j])[2], script, parts[j - 1][-1:].isdigit() or parts[j + 1][:1].isdigit())
-                if first != parts[j]:
-                    parts[j], changed = first, True
-            open_at = []
-        if spelled != parts[i]:
-            parts[i], changed = spelled, True
-    for j in open_at:
-        first = _in_context(_resolved(parts[j])[2], None, False)
-        if first != parts[j]:
-            parts[j], changed = first, True
-    return "".join(parts) if changed else text
+        latin = classes.setdefault(skeleton, {"LATIN": skeleton})
+        classes[letter] = latin | {script: letter}
+        latin.setdefault(script, letter)
+    return classes, version
 
 
+#: The letters of the Russian and Greek alphabets.
+_ALPHABETS = re.compile("[\u0391-\u03a9\u03b1-\u03c9\u0410-\u044f\u0401\u0451]")
+
 _ODD = re.compile("[" + "".join(map(re.escape, SPACES | UNSEEN | HYPHENS | WIDTHS)) + "\u200c\u200d\u0300-\u036f]")
 _LOOKS_MIXED = re.compile("[A-Za-z][\u0300-\u036f]*[\u0370-\u052f]|[\u0370-\u052f][\u0300-\u036f]*[A-Za-z]")
 
@@ -227,29 +283,28 @@ def placed(lo: int, hi: int, text: str, places: list[int] | None) -> tuple[int,
     return places[lo], end
 
 
-def _rank(script: str) -> int:
-    return SCRIPTS.index(script) if script in SCRIPTS else len(SCRIPTS)
-
-
-def token_finding(token: str) -> str:
+def token_finding(token: str, spelling: Spelling = _BASE) -> str:
     """``mixed`` (letters of several scripts), ``whole`` (all of it could be another script) or ``single``."""
-    runs = _runs(token)
-    own = {unicodedata.name(c, "").split(" ")[0] for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)} & set(SCRIPTS)
+    runs = spelling.runs(token)
+    own = {unicodedata.name(c, "").split(" ")[0] for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)} & set(spelling.scripts)
     if len(own) > 1:
         return "mixed"
     return "whole" if len(runs) == 1 and len(runs[0][1]) > 1 else "single"
 
 
-@F.pandas_udf(T.StringType())
-def _forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(consistent_form, na_action="ignore")
+def _former(spelling: Spelling) -> Callable:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(spelling.form, na_action="ignore")
+
+    return run
 
 
 def with_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
-    """Add ``out``, the consistent form of ``text``; null stays null."""
+    """Add ``out``, the consistent form of ``text`` under ``public_classes``; null stays null."""
+    form = F.pandas_udf(_former(Spelling(public_classes(df.sparkSession)[0])), T.StringType(), F.PandasUDFType.SCALAR_ITER)
     # Said to be nondeterministic, it is evaluated once a row and not again by a filter on its result.
-    return df.withColumn(out, _forms.asNondeterministic()(F.col(text)))
+    return df.withColumn(out, form.asNondeterministic()(F.col(text)))
 
 
 def _hashes(value: Column, one: str, two: str) -> list[Column]:
@@ -257,21 +312,37 @@ def _hashes(value: Column, one: str, two: str) -> list[Column]:
     return [F.xxhash64(value).alias(one), F.xxhash64(F.lit(7), value).alias(two)]
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(<key>_a, <key>_b)``, a < b: rows whose texts differ as stored but have one consistent form.
-
-    All pairs of unequal texts come out, none of equal ones. Texts that are null or
-    without a visible character are in no pair; an empty table gives no pairs. Only
-    hashes are shuffled. Different spellings are paired first, one row each, and rows
-    are joined to the pairs of their spelling: a text that a third of all rows share
-    costs its rows once for each other spelling, never the square of its rows.
-    """
+def _linked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(__k, f1, f2, t1, t2, links)``: rows that look like a row with another text, with the hashes of their form and text."""
     rows = with_form(df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where(F.col("__t").isNotNull()), "__t", "__f")
     rows = rows.where(has_visible(F.col("__f")))
     rows = cut_lineage(rows.select("__k", *_hashes(F.col("__f"), "f1", "f2"), *_hashes(F.col("__t"), "t1", "t2")))
-    several = rows.groupBy("f1", "f2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("t2").alias("c"), F.max("t2").alias("d"))
-    several = several.where((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).select("f1", "f2")
-    rows = cut_lineage(rows.join(several, ["f1", "f2"], "left_semi"))
+    by_text = rows.groupBy("f1", "f2", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+    by_form = by_text.groupBy("f1", "f2").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1)
+    links = by_text.join(by_form, ["f1", "f2"]).select("f1", "f2", "t1", "t2", (F.col("all") - F.col("n")).alias("links"))
+    return cut_lineage(rows.join(links, ["f1", "f2", "t1", "t2"]))
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(<key>, class_id, text_id, links)``: one row for each row that looks like a row with another text.
+
+    Rows of one class look the same; those of one text_id are the same; ``links`` counts
+    the rows of the class with another text. Texts that are null or without a visible
+    character are in no class; an empty table gives none. Only hashes are shuffled, and a
+    text that a third of all rows share is one group of a partial aggregate.
+    """
+    name = lambda one, two: F.lower(F.concat(F.lpad(F.hex(one), 16, "0"), F.lpad(F.hex(two), 16, "0")))
+    return _linked(df, key, text).select(F.col("__k").alias(key), name("f1", "f2").alias("class_id"), name("t1", "t2").alias("text_id"), "links")
+
+
+def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(<key>_a, <key>_b)``, a < b: the links of ``look_alike_classes`` written out, rows whose texts differ as stored but look the same.
+
+    All pairs of unequal texts come out, none of equal ones: as many as there are links,
+    which grows with the square of a class. Different texts are paired first, one row
+    each, and rows are joined to the pairs of their text.
+    """
+    rows = _linked(df, key, text).drop("links")
     spellings = rows.select("f1", "f2", "t1", "t2").distinct()
     other = spellings.select("f1", "f2", F.col("t1").alias("u1"), F.col("t2").alias("u2"))
     before = (F.col("t1") < F.col("u1")) | ((F.col("t1") == F.col("u1")) & (F.col("t2") < F.col("u2")))

@@ -7,6 +7,7 @@ from quaystone.session import table
 
 QUERIES = {
     "p2_found": lambda s, d: lookalikes.look_alike_pairs(table(s, d, "post"), "row_id", "text"),
+    "p2_classes": lambda s, d: lookalikes.look_alike_classes(table(s, d, "post"), "row_id", "text"),
     "p2_consistent": lambda s, d: lookalikes.with_form(table(s, d, "post").select("row_id", "text"), "text", "form"),
     "p5_found": lambda s, d: personal.details(table(s, d, "post"), secret="example"),
     "p5_redacted": lambda s, d: personal.redacted(table(s, d, "post").select("row_id", "text", "author_name"), secret="example"),

@@ -8,7 +8,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quaystone.llm.lookalikes import CLASSES, WIDTHS, consistent_form, look_alike_pairs, token_finding, with_form
+from quaystone.llm.lookalikes import CLASSES, WIDTHS, Spelling, consistent_form, look_alike_classes, look_alike_pairs, public_classes, token_finding, with_form
 from tests.conftest import post_rows, rows_of
 
 
@@ -66,8 +66,29 @@ def test_pairs_against_brute_force(spark):
         texts += [base, disguised(base, draw), base]
     df = post_rows(spark, [{"row_id": i, "text": t} for i, t in enumerate(texts)], clash=True)
     found = rows_of(look_alike_pairs(df, "row_id", "text"))
-    form = [None if t is None else consistent_form(t) for t in texts]
+    spelling = Spelling(public_classes(spark)[0])
+    form = [None if t is None else spelling.form(t) for t in texts]
     want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if form[i] and form[i].strip() and form[i] == form[j] and texts[i] != texts[j]]
     assert found == sorted(want, key=repr)
-    assert look_alike_pairs(df.limit(0), "row_id", "text").count() == 0
+    classes = look_alike_classes(df, "row_id", "text").collect()
+    assert {r["row_id"]: r["links"] for r in classes} == {i: sum(i in pair for pair in want) for i in {i for pair in want for i in pair}}
+    assert len({(r["class_id"], form[r["row_id"]]) for r in classes}) == len({r["class_id"] for r in classes}) == len({form[r["row_id"]] for r in classes})
+    assert look_alike_classes(df.limit(0), "row_id", "text").count() == look_alike_pairs(df.limit(0), "row_id", "text").count() == 0
     assert with_form(df, "text", "form2").count() == len(texts)
+
+
+def test_all_scripts_with_two_cases(spark):
+    classes, version = public_classes(spark)
+    assert version and classes.items() >= {c: classes[c] for c in CLASSES}.items()
+    spelling = Spelling(classes)
+    for text, want in {"օpen": "open", "аррӏе": "appie", "Ꭺpple": "Apple", "ⲟld": "old", "Հայերեն": "Հայերեն", "про кэш": "про кэш", "на сopе": "на соре", "ո": "n", "Հայերեն ո": "Հայերեն ո"}.items():
+        assert spelling.form(text) == want and spelling.form(want) == want, text
+    for letter, spelled in classes.items():
+        assert letter in spelled.values()
+
+
+def test_a_text_that_most_rows_share(spark):
+    df = post_rows(spark, [{"row_id": i, "text": "сор" if i % 50 else "cop"} for i in range(500)])
+    classes = look_alike_classes(df, "row_id", "text")
+    assert sorted({(r["links"]) for r in classes.collect()}) == [10, 490] and classes.count() == 500
+    assert look_alike_pairs(df, "row_id", "text").count() == 490 * 10
