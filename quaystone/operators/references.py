@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.operators.deliveries import covered_ids, fold_channel, newest_values
+from quaystone.operators.deliveries import covered_ids, fold_channel, newest_rows
 
 #: Stands for "no message id" in keys that name a channel only.
 NO_ID = -1
@@ -20,7 +20,8 @@ NO_ID = -1
 def parent_keys(posts: DataFrame, channels: DataFrame) -> DataFrame:
     """``(parent_table, channel, id)`` of all that may be referred to: channels, and each id of each post that is not removed."""
     # Of each post's newest row, how many ids it takes; 0 once it is removed.
-    newest = newest_values(posts, {"media_count": F.when(F.col("deleted_at").isNull(), F.greatest(F.coalesce("media_count", F.lit(1)), F.lit(1))).otherwise(0)})
+    taken = F.when(F.col("deleted_at").isNull(), F.greatest(F.coalesce("media_count", F.lit(1)), F.lit(1))).otherwise(0)
+    newest = newest_rows(posts.select("channel", "message_id", "fetched_at", "row_id", taken.alias("media_count")), ["media_count"])
     living = newest.where(F.col("media_count") > 0).select(F.lit("post").alias("parent_table"), F.lower("channel").alias("channel"), F.explode(covered_ids()).alias("id"))
     known = channels.where(F.col("channel").isNotNull()).select(F.lit("channel").alias("parent_table"), F.lower("channel").alias("channel"), F.lit(NO_ID).cast("bigint").alias("id"))
     return living.unionByName(known)
