@@ -169,34 +169,35 @@ class Spelling:
             return text
         # Accents that do not compose with a look-alike belong to its token.
         parts = (_MARKED if _MARKS.search(text) else _TOKENS).split(text)
-        script, changed, open_at = None, False, []
-
-        def decide(j: int, script: str | None, by_digits: bool) -> None:
-            nonlocal changed
-            spelled = self._in_context(self._resolved(parts[j])[2], script, by_digits)
-            if spelled != parts[j]:
-                parts[j], changed = spelled, True
-
-        beside_digits = lambda j: parts[j - 1][-1:].isdigit() or parts[j + 1][:1].isdigit()
+        resolve, script, changed, open_at = self._resolve, None, False, []
         for i in range(1, len(parts), 2):
-            spelled, now, _ = self._resolved(parts[i])
+            token = parts[i]
+            spelled, now, _ = resolve(token) if len(token) <= 64 else self._resolve_token(token)
             if spelled is None:
                 if script is None:
                     open_at.append(i)
-                else:
-                    decide(i, script, beside_digits(i))
-                continue
-            if now != "OTHER":
+                    continue
+                spelled = self._beside(parts, i, script)
+            elif now != "OTHER":
                 script = now
-                for j in open_at:  # words before the first that leaves no choice
-                    decide(j, script, beside_digits(j))
-                open_at = []
-            if spelled != parts[i]:
+                if open_at:  # words before the first that leaves no choice
+                    for j in open_at:
+                        first = self._beside(parts, j, script)
+                        if first != parts[j]:
+                            parts[j], changed = first, True
+                    open_at = []
+            if spelled != token:
                 parts[i], changed = spelled, True
         for j in open_at:
-            decide(j, None, False)
+            first = self._in_context(self._resolved(parts[j])[2], None, False)
+            if first != parts[j]:
+                parts[j], changed = first, True
         return "".join(parts) if changed else text
 
+    def _beside(self, parts: list[str], i: int, script: str) -> str:
+        """A token that could be of several scripts, with the digits that may stand beside it."""
+        return self._in_context(self._resolved(parts[i])[2], script, parts[i - 1][-1:].isdigit() or parts[i + 1][:1].isdigit())
+
 
 def _is_rare(letter: str) -> bool:
     """Letters that hardly any language of today uses: the listed ones, and Cyrillic beyond the letters of living alphabets."""
@@ -317,10 +318,14 @@ def _linked(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = with_form(df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where(F.col("__t").isNotNull()), "__t", "__f")
     rows = rows.where(has_visible(F.col("__f")))
     rows = cut_lineage(rows.select("__k", *_hashes(F.col("__f"), "f1", "f2"), *_hashes(F.col("__t"), "t1", "t2")))
+    # Most forms have one text: they are left behind before anything is counted.
+    several = rows.groupBy("f1", "f2").agg(F.min("t1").alias("a"), F.max("t1").alias("b"), F.min("t2").alias("c"), F.max("t2").alias("d"))
+    several = several.where((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).select("f1", "f2")
+    rows = cut_lineage(rows.join(several, ["f1", "f2"], "left_semi"))
     by_text = rows.groupBy("f1", "f2", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
-    by_form = by_text.groupBy("f1", "f2").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1)
+    by_form = by_text.groupBy("f1", "f2").agg(F.sum("n").alias("all"))
     links = by_text.join(by_form, ["f1", "f2"]).select("f1", "f2", "t1", "t2", (F.col("all") - F.col("n")).alias("links"))
-    return cut_lineage(rows.join(links, ["f1", "f2", "t1", "t2"]))
+    return rows.join(links, ["f1", "f2", "t1", "t2"])
 
 
 def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -342,7 +347,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     which grows with the square of a class. Different texts are paired first, one row
     each, and rows are joined to the pairs of their text.
     """
-    rows = _linked(df, key, text).drop("links")
+    rows = cut_lineage(_linked(df, key, text).drop("links"))
     spellings = rows.select("f1", "f2", "t1", "t2").distinct()
     other = spellings.select("f1", "f2", F.col("t1").alias("u1"), F.col("t2").alias("u2"))
     before = (F.col("t1") < F.col("u1")) | ((F.col("t1") == F.col("u1")) & (F.col("t2") < F.col("u2")))
