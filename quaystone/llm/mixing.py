@@ -24,6 +24,8 @@ from quaystone.session import cut_lineage
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Documents in one group of the drawing.
 GROUP = 4000
+#: Sources that a mix may have: what is sent to the driver and to all tasks is one row for each.
+MAX_SOURCES = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -125,13 +127,22 @@ def _draw(rows: DataFrame, per_source: int, group: int) -> DataFrame:
         rest, per_source = moved.where(~whole), 2 * groups
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, group: int = GROUP, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def _few(df: DataFrame) -> list:
+    rows = df.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"a mix has at most {MAX_SOURCES} sources")
+    return rows
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, faithful: bool = False, seed: int = 17, group: int = GROUP, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(copies, shares): ``(doc_id, source, tokens, copies)`` of each document used, and the shares reached.
 
-    ``targets`` has source, target_share, max_copies. Without ``total`` the mix is the
-    largest in which every source that has tokens reaches its share among those; with
-    it, sources that cannot fill their part give all they may and the others fill the
-    rest in proportion. Sources without target are not used; rows with null doc_id or
+    ``targets`` has source, target_share, max_copies. ``total`` is the size of the mix in
+    tokens, by default that of all documents of the sources wanted. Sources that cannot
+    fill their part give all they may, ``limited`` says which, and the others fill the
+    rest in proportion. With ``faithful`` the mix is instead the largest in which every
+    source that has tokens reaches its share among those; the scarcest source then sets
+    its size. Sources without target are not used; rows with null doc_id or
     source and documents without tokens neither; repeated rows of a document are drawn
     as one. ``shares`` has a row for each target, also if the source has no documents.
     """
@@ -140,9 +151,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     counted = with_tokens(rows.join(wanted.select("source"), "source", "left_semi"), "text", folder=folder, vocabulary=vocabulary)
     sizes = cut_lineage(counted.where(F.col("tokens") > 0).groupBy(F.col("doc_id").alias("doc"), F.col("source").alias("src")).agg(F.max("tokens").alias("tokens")))
     # One row a source: bounded by the number of targets, and small by their nature.
-    have = {r["src"]: (r["tokens"], r["docs"]) for r in sizes.groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
-    plan = {r["source"]: (r["share"], r["cap"]) for r in wanted.collect()}
-    goal = _goals({s: (share, cap * have[s][0]) for s, (share, cap) in plan.items() if s in have}, total)
+    have = {r["src"]: (r["tokens"], r["docs"]) for r in _few(sizes.groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))}
+    plan = {r["source"]: (r["share"], r["cap"]) for r in _few(wanted)}
+    size = None if faithful else sum(tokens for tokens, _ in have.values()) if total is None else total
+    goal = _goals({s: (share, cap * have[s][0]) for s, (share, cap) in plan.items() if s in have}, size)
+    full = [s for s in goal if goal[s] >= plan[s][1] * have[s][0] * (1 - 1e-12)]
     spark = documents.sparkSession
     ratio = spark.createDataFrame([(s, goal[s] / have[s][0], plan[s][1]) for s in goal], "src string, ratio double, cap bigint")
     given = sizes.join(F.broadcast(ratio), "src").withColumn("base", F.least(F.floor(F.col("ratio") + 1e-9), F.col("cap")))
@@ -157,7 +170,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     shares = targets.select("source", "target_share", "max_copies").join(used, "source", "left").na.fill(0, ["tokens", "uses", "most_copies"])
     whole = used.agg(F.sum("tokens").alias("whole")).first()["whole"] or 0
     reached = F.col("tokens") / F.lit(float(whole)) if whole else F.lit(0.0)
-    shares = shares.select("source", "target_share", "max_copies", "tokens", "uses", "most_copies", reached.alias("reached_share"))
+    shares = shares.select("source", "target_share", "max_copies", "tokens", "uses", "most_copies", reached.alias("reached_share"), F.col("source").isin(full).alias("limited"))
     return copies, shares
 
 
@@ -182,11 +195,11 @@ def _goals(sources: dict[str, tuple[float, int]], total: int | None) -> dict[str
     return goal
 
 
-def shares_reached(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Shares that the largest faithful mix reaches, by source."""
-    return mix(documents, targets)[1]
+def shares_reached(documents: DataFrame, targets: DataFrame, faithful: bool = False) -> DataFrame:
+    """Shares that a mix as large as the documents of the sources wanted reaches, by source."""
+    return mix(documents, targets, faithful=faithful)[1]
 
 
 def copies_drawn(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Documents of the largest faithful mix with their numbers of copies."""
+    """Documents of that mix with their numbers of copies."""
     return mix(documents, targets)[0]

@@ -49,16 +49,36 @@ def tables(spark):
 
 
 def test_mix(tables):
-    copies, shares = mixing.mix(*tables, group=200)
+    copies, shares = mixing.mix(*tables, faithful=True, group=200)
     got = {r["source"]: r for r in shares.collect()}
     assert set(got) == {"big", "small", "absent", "never"} and got["absent"]["tokens"] == 0
     assert got["big"]["reached_share"] == pytest.approx(2 / 3, abs=0.01) and got["small"]["reached_share"] == pytest.approx(1 / 3, abs=0.01)
     assert got["small"]["most_copies"] == 4 and got["big"]["most_copies"] <= 2
     assert copies.count() == copies.select("doc_id").distinct().count() and copies.where(F.col("source") == "unwanted").count() == 0
-    again, _ = mixing.mix(tables[0].repartition(7), tables[1], group=200)
+    again, _ = mixing.mix(tables[0].repartition(7), tables[1], faithful=True, group=200)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, copies.collect()))
 
 
+def test_scarce_sources_fall_short_and_the_others_fill(tables):
+    docs, targets = tables
+    copies, shares = mixing.mix(docs, targets, group=200)
+    got = {r["source"]: r for r in shares.collect()}
+    sizes = {r["source"]: r["t"] for r in mixing.with_tokens(docs.where("source is not null and doc_id is not null").dropDuplicates(["doc_id"]), "text", "n").groupBy("source").agg(F.sum("n").alias("t")).collect()}
+    # The mix is as large as the sources wanted; the small one gives its four copies of everything, which is less than its share.
+    assert got["small"]["tokens"] == 4 * sizes["small"] and got["small"]["limited"] and got["small"]["reached_share"] < 0.3
+    assert sum(r["tokens"] for r in got.values()) == pytest.approx(sizes["small"] + sizes["big"], rel=0.002) and not got["big"]["limited"]
+    assert sum(r["reached_share"] for r in got.values()) == pytest.approx(1)
+    by_source = {r["source"]: r for r in copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("m"), F.sum("copies").alias("u")).collect()}
+    for name, row in by_source.items():
+        assert (got[name]["tokens"], got[name]["most_copies"], got[name]["uses"]) == (row["t"], row["m"], row["u"]) and row["m"] <= got[name]["max_copies"]
+
+
+def test_a_mix_of_too_many_sources_is_refused(tables, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.mix(*tables)
+
+
 def test_mix_with_total_and_empty_tables(tables):
     docs, targets = tables
     _, shares = mixing.mix(docs, targets, total=20_000)
