@@ -45,6 +45,16 @@ def test_leaks_against_brute_force(spark):
     assert sum(r["documents"] for r in leaks_by_item(document, item).collect()) == len(want)
 
 
+def test_many_items_in_many_tables(spark, monkeypatch):
+    from quaystone.llm import leakage
+
+    monkeypatch.setattr(leakage, "HELD", 2000)
+    items = spark.range(3000).selectExpr("id as item_id", "'s' as suite", "'en' as lang", "concat_ws(' ', transform(sequence(1, 14), k -> concat('w', id * 20 + k))) as text")
+    docs = spark.range(200).selectExpr("id as doc_id", "concat_ws(' ', 'before', concat_ws(' ', transform(sequence(3, 14), k -> concat('W', id * 300 + k))), 'after') as text")
+    want = [(i, i * 15) for i in range(200)]
+    assert rows_of(leaks(docs, items, block=100)) == sorted(want, key=repr)
+
+
 def test_words_and_bounds():
     assert words_of("Café, L'été 4.5_x") == ["café", "l", "été", "4", "5", "x"]
     with pytest.raises(ValueError):
