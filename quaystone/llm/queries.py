@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.llm import conversations, languages, leakage, lookalikes, mixing, personal, sentences
+from quaystone.llm import conversations, languages, leakage, lookalikes, mixing, personal, sentences, sessions
 from quaystone.session import table
 
 QUERIES = {
@@ -13,12 +13,15 @@ QUERIES = {
     "p5_redacted": lambda s, d: personal.redacted(table(s, d, "post").select("row_id", "text", "author_name"), secret="example"),
     "p5_by_type": lambda s, d: personal.details_by_type(table(s, d, "post")),
     "p6_found": lambda s, d: conversations.conversations(table(s, d, "post")),
+    "p6_sessions": lambda s, d: sessions.sessions(table(s, d, "post"), table(s, d, "channel")),
+    "p6_sessions_compared": lambda s, d: sessions.compared(table(s, d, "post"), table(s, d, "channel")),
     "p6_sizes": lambda s, d: conversations.conversation_sizes(table(s, d, "post")),
     "p7_found": lambda s, d: languages.mislabelled(table(s, d, "post")),
     "p7_segments": lambda s, d: languages.segment_languages(table(s, d, "post")),
     "p8_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_item")),
     "p8_by_item": lambda s, d: leakage.leaks_by_item(table(s, d, "documents"), table(s, d, "eval_item")),
     "p9_shares": lambda s, d: mixing.shares_reached(table(s, d, "documents"), table(s, d, "mix_target")),
+    "p9_faithful_shares": lambda s, d: mixing.shares_reached(table(s, d, "documents"), table(s, d, "mix_target"), faithful=True),
     "p9_copies": lambda s, d: mixing.copies_drawn(table(s, d, "documents"), table(s, d, "mix_target")),
     "p10_found": lambda s, d: sentences.sentences(table(s, d, "documents")).drop("ordinal"),
     "p10_texts": lambda s, d: sentences.sentence_texts(table(s, d, "documents")),
@@ -63,6 +66,8 @@ found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM doc_run d JOIN it
 
 SQL = {
     "p6_found": _CONVERSATIONS + "SELECT * FROM found",
+    "p6_sessions": lambda s, d: sessions.sessions(table(s, d, "post"), table(s, d, "channel")),
+    "p6_sessions_compared": lambda s, d: sessions.compared(table(s, d, "post"), table(s, d, "channel")),
     "p6_sizes": _CONVERSATIONS
     + "SELECT channel, count(*) AS conversations, CAST(sum(n) AS BIGINT) AS messages, max(n) AS longest FROM (SELECT channel, root_message_id, count(*) AS n FROM found GROUP BY ALL) GROUP BY channel",
     "p8_found": _LEAKS + "SELECT * FROM found",
