@@ -28,8 +28,14 @@ from quaystone.llm.sampling import hashed_sample
 INTRODUCING = frozenset(
     "mr mrs ms dr dra prof profa rev inkl exkl zzgl abzgl evtl ggf gen sen rep st hon capt lt col sgt fr no nos fig figs p pp vol ch sec art eq ref vs cf approx ca hr hrn frau nr abb s bd kap vgl bzw bspw z.b d.h u.a mme mlle m mgr me pr tél sr sra srta dña d núm pág págs cap г-н г-жа гр им ул просп пер пл д кв стр рис табл см ср гл п пп т тт ст тов проф акад доц др напр etc ص د م أ डॉ श्री प्रो".split()
 )
-# Months that follow a day written with a stop.
-MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
+# Months that follow a day written with a stop (German, Danish, Norwegian, Czech, Finnish).
+MONTHS = frozenset(
+    """januar februar märz april mai juni juli august september oktober november dezember jänner marts maj december mars desember
+    ledna února března dubna května června července srpna září října listopadu prosince
+    tammikuuta helmikuuta maaliskuuta huhtikuuta toukokuuta kesäkuuta heinäkuuta elokuuta syyskuuta lokakuuta marraskuuta joulukuuta""".split()
+)
+#: Characters of a word: of a longer run without spaces, the last so many are the word before a stop.
+WORD = 256
 FINAL = ".!?…。！？｡．।॥؟۔"
 HARD = frozenset("。！？｡।॥؟۔")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "‹": "›", '"': '"'}
@@ -44,21 +50,24 @@ _AFTER = re.compile(rf"[{re.escape(CLOSERS)}]*(?:[ \u00a0\u202f]»)?")
 #: All up to the start of the last word.
 _UP_TO_WORD = re.compile(r".*[\s“„«「『(（\[\"'¿¡—]", re.DOTALL)
 _NEXT = re.compile(r"(\s*)([“„«「『(（\[\"'¿¡—–\s-]*)(\S?)([^\W_]*)")
-_NUMBERING = re.compile(r"^\s*(?:[•*\-·‣◦▪●]\s+)?(?:\d+(?:\.\d+)*|[A-Za-zА-Яа-я])$")
+#: What a block may start with, up to the stop of its numbering.
+_NUMBERING = re.compile(r"\s*(?:[•*\-·‣◦▪●]\s+)?(?:\d+(?:\.\d+)*|[A-Za-zА-Яа-я])")
 
 
 #: Where a sentence ends inside a word because no space follows it.
 _JOINED = re.compile(r".*(?:[^\W\d_]{3,}|[\d%)»”])[.!?]+(?=[A-ZÀ-ÖØ-ÞА-ЯЁЄІЇ])")
 
 
-def _bare(text: str) -> str:
-    m = _UP_TO_WORD.match(text)
-    return text[m.end() :] if m else text
-
-
 def _last_word(text: str, at: int, stop: int) -> str:
-    """The word that stands before ``stop``, in at most 24 characters."""
-    word = _bare(text[max(at, stop - 24) : stop].removesuffix("\n"))
+    """The word that stands before ``stop`` in a block that starts at ``at``."""
+    near = max(at, stop - 24)
+    word = text[near:stop].removesuffix("\n")
+    m = _UP_TO_WORD.match(word)
+    if m is None and near > at:  # it is longer than usual
+        word = text[max(at, stop - WORD) : stop].removesuffix("\n")
+        m = _UP_TO_WORD.match(word)
+    if m:
+        word = word[m.end() :]
     m = _JOINED.match(word) if "." in word or "!" in word or "?" in word else None
     return word[m.end() :] if m else word
 
@@ -113,6 +122,11 @@ PRIOR = {
 }
 
 
+def _term(run: str) -> str:
+    """What a run of punctuation counts as: its full stop, its mark of another script, its ! or ?, else dots."""
+    return "." if run == "." else next((c for c in run if c in HARD), None) or next((c for c in run if c in "!?"), None) or "…"
+
+
 class Boundaries:
     """A fitted model: weights, and how words with a stop stand at the end of blocks."""
 
@@ -216,13 +230,14 @@ class Boundaries:
                 yield i, end, m[0], quoted
 
     def _in_block(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int, int, tuple]]:
+        numbered = _NUMBERING.match(text, at, stop)
         for i, end, run, quoted in self._stops(text, at, stop):
-            term = "." if run == "." else next((c for c in run if c in HARD), None) or next((c for c in run if c in "!?"), None) or "…"
+            term = _term(run)
             word = _last_word(text, at, i) if term in ".…" else ""
             n = _NEXT.match(text, end, stop)
             before = next((c for c in text[max(at, i - 2) : i][::-1] if c.isalnum()), "")
-            numbering = term == "." and i - at < 14 and bool(_NUMBERING.match(text[at:i]))
-            yield at, stop, end, (term, word[-24:], numbering, quoted, _kind(before), not n[1], _kind(n[3]), (n[3] + n[4])[:12] if word.isdigit() else "." if len(word) == 1 and word.isascii() and not n[4] and text[n.end() : n.end() + 1] == "." else "")
+            numbering = term == "." and numbered is not None and numbered.end() == i
+            yield at, stop, end, (term, word, numbering, quoted, _kind(before), not n[1], _kind(n[3]), n[3] + n[4] if word.isdigit() else "." if len(word) == 1 and word.isascii() and not n[4] and text[n.end() : n.end() + 1] == "." else "")
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each sentence, in code points, without outer white space."""
@@ -246,15 +261,16 @@ class Boundaries:
             for i, _, run, _ in self._stops(text, at, stop):
                 if run == ".":
                     seen[_last_word(text, at, i).lower()] += 1
-            tail = text[max(at, stop - 64) : stop].rstrip()
-            if tail[-1:] in _ENDINGS:
-                tail = tail.rstrip(_ENDINGS)
-                last = _last_word(tail, 0, len(tail)).lower()
+            end = at + len(text[at:stop].rstrip())
+            if end > at and text[end - 1] in _ENDINGS:
+                while end > at and text[end - 1] in _ENDINGS:
+                    end -= 1
+                last = _last_word(text, at, end).lower()
                 seen[last] += 1
                 ends[last] += 1
 
     @classmethod
-    def fit(cls, texts: list[str], strength: float = 0.5, rounds: int = 60, rates: dict[str, str] | None = None) -> "Boundaries":
+    def fit(cls, texts: list[str], strength: float = 0.5, rounds: int = 300, rates: dict[str, str] | None = None) -> "Boundaries":
         """Weights for the reliable boundaries of ``texts``, held to the prior by ``strength``.
 
         ``rates``: how words end blocks; without them they are counted in ``texts``.
@@ -268,21 +284,25 @@ class Boundaries:
             # A block's last stop with the first word of the next block is a boundary between two sentences.
             blocks = [b.strip() for b in _BLOCK.split(text)]
             for a, b in zip(blocks, blocks[1:]):
-                m = re.search(r"(\S{0,24}?)([.!?])$", a)
                 first = re.match(r"[“„«「『(（\[\"'¿¡]*(\S)", b)
-                if m and first and first[1] not in "•*-":
-                    word = _bare(m[1])
-                    last = next((c for c in reversed(m[1]) if c.isalnum()), "")
-                    examples.append(((m[2], word if m[2] == "." else "", False, False, _kind(last), False, _kind(first[1]), ""), True))
+                if a[-1:] and a[-1:] in FINAL and first and first[1] not in "•*-":
+                    bare = a.rstrip(FINAL)
+                    run = a[len(bare) :]
+                    term, word = _term(run), _last_word(bare, 0, len(bare))
+                    last = _kind(next((c for c in reversed(word) if c.isalnum()), ""))
+                    # Where words are not spaced, sentences are not either.
+                    for direct in (False, True) if last == "caseless" and _kind(first[1]) == "caseless" else (False,):
+                        examples.append(((term, word if term in ".…" else "", False, False, last, direct, _kind(first[1]), ""), True))
         if rates is None:
             model.rates = judged(((word, n, ends[word]) for word, n in seen.items()), sum(seen.values()), sum(ends.values()))
         grouped: Counter = Counter()
         for context, label in examples:
             if label is None:
                 term, word, numbering, quoted, before, direct, after, _ = context
-                if after == "lower" or after == "mark" or (direct and after == "digit") or (term == "." and model.rates.get(word.lower()) == "never"):
+                inside = quoted and before == "caseless"  # a quotation with which the sentence goes on
+                if after == "lower" or (after == "mark" and term not in HARD) or (direct and after == "digit" and term == ".") or inside or numbering or (term == "." and model.rates.get(word.lower()) == "never"):
                     label = False
-                elif term in "!?" and after == "upper" and not quoted:
+                elif not quoted and ((term in "!?" and after in ("upper", "caseless")) or (term in HARD and after != "mark")):
                     label = True
                 else:
                     continue
