@@ -128,6 +128,14 @@ def _table(folder: str, name: str) -> WordSearch:
 
 
 def _searcher(folder: str, names: list[str], schema: pa.Schema) -> Callable:
+    def rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], schema[0].type), pa.array([p[1] for p in pairs], schema[1].type)], schema=schema)
+
+    def search_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _table(folder, names[0]).find
+        for batch in batches:
+            yield rows([(doc, item) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item in find(text)])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list = []
         split: list[list[str]] = []
@@ -139,8 +147,7 @@ def _searcher(folder: str, names: list[str], schema: pa.Schema) -> Callable:
                 table = _table(folder, name)
                 for hit, words in zip(hits, split):
                     hit |= table.find_words(words)
-            pairs = [(doc, item) for doc, hit in zip(docs, hits) for item in sorted(hit)]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], schema[0].type), pa.array([p[1] for p in pairs], schema[1].type)], schema=schema)
+            return rows([(doc, item) for doc, hit in zip(docs, hits) for item in sorted(hit)])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -153,7 +160,7 @@ def _searcher(folder: str, names: list[str], schema: pa.Schema) -> Callable:
         if docs:
             yield found()
 
-    return search
+    return search_one if len(names) == 1 else search
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 12, block: int = BLOCK) -> DataFrame:
