@@ -18,6 +18,7 @@ from quaystone.operators.integrity import post_counts
 from quaystone.operators.records import hydrated, summaries
 from quaystone.paging import BadCursor, Cursor, fingerprint, next_cursor
 from quaystone.session import cut_lineage, shared_folder
+from quaystone.sources.archive import Archive
 
 MAX_PAGE, DEFAULT_PAGE = 100, 20
 KEY = ["channel", "message_id"]
@@ -121,6 +122,14 @@ def query_fingerprint(query: str, mode: str, where: search_ops.SearchFilter) ->
     return fingerprint("search", repr((parsed.phrases, sorted(parsed.tokens), parsed.literal)), mode, *[None if x is None else str(x) for x in (where.channel, where.kind, where.since, where.until, where.before)])
 
 
+def open_reader(archive: Archive) -> ArchiveReader:
+    """A reader of the archive's opened generation with its index; an archive without resolutions has resolved none."""
+    spark = archive.session
+    known = archive.tables()
+    resolutions = archive.read("url_resolution") if "url_resolution" in known else spark.createDataFrame([], "url_canonical string, resolved_canonical string, http_status string, hops int, resolved_at timestamp")
+    return ArchiveReader(archive.read("post"), archive.read("link"), archive.read("reaction"), resolutions, archive.generation, archive.index())
+
+
 #: The tools by name: what each does, its arguments with their types, and those that must be given.
 TOOLS = {
     "search_posts": ("Ranked search of the archive.", {"query": str, "channel": str, "kind": str, "since": str, "until": str, "mode": str, "limit": int, "cursor": str}, ("query",)),

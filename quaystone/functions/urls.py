@@ -33,7 +33,7 @@ _PATH, _QUERY = "/%:@!$&'()*+,;=-._~", "/?%:@!$&'()*+,;=-._~"
 def _entity(match: re.Match) -> str:
     name = match[1]
     if name[0] != "#":
-        return ENTITIES.get(name, match[0])
+        return ENTITIES.get(name.lower(), match[0])
     code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else match[0]
 

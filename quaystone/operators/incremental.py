@@ -87,11 +87,36 @@ def pending_counts(pending: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Manifest:
-    """A committed state. ``mark`` is the largest sequence value handled, as JSON of its parts; ``outputs`` are valid folders."""
+    """A committed state. ``mark`` is the largest sequence value handled, as JSON of its parts; ``outputs`` are valid folders; ``epochs`` are the leases under which it was written, by channel."""
 
     version: int = 0
     mark: str | None = None
     outputs: list[str] = field(default_factory=list)
+    epochs: dict[str, int] = field(default_factory=dict)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> None:
+    """A new file that appears whole, or FileExistsError: of several writers one succeeds.
+
+    By a rename that never overwrites (atomic on HDFS; object stores without such a rename
+    need a file system layer that offers it).
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = hadoop.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    never_overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        context.rename(draft, target, never_overwrite)
+    except Exception as error:
+        fs.delete(draft, False)
+        if fs.exists(target):
+            raise FileExistsError(f"{path} is there already") from error
+        raise
 
 
 class ManifestLog:
@@ -103,12 +128,20 @@ class ManifestLog:
         self._fs = self._path(self._folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self._folder))
 
-    def latest(self) -> Manifest:
+    def versions(self) -> list[int]:
+        """All committed versions there still are, in order."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self._folder))]
-        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not numbers:
-            return Manifest()
-        stream = self._fs.open(self._path(f"{self._folder}/{max(numbers):020d}.json"))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def latest(self) -> Manifest:
+        numbers = self.versions()
+        return self.read(numbers[-1]) if numbers else Manifest()
+
+    def drop(self, version: int) -> None:
+        self._fs.delete(self._path(f"{self._folder}/{version:020d}.json"), False)
+
+    def read(self, version: int) -> Manifest:
+        stream = self._fs.open(self._path(f"{self._folder}/{version:020d}.json"))
         try:
             text = self._spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -116,22 +149,8 @@ class ManifestLog:
         return Manifest(**json.loads(text))
 
     def commit(self, manifest: Manifest) -> None:
-        """Make ``manifest`` the latest; fails if another run took its number. The file appears whole, by a rename that never overwrites (atomic on HDFS; object stores without such a rename need a file system layer that offers it)."""
-        target = self._path(f"{self._folder}/{manifest.version:020d}.json")
-        draft = self._path(f"{self._folder}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(manifest.__dict__).encode()))
-        stream.close()
-        hadoop = self._spark._jvm.org.apache.hadoop.fs
-        context = hadoop.FileContext.getFileContext(self._fs.getUri(), self._spark._jsc.hadoopConfiguration())
-        never_overwrite = self._spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-        try:
-            context.rename(draft, target, never_overwrite)
-        except Exception as error:
-            self._fs.delete(draft, False)
-            if self._fs.exists(target):
-                raise FileExistsError(f"manifest {manifest.version} was committed by another run") from error
-            raise
+        """Make ``manifest`` the latest; FileExistsError if another run took its number."""
+        create_once(self._spark, f"{self._folder}/{manifest.version:020d}.json", json.dumps(manifest.__dict__))
 
 
 class IncrementalRun:

@@ -11,9 +11,9 @@ KEY = ["channel", "message_id"]
 
 
 def single_reactions(reactions: DataFrame) -> DataFrame:
-    """One row for each reaction_id: of several, counted at different times, the one with the largest count."""
-    kept = F.struct("count", *KEY, "emoji", "is_paid")
-    return reactions.groupBy("reaction_id").agg(F.max(kept).alias("r")).select("reaction_id", "r.*")
+    """One row for each reaction_id of a post: of several, counted at different times, the one with the largest count."""
+    kept = F.struct("count", "emoji", "is_paid")
+    return reactions.groupBy("reaction_id", *KEY).agg(F.max(kept).alias("r")).select("reaction_id", *KEY, "r.*")
 
 
 def hydrated(posts: DataFrame, links: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def hydrated(posts: DataFrame, links: DataFrame, reactions: DataFrame) -> DataFr
     """
     link = F.struct("ord", "link_id", "url_raw", "url_canonical", "preview")
     reaction = F.struct("reaction_id", "emoji", "count", "is_paid")
-    by_post = links.dropDuplicates(["link_id"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(link)).alias("links"))
+    by_post = links.dropDuplicates(["link_id", *KEY]).groupBy(*KEY).agg(F.array_sort(F.collect_list(link)).alias("links"))
     counts = single_reactions(reactions).groupBy(*KEY).agg(F.array_sort(F.collect_list(reaction)).alias("reactions"))
     out = posts.join(by_post, KEY, "left").join(counts, KEY, "left")
     empty_links = F.array().cast(out.schema["links"].dataType)

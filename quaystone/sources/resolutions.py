@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,23 +52,47 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("url_canonical").agg(F.max_by(kept, F.struct("resolved_at", "__new")).alias("r")).select("url_canonical", "r.*").select(*stored.columns)
 
 
-def resolve(urls: DataFrame, follow: Callable[[str], tuple[str | None, str, int]], hosts_at_once: int = 8) -> DataFrame:
+#: Redirects that are followed before an address is given up.
+MAX_HOPS = 10
+# Answers that send a request elsewhere.
+REDIRECTS = frozenset((301, 302, 303, 307, 308))
+
+
+def follow_redirects(url: str, ask: Callable[[str, str], tuple[int, str | None]]) -> tuple[str, str | None, int]:
+    """(last address, status, hops) from ``ask(method, url)``, which gives status and location.
+
+    HEAD is asked first and GET only where HEAD is refused (405). A redirect without a
+    location ends the way; more than MAX_HOPS give the status TooManyRedirects; an error
+    becomes the status by its name.
+    """
+    at, hops = url, 0
+    while hops < MAX_HOPS:
+        try:
+            status, location = ask("HEAD", at)
+            if status == 405:
+                status, location = ask("GET", at)
+        except Exception as error:  # noqa: BLE001 - any failure is a recorded one
+            return at, type(error).__name__, hops
+        if status not in REDIRECTS or not location:
+            return at, str(status), hops
+        at, hops = urljoin(at, location), hops + 1
+    return at, "TooManyRedirects", hops
+
+
+def resolve(urls: DataFrame, ask: Callable[[str, str], tuple[int, str | None]], hosts_at_once: int = 8, done: DataFrame | None = None) -> DataFrame:
     """``(url_canonical, final_url, http_status, hops)``: each address once, one request at a time a host, ``hosts_at_once`` tasks.
 
-    ``follow(url)`` does the network part and gives (final address, status, hops); it
-    runs on the executors and its errors become the status.
+    ``ask`` does the network part on the executors. Addresses that ``done`` (an earlier
+    log's resolutions) has are left out, so a run that was broken off goes on.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for url in batch["url_canonical"]:
-                try:
-                    rows.append((url, *follow(url)))
-                except Exception as error:  # noqa: BLE001 - any failure is recorded, none ends the run
-                    rows.append((url, None, type(error).__name__, 0))
-            yield pd.DataFrame(rows, columns=["url_canonical", "final_url", "http_status", "hops"])
+            yield pd.DataFrame([(url, *follow_redirects(url, ask)) for url in batch["url_canonical"]], columns=["url_canonical", "final_url", "http_status", "hops"])
 
     host = F.regexp_extract("url_canonical", "^https?://([^/?#]+)", 1)
-    each = urls.select("url_canonical").distinct().withColumn("host", host).repartition(hosts_at_once, "host").select("url_canonical")
+    todo = urls.select("url_canonical").where(F.col("url_canonical").isNotNull()).distinct()
+    if done is not None:
+        todo = todo.join(done.select("url_canonical"), "url_canonical", "left_anti")
+    each = todo.withColumn("host", host).repartition(hosts_at_once, "host").select("url_canonical")
     return each.mapInPandas(run, "url_canonical string, final_url string, http_status string, hops int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
@@ -40,20 +41,20 @@ LISTING = """<div class="tgme_widget_message_wrap"><div class="tgme_widget_messa
 <div class="tgme_widget_message_forwarded_from"><a class="tgme_widget_message_forwarded_from_name" href="https://t.me/Other/55">Other</a></div>
 <div class="tgme_widget_message_text js-message_text">See <a href="https://x.example/a?utm_source=1">https://x.example/a?utm_source=1</a> by <a href="https://t.me/ann">@Ann</a><br/><a href="?q=%23tag">#tag</a> <a href="?q=%23tag">#tag</a> &amp; <a href="https://x.example/b">this</a></div>
 <a class="tgme_widget_message_link_preview" href="https://x.example/b"><div class="link_preview_site_name">Site</div><div class="link_preview_title">Title</div></a>
-<div class="tgme_widget_message_reactions"><span class="tgme_reaction"><i class="emoji"><b>👍</b></i>13</span><span class="tgme_reaction tgme_reaction_paid"><i></i>8</span></div>
-<span class="tgme_widget_message_views">1.4K</span><span class="tgme_widget_message_meta">edited <a class="tgme_widget_message_date"><time datetime="2023-04-03T09:34:07+00:00">x</time></a></span></div></div>
-<div class="tgme_widget_message" data-post="chan/11"><div class="tgme_widget_message_poll"><div class="tgme_widget_message_poll_question">Why?</div><div class="tgme_widget_message_poll_option_text">yes</div><div class="tgme_widget_message_poll_option_text">no</div></div><span class="tgme_widget_message_voters">42 votes</span><time datetime="2023-04-03T09:35:07+00:00"></time></div>
-<div class="tgme_widget_message" data-post="chan/12"><div class="tgme_widget_message_grouped"><a class="tgme_widget_message_photo_wrap"></a><a class="tgme_widget_message_photo_wrap"></a></div><time datetime="2023-04-03T09:36:07+00:00"></time></div>
-<div class="tgme_widget_message" data-post="chan/x"><time datetime="2023-04-03T09:36:07+00:00"></time></div>
+<div class="tgme_widget_message_reactions"><span class="tgme_reaction"><i class="emoji"><b>🎈</b></i>71</span><span class="tgme_reaction tgme_reaction_paid"><i></i>3</span></div>
+<span class="tgme_widget_message_views">1.4K</span><span class="tgme_widget_message_meta">edited <a class="tgme_widget_message_date"><time datetime="2022-11-08T05:10:40+00:00">x</time></a></span></div></div>
+<div class="tgme_widget_message" data-post="chan/11"><div class="tgme_widget_message_poll"><div class="tgme_widget_message_poll_question">Why?</div><div class="tgme_widget_message_poll_option_text">yes</div><div class="tgme_widget_message_poll_option_text">no</div></div><span class="tgme_widget_message_voters">650 votes</span><time datetime="2022-11-08T05:11:40+00:00"></time></div>
+<div class="tgme_widget_message" data-post="chan/12"><div class="tgme_widget_message_grouped"><a class="tgme_widget_message_photo_wrap"></a><a class="tgme_widget_message_photo_wrap"></a></div><time datetime="2022-11-08T05:12:40+00:00"></time></div>
+<div class="tgme_widget_message" data-post="chan/x"><time datetime="2022-11-08T05:12:40+00:00"></time></div>
 <div class="tgme_widget_message" data-post="chan/13"><time datetime="never"></time></div>
-<div class="tgme_widget_message" data-post="foreign/5"><time datetime="2023-04-03T09:36:07+00:00"></time></div>"""
+<div class="tgme_widget_message" data-post="foreign/5"><time datetime="2022-11-08T05:12:40+00:00"></time></div>"""
 
 EXPORT = """<div class="message service" id="message1"><div class="body details">x</div></div>
-<div class="message default" id="message10"><div class="body"><div class="pull_right date details" title="3 April 2023, 12:34:07">12:34</div><div class="from_name">Ann</div>
+<div class="message default" id="message10"><div class="body"><div class="pull_right date details" title="8 November 2022, 08:10:40">08:10</div><div class="from_name">Ann</div>
 <div class="text">Hi <a href="" onclick="return ShowHashtag(&quot;tag&quot;)">#tag</a> <a onclick="return ShowHashtag('$TKN')" href="#">$TKN</a> <a href="mailto:a@b.example">a@b.example</a></div></div></div>
-<div class="message default joined" id="message11"><div class="body"><div class="pull_right date details" title="3 April 2023, 12:40:00">edited 12:40</div><div class="reply_to details">In reply to <a href="#go_to_message10" onclick="return GoToMessage(10)">this</a></div><div class="text">two</div></div></div>
+<div class="message default joined" id="message11"><div class="body"><div class="pull_right date details" title="8 November 2022, 08:20:00">edited 08:20</div><div class="reply_to details">In reply to <a href="#go_to_message10" onclick="return GoToMessage(10)">this</a></div><div class="text">two</div></div></div>
 <div class="message default" id="message12"><div class="body"><div class="pull_right date details" title="garbage">x</div><div class="from_name">Bob</div></div></div>"""
-EXPORT2 = '<div class="message default joined" id="message13"><div class="body"><div class="pull_right date details" title="3 April 2023, 13:00:00">13:00</div><div class="text">three</div></div></div>'
+EXPORT2 = '<div class="message default joined" id="message13"><div class="body"><div class="pull_right date details" title="8 November 2022, 09:00:00">09:00</div><div class="text">three</div></div></div>'
 
 
 def test_listing(spark):
@@ -64,10 +65,12 @@ def test_listing(spark):
     assert (p["channel"], p["text"], p["author_name"], p["reply_to"], p["is_edited"], p["kind"]) == ("chan", "See https://x.example/a?utm_source=1 by @Ann\n#tag #tag & this", "Ann", 7, True, "text")
     assert p["hashtags"] == ["tag", "tag"] and [(x["url_raw"], x["preview"] and x["preview"]["title"]) for x in p["links"]] == [("https://x.example/a?utm_source=1", None), ("https://x.example/b", "Title")]
     assert (p["forward"]["channel"], p["forward"]["message_id"], p["views"]["value"], p["views"]["is_approximate"], p["raw_channel_id"]) == ("other", 55, 1400, True, 1234)
-    assert [(r["emoji"], r["count"], r["is_paid"]) for r in p["reactions"]] == [("👍", 13, False), (None, 8, True)]
-    assert got[11]["kind"] == "poll" and got[11]["poll"]["options"] == ["yes", "no"] and got[11]["poll"]["total_votes"] == 42
+    assert [(r["emoji"], r["count"], r["is_paid"]) for r in p["reactions"]] == [("🎈", 71, False), (None, 3, True)]
+    assert got[11]["kind"] == "poll" and got[11]["poll"]["options"] == ["yes", "no"] and got[11]["poll"]["total_votes"] == 650
     assert got[12]["kind"] == "album" and got[12]["media_count"] == 2
-    assert rows_of(page_counts(posts)) == [("chan", 3, 2, 1)]
+    assert rows_of(page_counts(posts)) == [("chan", 3, 2, 1, 10, 12)]
+    by_pattern = {r["message_id"]: r for r in markup.listing_posts_by_pattern(pages).collect()}
+    assert (by_pattern[10]["channel"], by_pattern[10]["text"], by_pattern[10]["reply_to"], by_pattern[10]["hashtags"]) == ("chan", p["text"], 7, ["tag", "tag"]) and by_pattern[10]["date"] == p["date"]
     assert {r["url_canonical"] for r in markup.with_canonical_links(posts).collect()} == {"https://x.example/a", "https://x.example/b"}
     assert markup.listing_posts(pages.limit(0)).count() == 0
 
@@ -75,7 +78,7 @@ def test_listing(spark):
 def test_export(spark):
     pages = spark.createDataFrame([("e", 1, EXPORT), ("e", 2, EXPORT2)], "source string, page int, html string")
     rows = {r["message_id"]: r for r in markup.export_posts(pages, "Europe/Moscow").where("readable").collect()}
-    assert sorted(rows) == [10, 11, 13] and str(rows[10]["date"]) == "2023-04-03 09:34:07"
+    assert sorted(rows) == [10, 11, 13] and str(rows[10]["date"]) == "2022-11-08 05:10:40"
     assert (rows[10]["hashtags"], rows[11]["reply_to"], rows[11]["author_name"], rows[11]["is_edited"]) == (["tag"], 10, "Ann", True)
     assert rows[13]["author_name"] == "Bob"  # carried over the page and the unreadable block
     names = spark.createDataFrame([("d/messages.html",), ("d/messages2.html",), ("d/style.css",)], "name string")
@@ -86,8 +89,8 @@ def test_export(spark):
 
 def test_page_kind(spark):
     page = lambda text: f'<div class="tgme_page_extra">{text}</div>'
-    df = spark.createDataFrame([(page("1 204 subscribers"), 200), (page("42 members, 3 online"), 200), ("<p>contact</p>", 200)], "html string, status int")
-    assert [r[0] for r in df.select(markup.page_kind(F.col("html"), F.col("status"))).collect()] == ["channel", "group", "unresolvable"]
+    df = spark.createDataFrame([(page("8 315 subscribers"), 200), (page("77 members, 5 online"), 200), ("<p>contact</p>", 200)], "html string, status int")
+    assert [r[0] for r in df.select(markup.page_kind(F.col("html"), F.col("status"))).collect()] == ["previewDisabled", "group", "unresolvable"]
     with pytest.raises(Exception, match="answered 404"):
         spark.createDataFrame([("", 404)], "html string, status int").select(markup.page_kind(F.col("html"), F.col("status"))).collect()
 
@@ -101,8 +104,17 @@ def test_resolver_log(spark, tmp_path):
     assert sorted(r["reason"] for r in skipped.collect())[:3] == ["bad status", "bad time", "no address"] and skipped.count() == 5
     newer = rows.withColumn("resolved_at", F.expr("resolved_at + interval 1 day")).withColumn("hops", F.lit(9)).limit(1)
     assert {r["hops"] for r in resolutions.upsert(rows, newer).where("url_canonical = 'https://s.example/1'").collect()} == {9}
-    asked = resolutions.resolve(rows.select("url_canonical"), lambda url: (url + "/end", "200", 1) if url.endswith("1") else 1 / 0)
+    asked = resolutions.resolve(rows.select("url_canonical"), lambda method, url: (200, None) if url.endswith("1") else 1 / 0)
     assert {r["http_status"] for r in asked.collect()} == {"200", "ZeroDivisionError"}
+    assert resolutions.resolve(rows.select("url_canonical"), lambda *_: (200, None), done=rows.where("hops = 2")).count() == 0
+
+
+def test_redirects():
+    answers = {("HEAD", "https://a.example/1"): (301, "/2"), ("HEAD", "https://a.example/2"): (405, None), ("GET", "https://a.example/2"): (302, "https://b.example/x"), ("HEAD", "https://b.example/x"): (404, None), ("HEAD", "https://a.example/loop"): (307, "/loop"), ("HEAD", "https://a.example/odd"): (301, None)}
+    ask = lambda method, url: answers[method, url]
+    assert resolutions.follow_redirects("https://a.example/1", ask) == ("https://b.example/x", "404", 2)
+    assert resolutions.follow_redirects("https://a.example/loop", ask) == ("https://a.example/loop", "TooManyRedirects", resolutions.MAX_HOPS)
+    assert resolutions.follow_redirects("https://a.example/odd", ask)[1:] == ("301", 0) and resolutions.follow_redirects("https://gone.example", ask)[1] == "KeyError"
 
 
 def test_links(spark):
@@ -139,7 +151,7 @@ def test_projections(spark):
 def test_archive(spark, tmp_path):
     df = lambda *ids: spark.createDataFrame([("a", i, f"t{i}") for i in ids], "channel string, message_id bigint, text string")
     one = store.Archive(spark, str(tmp_path))
-    assert one.generation == 0 and one.health() == {}
+    assert one.generation == 0 and one.health() == {"writable": True}
     assert one.commit({"post": df(1, 2)}) == 1
     reader = store.Archive(spark, str(tmp_path))
     one.commit({"post": store.keep_existing(one.read("post"), df(2, 3).withColumn("text", F.lit("new")))})
@@ -157,19 +169,94 @@ def test_archive(spark, tmp_path):
 
     with pytest.raises(LeaseLost):
         one.commit({"post": df(9)}, before=lost)
-    assert store.Archive(spark, str(tmp_path)).generation == 2 and one.health() == {"post": True}
+    assert store.Archive(spark, str(tmp_path)).generation == 2 and one.health() == {"writable": True, "post": True}
     with pytest.raises(LookupError):
         one.read("nothing")
 
 
+POSTS = "channel string, message_id bigint, date timestamp, text string, is_edited boolean"
+
+
 def test_identity(spark):
-    channels = spark.createDataFrame([("a", 1, "webPreview"), ("g", 2, "group"), ("z", None, None)], "channel string, raw_channel_id bigint, reachability string")
-    for ok in (("a", 1), ("a", None), ("new", 9), ("z", 5)):
-        store.claim_identity(channels, *ok)
-    for bad in (("a", 7), ("new", 1), ("g", 2)):
-        with pytest.raises(ValueError):
-            store.claim_identity(channels, *bad)
-    store.claim_identity(channels, "g", 2, group=True)
+    channels = spark.createDataFrame([("c", 1, "webPreview"), ("g", 2, "group"), ("z", 0, "group"), ("old", 0, "previewDisabled")], "channel string, raw_channel_id bigint, reachability string")
+    posts = spark.createDataFrame([("z", 1, at(1), "one two", False)], POSTS)
+    same, other, none = spark.createDataFrame([("z", 1, at(1), "One, two", False)], POSTS), spark.createDataFrame([("z", 1, at(2), "one two", False)], POSTS), spark.createDataFrame([("z", 9, at(1), "x", False)], POSTS)
+    claim = lambda name, id_, new=same, replace=False: {r["channel"]: (r["raw_channel_id"], r["reachability"]) for r in store.claim_identity(channels, posts, name, id_, new, replace).collect()}
+    assert claim("new", 9)["new"] == (9, "group") and claim("g", 2)["g"] == (2, "group") and claim("g", None)["g"] == (2, "group") and claim("old", 5)["old"] == (5, "group") and claim("old", None)["old"] == (0, "group")
+    assert claim("z", 7)["z"] == (7, "group") and claim("z", 7, none, True)["z"] == (7, "group") and claim("z", None, other)["z"] == (0, "group")
+    for bad in (("c", 1), ("g", 7), ("new", 1), ("z", 7, other), ("z", 7, none), ("z", 7, other, True)):
+        with pytest.raises(store.IdentityConflict):
+            claim(*bad)
+    with pytest.raises(store.IdentityConflict):
+        store.refuse_group(channels, "g")
+    store.refuse_group(channels, "c")
+    for bad in (("c", 3), ("x", 2)):
+        with pytest.raises(store.IdentityConflict):
+            store.refuse_other_chat(channels, *bad)
+
+
+def test_channels(spark):
+    schema = "channel string, raw_channel_id bigint, title string, subscriber_count bigint, reachability string, lowest_message_id bigint"
+    stored = spark.createDataFrame([("a", 1, "A", 10, "webPreview", 5), ("b", 0, None, None, "group", None)], schema)
+    new = spark.createDataFrame([("a", 1, None, 11, "webPreview"), ("c", 3, "C", 1, "webPreview")], "channel string, raw_channel_id bigint, title string, subscriber_count bigint, reachability string")
+    assert rows_of(store.upsert_channels(stored, new)) == [("a", 1, None, 11, "webPreview", 5), ("b", 0, None, None, "group", None), ("c", 3, "C", 1, "webPreview", None)]
+    assert rows_of(store.ensured_channels(stored, new, "webPreview")) == [("a", 1, "A", 10, "webPreview", 5), ("b", 0, None, None, "group", None), ("c", 0, None, None, "webPreview", None)]
+    assert rows_of(store.identified(stored, new)) == [("a", 1, "A", 10, "webPreview", 5), ("b", 0, None, None, "group", None)]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    df = lambda *ids: spark.createDataFrame([("a", i) for i in ids], "channel string, message_id bigint")
+    store.Archive(spark, str(tmp_path)).commit({"post": df(1)})
+    one, two = store.Archive(spark, str(tmp_path)), store.Archive(spark, str(tmp_path))
+    one.commit({"post": one.read("post").unionByName(df(2))})
+    with pytest.raises(store.Outdated):
+        two.commit({"post": two.read("post").unionByName(df(3))})
+    assert two.transact(lambda a: a.commit({"post": a.read("post").unionByName(df(3))})) == 3
+    assert rows_of(two.read("post").select("message_id")) == [(1,), (2,), (3,)]
+    late = store.Archive(spark, str(tmp_path))
+    two.commit(append={"post": df(7)})
+    add = lambda a: a.commit(append={"post": df(7).join(a.read("post"), ["channel", "message_id"], "left_anti")})
+    late.transact(add)
+    assert rows_of(late.read("post").select("message_id")) == [(1,), (2,), (3,), (7,)]
+    with pytest.raises(store.Outdated):
+        late.transact(lambda a: store.Archive(spark, str(tmp_path)).commit(append={"post": df()}) and a.commit(append={"post": df()}), attempts=2)
+
+
+def test_a_lost_lease_cannot_write(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1)], "channel string, message_id bigint")
+    now = [0.0]
+    one, two = (Lease(spark, str(tmp_path / "l"), "a", 120, lambda: now[0]) for _ in range(2))
+    archive = store.Archive(spark, str(tmp_path / "s"))
+    one.acquire()
+    archive.commit({"post": df}, lease=one)
+    now[0] = 500
+    two.acquire()
+    with pytest.raises(LeaseLost):
+        archive.commit({"post": df}, lease=one)
+    archive.commit({"post": df}, lease=two)
+    one.check = lambda: None  # as if it had looked before two took over
+    with pytest.raises(store.Outdated):
+        archive.commit({"post": df}, lease=one)
+
+
+def test_every_crash_leaves_a_whole_generation(spark, tmp_path):
+    df = lambda *ids: spark.createDataFrame([("a", i) for i in ids], "channel string, message_id bigint")
+    archive = store.Archive(spark, str(tmp_path))
+    archive.commit({"post": df(1), "link": df(1)})
+
+    def crash(*_):
+        raise RuntimeError("gone")
+
+    for step in ({"append": {"post": df(2), "link": crash}}, {"append": {"post": df(2)}, "before": crash}, {"tables": {"post": crash}}):
+        with pytest.raises(RuntimeError):
+            archive.commit(**step)
+        fresh = store.Archive(spark, str(tmp_path))
+        assert fresh.generation == 1 and rows_of(fresh.read("post").select("message_id")) == rows_of(fresh.read("link").select("message_id")) == [(1,)]
+    assert archive.vacuum(older_than=10**6) == [] and len(archive.vacuum(older_than=-1)) == 2
+    archive.commit(append={"post": df(2)})
+    archive.commit({"post": df(5)})
+    archive.commit({"post": df(6)})
+    assert len(archive.vacuum(keep=1, older_than=-1)) == 3 and rows_of(store.Archive(spark, str(tmp_path)).read("post").select("message_id")) == [(6,)]
 
 
 def test_history_and_candidates(spark):
@@ -178,7 +265,14 @@ def test_history_and_candidates(spark):
     new = rows((1, at(1), "One, two three!", False, "text"), (2, at(2), "other", False, "text"), (3, at(3, 1), None, False, "photo"), (4, at(4), "different words here", False, "text"), (9, at(9), "n", False, "text"))
     assert tuple(store.confirm_history(old, new).first()) == (1, 2)
     found = rows_of(store.verification_candidates(old, "Europe/Berlin", newest=1))
-    assert found == [("media", 5), ("offset", 1), ("offset", 5), ("text", 4)]
+    assert found == [("media", 3), ("middle", 3), ("offset", 1), ("offset", 5), ("oldest", 1), ("text", 5)]
+    live = lambda posts, **more: lambda i: next(({"text": r["text"], "date": r["date"].replace(tzinfo=dt.timezone.utc), "raw_channel_id": 7} | more for r in posts.collect() if r["message_id"] == i), None)
+    assert store.verify_export(old, "a", "Europe/Berlin", live(old)) == 7
+    assert store.verify_export(old, "a", "Europe/Berlin", live(old.where("message_id <> 5"))) == 7  # one that is gone says nothing
+    for bad in (live(old.limit(0)), live(old, text="something else altogether"), live(old, date=at(1)), live(old, raw_channel_id=None)):
+        with pytest.raises(store.NotVerified):
+            store.verify_export(old, "a", "Europe/Berlin", bad)
+    assert store.verification_candidates(old.limit(0), "UTC").count() == 0
 
 
 def test_lease(spark, tmp_path):
@@ -198,16 +292,34 @@ def test_lease(spark, tmp_path):
     one.acquire().release()
 
 
+def test_two_takers_of_a_dead_lease(spark, tmp_path):
+    now = [0.0]
+    make = lambda: Lease(spark, str(tmp_path), "a", 120, lambda: now[0])
+    make().acquire()
+    now[0] = 500
+    one, two = make(), make()
+    seen = one._latest()
+    two._latest = lambda: seen  # both have looked before either took it
+    one.acquire()
+    with pytest.raises(LeaseLost):
+        two.acquire()
+    one.check()
+
+
 def test_crawl_state():
     new = CrawlState()
-    assert new.since() is None and new.resume_from() is None
-    page = new.after_page(80, 100, incremental=False)
-    assert page == CrawlState(80, 100) and page.resume_from() == 80 and page.after_page(50, 60, False) == CrawlState(50, 100)
-    done = page.after_walk(1, 79, "end", incremental=False)
-    assert done == CrawlState(1, 100, True) and done.since() == 100 and done.after_page(101, 120, True) == done
-    assert done.after_walk(101, 120, "reached", True) == CrawlState(1, 120, True)
-    assert done.after_walk(110, 120, "cap", True) == CrawlState(110, 120, False)
-    assert done.after_walk(None, None, "failed", True) == done and page.after_walk(60, 79, "cap", False) == CrawlState(60, 100)
+    assert new.plan() == (None, None)
+    page = new.step("page", 80, 100)
+    assert page == CrawlState(80, 100) and page.plan() == (None, 80) and page.step("page", 50, 60) == CrawlState(50, 100)
+    done = page.step("end", 1, 79)
+    assert done == CrawlState(1, 100, True) and done.plan() == (100, None) and done.step("page", 101, 120) == done
+    assert done.step("reached", 101, 120) == CrawlState(1, 120, True)
+    assert done.step("cap", 110, 120) == CrawlState(110, 120, False) and done.step("foreign", None, None) == done
+    assert done.step("failed", None, None) == done and page.step("cap", 60, 79) == CrawlState(60, 100)
+    # A full walk starts anew, replaces the bounds it has seen and never takes completion back.
+    assert done.plan(full=True) == (None, None) and page.plan(full=True) == (None, None)
+    assert done.step("page", 90, 130, full=True) == CrawlState(90, 130, True) and done.step("cap", 90, 130, full=True) == CrawlState(90, 130, True)
+    assert done.step("end", None, None, full=True) == done and page.step("end", 3, 130, full=True) == CrawlState(3, 130, True)
 
 
 def test_walk():
@@ -219,6 +331,8 @@ def test_walk():
     for bad in (Page(status=500), Page(moved=True)):
         with pytest.raises(ConnectionError):
             walk(lambda _, bad=bad: bad)
+    seen = []
+    assert walk(pages.__getitem__, on_page=seen.append) == ([], "end") and len(seen) == 3
 
 
 def fake_fetch(url):
@@ -230,8 +344,20 @@ def fake_fetch(url):
 def test_crawl_source(spark):
     crawl.register(spark)
     read = lambda **more: spark.read.format("channel_pages").options(channel="@Chan", fetcher="tests.test_sources:fake_fetch", pause="0", **more).load()
-    assert [r["before"] for r in read().collect()] == [None, 16, 6]
-    assert read(since="20").count() == 1 and read(maxpages="2").count() == 2 and read(resumefrom="6").count() == 1
+    assert [(r["before"], r["stop"]) for r in read().collect()] == [(None, None), (16, None), (6, "end")]
+    assert [r["stop"] for r in read(since="20").collect()] == [None, "reached"] and read(maxpages="2").collect()[-1]["stop"] == "cap" and read(maxpages="2").count() == 2 and read(resumefrom="6").count() == 1
+
+
+def test_crawl_stream(spark, tmp_path):
+    crawl.register(spark)
+    pages = spark.readStream.format("channel_pages").options(channel="chan", fetcher="tests.test_sources:fake_fetch", pause="0").load()
+    query = pages.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+    for _ in range(200):
+        query.processAllAvailable()
+        if spark.read.schema(pages.schema).parquet(str(tmp_path / "out")).where("stop is not null").count():
+            break
+    query.stop()
+    assert sorted((r["before"] or 99, r["stop"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(6, "end"), (16, None), (99, None)]
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
