@@ -87,7 +87,7 @@ def rendered_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _coverage(s, d):
-    return integrity.coverage(table(s, d, "post")).drop("coverage")
+    return integrity.coverage(table(s, d, "post"))
 
 
 def _halves(s, d) -> tuple[DataFrame, DataFrame]:
@@ -97,11 +97,6 @@ def _halves(s, d) -> tuple[DataFrame, DataFrame]:
     return pick(0), pick(1)
 
 
-def _states(s, d):
-    walks = table(s, d, "crawl_watermark").where(F.col("outcome") == "succeeded").dropDuplicates(["walk_id"])
-    return walks.groupBy("channel").agg(F.min("lowest_message_id").alias("lowest"), F.max("highest_message_id").alias("highest"), F.max(F.coalesce("is_backfill_complete", F.lit(False))).alias("complete"))
-
-
 def _same_text(s, d):
     """Edited deliveries whose text is the same but for a few words, by the longest common subsequence."""
     rows = table(s, d, "post").where(F.col("text").isNotNull()).select("channel", "message_id", "row_id", "fetched_at", "text")
@@ -121,8 +116,8 @@ QUERIES = {
     "phrase_with_loose_word": _search('«build cache» slow', "words"),
     "phrase_vs_and": lambda s, d: index.hits(document_index(s, d), '"layout engine"', "words").agg(F.count(F.lit(1)).alias("phrase")).select("phrase", F.lit(index.hits(document_index(s, d), "layout engine", "words").count()).cast("bigint").alias("loose")),
     "substring_search": _search("yout engi", "substring"),
-    "substring_rare": _search("oomla", "substring"),
-    "substring_with_marks": _search("e-mail", "substring"),
+    "substring_rare": _search("üllenfe", "substring"),
+    "substring_with_marks": _search("fig. 3", "substring"),
     "search_both_merged": _search("push token", "both"),
     "search_both_total": lambda s, d: s.range(1).select(F.lit(index.page_of(document_index(s, d), "retry", "both", search.SearchFilter(), 0, 0)[1]).cast("bigint").alias("total")),
     "search_filtered_channel": _search("release", "words", search.SearchFilter(channel="@Export/Loomlab")),
@@ -136,7 +131,7 @@ QUERIES = {
     "search_page_past_words": _page("yout engine", "both", 0, 500),
     "bm25_rank_ties": lambda s, d: index.hits(document_index(s, d), "the", "words").groupBy(F.round("rank", 9).alias("rank")).agg(F.count(F.lit(1)).alias("documents")),
     "post_search_widened": lambda s, d: _shown(index.hits(post_index(s, d), "crash reporter", "words")),
-    "post_search_both": lambda s, d: _shown(index.hits(post_index(s, d), "signpost", "both")),
+    "post_search_both": lambda s, d: _shown(index.hits(post_index(s, d), "reporter", "both")),
     "search_without_index": lambda s, d: _shown(search.hits(search.indexed(searchable_documents(s, d)), "push token", "both")),
     "token_document_frequency": lambda s, d: index.document_frequencies(document_index(s, d)),
     "stem_document_frequency": lambda s, d: index.document_frequencies(document_index(s, d), index.STEM),
@@ -149,7 +144,6 @@ QUERIES = {
     "channel_integrity": _coverage,
     "channel_longest_gap": lambda s, d: integrity.coverage(table(s, d, "post")).select("channel", "longest_gap", "longest_gap_start", "alarm"),
     "channel_post_counts": lambda s, d: integrity.post_counts(table(s, d, "post")),
-    "crawl_state_merge": _states,
     "upsert_keep_existing": lambda s, d: store.keep_existing(*_halves(s, d)),
     "upsert_replace": lambda s, d: store.replace_existing(*_halves(s, d)),
     "import_written_and_kept": lambda s, d: store.written_and_kept(*_halves(s, d)),
@@ -227,6 +221,7 @@ def _both(tokens: list[str], literal: str, where: str = "true", phrases: list[li
 _MERGED = " SELECT channel, message_id, tier, round(rank, 9) AS rank FROM merged"
 _ORDER = " ORDER BY tier, round(rank, 12), channel, message_id"
 _PAGE = _both(["search", "index"], "search index") + _MERGED + _ORDER
+_BM25_PAGE = lambda text: _both(text.split(), text)
 _NEWEST = "newest AS (SELECT DISTINCT ON (channel, message_id) * FROM post WHERE channel IS NOT NULL AND message_id IS NOT NULL ORDER BY channel, message_id, fetched_at DESC, row_id DESC)"
 _POST_DOCS = (
     f"{_NEWEST}, previews AS (SELECT channel, message_id, array_to_string(list_sort(list(DISTINCT concat_ws(chr(10), preview.title, preview.description))), chr(10)) AS lines FROM link GROUP BY ALL), "
@@ -238,7 +233,7 @@ _GAPS = """WITH spans AS (SELECT channel, message_id AS lo, message_id + greates
 seen AS (SELECT *, max(hi) OVER (PARTITION BY channel ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM spans),
 gaps AS (SELECT *, coalesce(greatest(lo - last - 1, 0), 0) AS gap, last + 1 AS gap_start, greatest(hi - greatest(lo - 1, coalesce(last, lo - 1)), 0) AS fresh FROM seen),
 found AS (SELECT channel, min(lo) AS lowest, max(hi) AS highest, count(*) AS posts, CAST(sum(fresh) AS BIGINT) AS covered, CAST(sum(gap) AS BIGINT) AS unexplained, max(gap) AS longest_gap,
-  CASE WHEN max(gap) > 0 THEN arg_min(gap_start, (-gap, gap_start)) END AS longest_gap_start, max(gap) >= 25 AS alarm FROM gaps GROUP BY channel)"""
+  CASE WHEN max(gap) > 0 THEN arg_min(gap_start, (-gap, gap_start)) END AS longest_gap_start, max(gap) >= 25 AS alarm, round(100.0 * CAST(sum(fresh) AS BIGINT) / (max(hi) - min(lo) + 1), 1) AS coverage FROM gaps GROUP BY channel)"""
 _HALVES = """WITH stored AS (SELECT DISTINCT ON (channel, message_id) channel, message_id, row_id, text, views_value FROM post WHERE row_id % 2 = 0 ORDER BY channel, message_id, fetched_at DESC, row_id DESC),
 new AS (SELECT DISTINCT ON (channel, message_id) channel, message_id, row_id, text, views_value FROM post WHERE row_id % 2 = 1 ORDER BY channel, message_id, fetched_at DESC, row_id DESC)"""
 _SNIPPET = "trim(replace(coalesce(CASE WHEN coalesce(text, '') = '' THEN poll.question ELSE text END, ''), chr(10), ' '), ' ')"
@@ -255,8 +250,8 @@ SQL = {
     "phrase_with_loose_word": _word_sql(["slow"], [["build", "cache"]]) + _SHOWN,
     "phrase_vs_and": _word_sql([], [["layout", "engine"]]) + f", {_word_sql(['layout', 'engine']).partition('st FROM words_of), ')[2].replace('words', 'loose')} SELECT (SELECT count(*) FROM words) AS phrase, (SELECT count(*) FROM loose) AS loose",
     "substring_search": f"WITH {_DOCS}, {_substring_parts('yout engi')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
-    "substring_rare": f"WITH {_DOCS}, {_substring_parts('oomla')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
-    "substring_with_marks": f"WITH {_DOCS}, {_substring_parts('e-mail')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
+    "substring_rare": f"WITH {_DOCS}, {_substring_parts('üllenfe')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
+    "substring_with_marks": f"WITH {_DOCS}, {_substring_parts('fig. 3')} SELECT channel, message_id, 0 AS tier, round(rank, 9) AS rank FROM subs",
     "search_both_merged": _both(["push", "token"], "push token") + _MERGED,
     "search_both_total": _both(["retry"], "retry") + " SELECT count(*) AS total FROM merged",
     "search_filtered_channel": _word_sql(["release"], where="channel = 'export/loomlab'") + _SHOWN,
@@ -270,7 +265,7 @@ SQL = {
     "search_page_past_words": _both(["yout", "engine"], "yout engine") + _MERGED + _ORDER + " LIMIT 500",
     "bm25_rank_ties": _word_sql(["the"]) + " SELECT round(rank, 9) AS rank, count(*) AS documents FROM words GROUP BY 1",
     "post_search_widened": _word_sql(["crash", "reporter"], docs=_POST_DOCS) + _SHOWN,
-    "post_search_both": _both(["signpost"], "signpost", docs=_POST_DOCS) + _MERGED,
+    "post_search_both": _both(["reporter"], "reporter", docs=_POST_DOCS) + _MERGED,
     "search_without_index": _both(["push", "token"], "push token") + _MERGED,
     "token_document_frequency": f"WITH {_DOCS} SELECT word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT channel, message_id, word, count(*) AS n FROM (SELECT channel, message_id, unnest(w) AS word FROM docs) GROUP BY ALL) GROUP BY word",
     "stem_document_frequency": f"WITH {_DOCS} SELECT word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT channel, message_id, word, count(*) AS n FROM (SELECT channel, message_id, unnest(st) AS word FROM docs) GROUP BY ALL) GROUP BY word",
@@ -283,7 +278,6 @@ SQL = {
     "channel_integrity": _GAPS + " SELECT * FROM found",
     "channel_longest_gap": _GAPS + " SELECT channel, longest_gap, longest_gap_start, alarm FROM found",
     "channel_post_counts": "SELECT channel, count(DISTINCT message_id) AS posts FROM post GROUP BY channel",
-    "crawl_state_merge": "SELECT channel, min(lowest_message_id) AS lowest, max(highest_message_id) AS highest, bool_or(coalesce(is_backfill_complete, false)) AS complete FROM crawl_watermark WHERE outcome = 'succeeded' GROUP BY channel",
     "upsert_keep_existing": _HALVES + " SELECT * FROM stored UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.channel = n.channel AND s.message_id = n.message_id)",
     "upsert_replace": _HALVES + " SELECT * FROM new UNION ALL SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM new n WHERE s.channel = n.channel AND s.message_id = n.message_id)",
     "import_written_and_kept": _HALVES + " SELECT count(*) FILTER (s.row_id IS NULL) AS written, count(*) FILTER (s.row_id IS NOT NULL) AS kept FROM new n LEFT JOIN stored s USING (channel, message_id)",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quaystone.plans import archive, preparation
+from quaystone.plans import archive, ingest, preparation
 
 FLAGSHIP = "search_top_20"
-_PARTS = [archive, preparation]
+_PARTS = [archive, ingest, preparation]
 
 
 def queries() -> dict:
