@@ -120,6 +120,15 @@ _ANNOUNCED = "паспорт серия ОМС ИНН СНИЛС ІПН SSN ecur
 _WORDS = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(rf"(?<!\w)[{_UP}]\. ?[{_UP}]")
 
+# Titles and words of introduction before a full name, whatever given name it has.
+_TITLED = re.compile(rf"(?<!\w)(?:(?:Dr|Dra|Prof|Mr|Mrs|Ms|Mme|Sr|Sra|Herr|Frau|г-н|г-жа|пан|пані)\.? )+({_CAP} {_CAP})")
+_INTRODUCED = re.compile(rf"(?:[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Mm]eu nome é|[Мм]еня зовут|[Мм]ене звати) ({_CAP} {_CAP})")
+#: A Russian or Ukrainian full name shows by its father's name.
+_FATHERED = re.compile(rf"(?<!\w)({_CAP} [{_UP}][а-яёіїє]+(?:ович|евич|йович|ьич|овна|евна|ична|івна|ївна)(?:а|у|ем|ом|е|ы|и|ой|ою)? {_CAP})(?!\w)")
+_NAMED = [(("r. ", "rof", "Mrs ", "Mr ", "Ms ", "Mme ", "Sr", "ra. ", "Herr ", "Frau ", "г-н", "г-ж", "пан"), _TITLED), (("name is ", "Name ist ", "ch heiße ", "appelle ", "llamo ", "nombre es ", "nome é ", "зовут ", "звати "), _INTRODUCED), (("ич", "вн", "чн"), _FATHERED)]
+#: Capitalised words behind a title that are a title too.
+_HIGHER = frozenset("doktor doctor professor direktor minister präsident president kollege kollegin docteur доктор профессор".split())
+
 _CAPITAL = re.compile(rf"(?<![\w@])(?:[{_UP}]\.(?: ?[{_UP}]\.)?|{_CAP})")
 _FAMILY = re.compile(rf" (?:[{_UP}]\. ?){{0,2}}({_CAP})")
 _FAMILY_AFTER_INITIAL = re.compile(rf" ?({_CAP})")
@@ -217,6 +226,10 @@ def find_in_text(text: str) -> list[Found]:
         for m in form.finditer(plain) if any(x in plain for x in hints) else ():
             hi = m.end() - (m[0].endswith(".") and not m[0].endswith(("St.", "Rd.", "Ave.", "Dr.")))
             _add(found, m.start(), hi, "address")
+    for hints, form in _NAMED:
+        for m in form.finditer(plain) if any(x in plain for x in hints) else ():
+            if m[1].partition(" ")[0].lower() not in _HIGHER:
+                _add(found, m.start(1), m.end(1), "name")
     if not GIVEN.isdisjoint(_WORDS.findall(plain.lower())) or _INITIAL.search(plain):
         found += list(_names(plain, found))
     found.sort()

@@ -150,3 +150,12 @@ def test_redaction_comes_from_the_replacements(spark):
     for i, t in enumerate(texts):
         want = None if t is None else redact(t, find_in_text(t), names)
         assert got[i][0] == want and (got[i][1] is None) == (t is None)
+
+
+def test_names_that_no_list_has():
+    for text, name in {
+        "Ask Dr. Priya Sharma about it": "Priya Sharma", "Thanks to Prof. Dr. Zbigniew Kowalski.": "Zbigniew Kowalski", "My name is Chen Wei, hello": "Chen Wei", "Меня зовут Гульнара Ахметова": "Гульнара Ахметова",
+        "Спасибо, Рустам Тимурович Ахметов ответил": "Рустам Тимурович Ахметов", "von Frau Ayşe Yılmaz": "Ayşe Yılmaz", "Herr Doktor Müller sagt": None, "au 12 Rue de la Paix, 75002 Paris": None, "Visual Studio is out": None,
+    }.items():
+        assert [text[a:b] for a, b, k in find_in_text(text) if k == "name"] == ([name] if name else []), text
+    assert [(k, "12 Rue de la Paix, 75002 Paris") for _, _, k in find_in_text("au 12 Rue de la Paix, 75002 Paris")] == [("address", "12 Rue de la Paix, 75002 Paris")]
