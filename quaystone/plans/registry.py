@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quaystone.plans import archive, ingest, preparation
+from quaystone.plans import archive, ingest, preparation, surface
 
 FLAGSHIP = "search_top_20"
-_PARTS = [archive, ingest, preparation]
+_PARTS = [archive, ingest, preparation, surface]
 
 
 def queries() -> dict:

@@ -62,7 +62,11 @@ def empty_tables(spark, tmp_path_factory):
     return str(base)
 
 
+#: Queries whose cases are written out, or that count steps: they have rows whatever the tables hold.
+WRITTEN_OUT = {"plain_pages_classified", "redirects_followed", "archive_generations", "archive_health", "pages_stored", "walk_stops", "lease_cases", "cursor_cases", "cursor_following", "date_bounds", "post_references", "operators_refused", "entities_decoded", "tool_calls", "tool_arguments", "tool_instructions", "views_abbreviated", "limits_clamped", "pages_crawled"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_empty_tables(spark, empty_tables, name):
     rows = registry.queries()[name](spark, empty_tables).collect()
-    assert len(rows) <= 1  # an aggregate over nothing at most
+    assert name in WRITTEN_OUT or len(rows) <= 1  # an aggregate over nothing at most
