@@ -109,7 +109,48 @@ orphan AS (
      OR (parent_table = 'channel' AND NOT EXISTS (SELECT 1 FROM channel c WHERE lower(c.channel) = r.channel)))
 """
 
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+_ZONED = r"((?:UTC)?[+-]\d{2}(?::?\d{2})?|Z|[A-Z]{2,5})?"
+_SPELLED = [
+    (rf"^(\d{{4}})[-/](\d{{2}})[-/](\d{{2}})[T ]{_CLOCK} ?{_ZONED}$", r"\1|\2|\3|\4|\5|\6|\7||\8"),
+    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),? {_CLOCK} ?{_ZONED}$", r"\3|\2|\1|\4|\5|\6|\7||\8"),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONED}$", r"\1|\2|\3|\4|\5|\6|||\7"),
+    (rf"^(?:\p{{L}}{{2,4}}, )?(\d{{1,2}})(?:\.|º|er)? (?:de )?(\p{{L}}+)\.? (?:de )?(\d{{4}})(?: [гр]\.)?,? {_CLOCK} ?{_ZONED}$", r"\3|\2|\1|\4|\5|\6|\7||\8"),
+    (rf"^(\p{{L}}+)\.? (\d{{1,2}}), (\d{{4}}),? {_CLOCK}[ \x{{202F}}]?([AP]M)$", r"\3|\1|\2|\4|\5|\6|\7|\8|"),
+]
+
+
+def _map(values: dict[str, int]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': {v}" for k, v in values.items()) + "}"
+
+
+_INSTANTS = f"""
+WITH vals AS (
+  SELECT 'post' AS src, row_id AS src_id, channel, date AS v FROM post
+  UNION ALL SELECT 'link', link_id, channel, preview.observed_at FROM link),
+zones AS (SELECT channel, max(time_zone) AS zone FROM channel GROUP BY channel),
+texts AS (SELECT DISTINCT src, src_id, channel, zone, trim(regexp_replace(v, '[\\s\\x{{A0}}]+', ' ', 'g')) AS t FROM vals LEFT JOIN zones USING (channel) WHERE v IS NOT NULL AND NOT regexp_matches(v, '{timestamps.CANONICAL}')),
+cut AS (SELECT *, string_split(CASE {" ".join(f"WHEN regexp_matches(t, '{a}') THEN regexp_replace(t, '{a}', '{b}')" for a, b in _SPELLED)} END, '|') AS f FROM texts),
+parts AS (
+  SELECT *, try_cast(f[1] AS INTEGER) AS y, coalesce(try_cast(f[2] AS INTEGER), {_map(timestamps.MONTHS)}[lower(f[2])]) AS mo, try_cast(f[3] AS INTEGER) AS d,
+    CASE WHEN f[8] = '' THEN try_cast(f[4] AS INTEGER) WHEN try_cast(f[4] AS INTEGER) BETWEEN 1 AND 12 THEN try_cast(f[4] AS INTEGER) % 12 + CASE WHEN f[8] = 'PM' THEN 12 ELSE 0 END END AS h,
+    try_cast(f[5] AS INTEGER) AS mi, CASE WHEN f[6] = '' THEN 0 ELSE try_cast(f[6] AS INTEGER) END AS s, CAST(rpad(f[7][1:6], 6, '0') AS BIGINT) AS us, regexp_replace(f[9], '^UTC([+-])', '\\1') AS given FROM cut),
+walls AS (
+  SELECT *, CASE WHEN h BETWEEN 0 AND 23 AND mi BETWEEN 0 AND 59 AND s BETWEEN 0 AND 59 THEN try_cast(printf('%04d-%02d-%02d', y, mo, d) AS DATE) + to_hours(h) + to_minutes(mi) + to_seconds(s) + to_microseconds(us) END AS wall,
+    CASE WHEN regexp_matches(given, '^[+-]') THEN (CASE WHEN given[1] = '-' THEN -1 ELSE 1 END) * (CAST(given[2:3] AS INTEGER) * 60 + coalesce(try_cast(replace(given, ':', '')[4:5] AS INTEGER), 0)) ELSE {_map(timestamps.ABBREVIATIONS)}[given] END AS shift FROM parts),
+placed AS (
+  SELECT *, CASE WHEN given = '' AND zone IS NOT NULL AND wall IS NOT NULL THEN wall AT TIME ZONE zone END AS local_at FROM walls),
+instants AS (
+  SELECT src, src_id, CASE WHEN regexp_matches(t, '^\\d{{10}}$') THEN CAST(t AS BIGINT) * 1000000 WHEN regexp_matches(t, '^\\d{{13}}$') THEN CAST(t AS BIGINT) * 1000 WHEN regexp_matches(t, '^\\d{{16}}$') THEN CAST(t AS BIGINT)
+    WHEN given <> '' THEN epoch_us(wall) - CAST(shift AS BIGINT) * 60000000
+    WHEN (local_at - INTERVAL 1 HOUR) AT TIME ZONE zone = wall THEN epoch_us(local_at - INTERVAL 1 HOUR) WHEN (local_at AT TIME ZONE zone) = wall THEN epoch_us(local_at) END AS us,
+    given = '' AND wall IS NOT NULL AS by_wall, zone, wall IS NOT NULL AND (local_at AT TIME ZONE zone) = wall AND (((local_at - INTERVAL 1 HOUR) AT TIME ZONE zone) = wall OR ((local_at + INTERVAL 1 HOUR) AT TIME ZONE zone) = wall) AS twice FROM placed)
+"""
+
 SQL = {
+    "p4_found": _INSTANTS + "SELECT DISTINCT src, src_id, CAST(floor(us / 1000.0) AS BIGINT) AS utc_ms FROM instants WHERE us IS NOT NULL",
+    "p4_findings": _INSTANTS + """SELECT src, finding, count(*) AS "values" FROM (SELECT DISTINCT src, src_id, CASE WHEN twice THEN 'ambiguous' WHEN us IS NOT NULL THEN 'instant' WHEN NOT coalesce(by_wall, false) THEN 'unreadable' WHEN zone IS NULL THEN 'no_zone' ELSE 'nonexistent' END AS finding FROM instants) GROUP BY src, finding""",
+    "p4_by_month": _INSTANTS + "SELECT src, strftime(make_timestamp(us), '%Y-%m') AS month, count(*) AS values FROM (SELECT DISTINCT src, src_id, us // 1000 AS ms, min(us) AS us FROM instants WHERE us IS NOT NULL GROUP BY ALL) GROUP BY src, month".replace("AS values", 'AS "values"'),
     "p1_found": _PENDING + "SELECT channel, message_id FROM pending",
     "p1_pending_by_channel": _PENDING + "SELECT channel, count(*) AS pending, min(message_id) AS lowest, max(message_id) AS highest FROM pending GROUP BY channel",
     "p1_pending_uncommitted": _PENDING + "SELECT channel, message_id FROM pending",
