@@ -74,9 +74,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of applications that are there and go when their JVM ends.
+_OWN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of this application below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
+    """A folder of this application below the shared checkpoint folder; all of them are deleted when the application ends."""
+    own = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{name}"
 
 
 def state_of(spark: SparkSession, base: str, name: str) -> str:
