@@ -66,8 +66,6 @@ found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM doc_run d JOIN it
 
 SQL = {
     "p6_found": _CONVERSATIONS + "SELECT * FROM found",
-    "p6_sessions": lambda s, d: sessions.sessions(table(s, d, "post"), table(s, d, "channel")),
-    "p6_sessions_compared": lambda s, d: sessions.compared(table(s, d, "post"), table(s, d, "channel")),
     "p6_sizes": _CONVERSATIONS
     + "SELECT channel, count(*) AS conversations, CAST(sum(n) AS BIGINT) AS messages, max(n) AS longest FROM (SELECT channel, root_message_id, count(*) AS n FROM found GROUP BY ALL) GROUP BY channel",
     "p8_found": _LEAKS + "SELECT * FROM found",
