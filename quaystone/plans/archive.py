@@ -295,5 +295,11 @@ SELECT channel, message_id, text, hashtags, coalesce(links, []) AS links, coales
     "event_props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "channel_fold": "SELECT lower(regexp_replace(forward_channel, '^@+', '')) AS channel, count(*) AS forwards FROM post WHERE forward_channel IS NOT NULL GROUP BY 1",
     "channel_chat_ids": "SELECT channel, -1000000000000 - raw_channel_id AS chat_id, CASE WHEN reachability IN ('webPreview', 'previewDisabled', 'group', 'unresolvable') THEN reachability END AS reachability FROM channel",
+    # The longest common subsequence by rows: each place of a row is the largest of what the places before it offer.
+    "same_text_ratio": r"""WITH RECURSIVE pair AS (SELECT channel, message_id, arg_min(text, (fetched_at, row_id)) AS t1, arg_max(text, (fetched_at, row_id)) AS t2 FROM post WHERE text IS NOT NULL GROUP BY channel, message_id),
+w AS (SELECT channel, message_id, regexp_extract_all(lower(t1), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(t2), '[\p{L}\p{N}]+') AS b FROM pair WHERE t1 <> t2),
+dp AS (SELECT channel, message_id, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS r FROM w
+  UNION ALL SELECT channel, message_id, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN 0 ELSE greatest(r[k + 1], r[k] + CASE WHEN a[i + 1] = b[k] THEN 1 ELSE 0 END) END))) FROM dp WHERE i < len(a))
+SELECT channel, message_id, a = b OR r[len(b) + 1] >= 0.9 * greatest(len(a), len(b)) AS same FROM dp WHERE i = len(a)""",
     "page_posts_extracted": rf"WITH {_NEWEST} SELECT channel, message_id, date_trunc('second', fetched_at) AS date, body AS text, CASE WHEN body <> '' THEN 'text' ELSE 'unknown' END AS kind, [] AS hashtags, views_value AS views FROM (SELECT *, nfc_normalize(regexp_replace(coalesce(text, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS body FROM newest)",
 }
