@@ -18,7 +18,7 @@ CLASHING = ("__f", "hit", "words", "h", "p", "g", "b", "low", "up", "block", "ke
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4, "4g")
+    session = local_session(4, 2, "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
