@@ -294,6 +294,19 @@ def page_of(index: SearchIndex, text: str, mode: str, where: SearchFilter, offse
     return ordered(best, end).offset(offset), n + tail.count()
 
 
+def numbered(found: DataFrame) -> tuple[DataFrame, int]:
+    """(all hits with their ``place`` in the one order, from 0; total): whoever wants many pages sorts once, and each is a run of places."""
+    rows = cut_lineage(ordered(cut_lineage(found)))
+    # The sorted partitions are kept, so a row's place is its place within its own behind the rows of those before.
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    counts = dict(rows.groupBy(F.shiftright("__at", 33)).count().collect())  # one row a partition
+    before = [0]
+    for i in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(i, 0))
+    place = F.element_at(F.lit(before), F.shiftright("__at", 33).cast("int") + 1) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("place", place.cast("bigint")).drop("__at"), sum(counts.values())
+
+
 def document_frequencies(index: SearchIndex, field: int = SURFACE) -> DataFrame:
     """``(word, documents, occurrences)`` of one field of the whole index."""
     return index.vocabulary.where(F.col("field") == field).groupBy("word").agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))

@@ -162,6 +162,26 @@ def test_segments_count_as_one_index(spark, table, stored, tmp_path):
     assert files.stale_documents(both, halves[0]).count() == halves[1].count()
 
 
+def test_pages_of_one_sort(spark, tmp_path, monkeypatch):
+    from quaystone.plans import ingest
+
+    rows = [(f"c{i % 3}", i, at(i % 9), "text", "retry " * (i % 4) + "retrying x" * (i % 2) + "no") for i in range(120)]
+    table = spark.createDataFrame(rows, "channel string, message_id bigint, date timestamp, kind string, content string")
+    stored = files.write_index(table, lambda part: f"{tmp_path}/{part}")
+    keys = lambda df: [(r["channel"], r["message_id"]) for r in df.collect()]
+    for text, mode in (("retry", "both"), ("retry", "words"), ("nothing of it", "both")):
+        alone, total = files.page_of(stored, text, mode, SearchFilter(), 0, 1000)
+        found, n = files.numbered(files.hits(stored, text, mode))
+        found = found.orderBy("place")
+        assert keys(found) == keys(alone) and [r["place"] for r in found.collect()] == list(range(total)) and n == total
+    # However many pages there are, their hits are found once.
+    monkeypatch.setattr(ingest, "searchable_documents", lambda s, d: table)
+    found, cut, cuts = keys(files.page_of(stored, "retry", "both", SearchFilter(), 0, 1000)[0]), files.cut_lineage, []
+    monkeypatch.setattr(files, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    pages = {(r["channel"], r["message_id"]): r["page"] for r in ingest.paged_search(spark, "").collect()}
+    assert pages == {k: i // 25 + 1 for i, k in enumerate(found)} and max(pages.values()) > 3 and len(cuts) < 4
+
+
 def test_index_of_nothing(table, tmp_path):
     empty = files.write_index(table.limit(0), lambda part: f"{tmp_path}/{part}")
     assert files.hits(empty, "swift", "both").count() == 0 and files.page_of(empty, "swift", "both", SearchFilter(), 0, 5)[1] == 0
