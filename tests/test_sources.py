@@ -374,3 +374,45 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert archive.refresh() == 2
     apply_batch(archive, spark.read.schema("channel string, html string").json(str(tmp_path / "in" / "2")), replace=True)
     assert rows_of(archive.read("post").select("message_id", "text")) == [(1, "1"), (2, "2"), (3, "2")]
+
+
+LISTED = '<div class="tgme_widget_message" data-post="chan/{0}"><a class="tgme_widget_message_reply" href="https://t.me/chan/3?single"><div class="js-message_text">said</div></a><div class="js-message_text">a &lt; b<br/><a href="https://x.example/?a=1&amp;b=2">there</a></div><span class="tgme_reaction"><b>x</b>{0}</span><time datetime="2024-01-01T00:00:00Z"></time></div>'
+
+
+def test_pages_are_read_without_a_tree(monkeypatch):
+    usual, odd = LISTED.format(7), LISTED.format(7).replace("<b>x</b>", "<B>x</b ><!-- 1 --><script>2 < 3</script>")
+    want = markup.listing_blocks(odd)
+    assert want[0]["reactions"] == [{"emoji": "x", "count": 7, "is_paid": False}] and want[0]["text"] == "a < b\nthere" and want[0]["reply"] == "3"
+    assert want[0]["entities"] == [{"type": "textURL", "text": "there", "arg": "https://x.example/?a=1&b=2"}]
+    # Markup as it usually is needs no parser of any markup, and closing what was never opened closes nothing.
+    monkeypatch.setattr(markup.HTMLParser, "feed", lambda *_: pytest.fail("parsed whole"))
+    assert markup.listing_blocks(usual) == markup.listing_blocks(usual.replace("<b>", "</p></root></br><b>")) == want
+
+
+def test_a_batch_with_nothing_new_writes_nothing(spark, tmp_path):
+    from quaystone.sources.archive import Archive
+
+    archive = Archive(spark, str(tmp_path))
+    pages = spark.createDataFrame([("chan", LISTED.format(7) + LISTED.format(8)), ("chan", LISTED.format(8) + LISTED.format(9))], "channel string, html string")
+    apply_batch(archive, pages)
+    files = sorted(p.name for p in (tmp_path / "data").iterdir())
+    assert apply_batch(archive, pages) == 2 and sorted(p.name for p in (tmp_path / "data").iterdir()) == files
+    assert rows_of(archive.read("post").select("message_id", "text")) == [(i, "a < b\nthere") for i in (7, 8, 9)] and archive.read("link").count() == archive.index().texts.count() == 3
+
+
+def test_postings_of_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quaystone.functions.stems import stem
+    from quaystone.operators import index
+
+    lines = ["running  run  running", "", None, "crashes", "run  run"]
+    want = sorted((w, field, i, [k for k, x in enumerate(words) if x == w]) for i, line in enumerate(lines) for field, words in enumerate(((line or "").split(), [stem(x) for x in (line or "").split()])) for w in set(words))
+    schema = pa.schema([("word", pa.string()), ("field", pa.int8()), ("message_id", pa.int64()), ("f", pa.int32()), ("places", pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(lines)], ["message_id", "line"])
+    for most, runs in ((8 << 20, 1), (22, 2), (1, 3)):
+        monkeypatch.setattr(index, "SORTED", most)
+        out = list(index._poster(["message_id"], schema, True)(iter([batch.slice(0, 2), batch.slice(2)])))
+        rows = [(r["word"], r["field"], r["message_id"], r["places"]) for b in out for r in b.to_pylist()]
+        assert sorted(rows) == want and len(out) == runs and all(r["f"] == len(r["places"]) for b in out for r in b.to_pylist())
+        assert runs > 1 or rows == want
